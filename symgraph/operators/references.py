@@ -26,6 +26,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from symgraph.session import materialize
+
 #: Keys per range of the dictionary: a power of two, a multiple of 64.
 RANGE_BITS = 15
 #: Rows of one (key, period) from which a reference counts as heavy: 1 / HEAVY of all
@@ -106,7 +108,8 @@ def orphan_bits(key_periods: DataFrame, targets_: DataFrame, buckets: int) -> Da
         F.coalesce(F.max("is_removed"), F.lit(False)).alias("is_removed"),
         F.max("occurs").alias("occurs"),
     ).filter(F.size("refs") > 0)
-    ids = dictionary(keys, buckets)
+    # used twice, so written once
+    ids = materialize(dictionary(keys, buckets), "reference_dictionary")
     sure = F.when(F.col("occurs") & ~F.col("is_removed"), _period(F.col("first_seen")))
     marks = F.concat(F.transform("refs", lambda r: F.struct(r["period"].alias("period"), F.lit(True).alias("ref"))), F.filter(F.array(F.struct(sure.alias("period"), F.lit(False).alias("ref"))), lambda m: m["period"].isNotNull()))
     words = (
@@ -131,6 +134,7 @@ def orphan_references(edges: DataFrame, raw_edges: DataFrame, symbols: DataFrame
     bits = orphan_bits(key_periods, targets(symbols, files, removed), buckets)
     total = key_periods.agg(F.sum("n_refs").alias("total"))
     bits = bits.crossJoin(F.broadcast(total)).withColumn("heavy", F.col("n_refs") * HEAVY >= F.col("total")).select(F.col("ns").alias("b_ns"), F.col("key").alias("b_key"), F.col("period").alias("b_period"), "first_seen", "is_removed", "occurs", "heavy")
+    bits = materialize(bits, "orphan_bits")
     on = reduce(lambda a, b: a & b, [F.col(c) == F.col(f"b_{c}") for c in ("ns", "key", "period")])
     # heavy pairs, at most HEAVY, go to the rows; all other pairs hold under a thousandth
     # of the rows each, and meet theirs in a shuffle

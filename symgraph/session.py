@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,3 +47,12 @@ def parts(spark: SparkSession, factor: float = 1.0) -> int:
     """Partitions for an explicit repartitioning: follows the session's setting,
     which is what a cluster sizes to its data."""
     return max(1, int(int(spark.conf.get("spark.sql.shuffle.partitions")) * factor))
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write an intermediate once into the shared checkpoint folder and read it back, so
+    that several uses and lost executors don't compute it again."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
