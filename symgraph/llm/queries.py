@@ -5,10 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symgraph.llm import bpe, spans
+from symgraph.llm import bpe, neighbors, spans
 from symgraph.sources.tables import table
 
 
+def _latest_symbols(spark: SparkSession, d: str, *cols: str) -> DataFrame:
+    """The latest row of each symbol: map-side combined, rows equal in time are equal throughout."""
+    s = table(spark, d, "symbols").select("qualified_name", F.struct("indexed_at", *cols).alias("s"))
+    return s.groupBy("qualified_name").agg(F.max_by("s", "s.indexed_at").alias("s")).select("qualified_name", *[f"s.{c}" for c in cols])
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    near = neighbors.nearest(_latest_symbols(spark, d, "embedding"), "qualified_name", "embedding", 64, k=10, min_cosine=0.9)
+    return near.select(F.least("id", "neighbor").alias("qname_a"), F.greatest("id", "neighbor").alias("qname_b")).distinct()
+
+
+def p6_neighbors(spark: SparkSession, d: str) -> DataFrame:
+    """The 10 most similar symbols of each symbol whose hash is divisible by 100, against all symbols."""
+    latest = _latest_symbols(spark, d, "embedding")
+    asked = latest.filter(F.pmod(F.xxhash64("qualified_name"), F.lit(100)) == 0).select("qualified_name")
+    return neighbors.nearest(latest, "qualified_name", "embedding", 64, k=10, joint=False, tables=12, probes=24, queries=asked).select(F.col("id").alias("qualified_name"), "neighbor", F.round("cosine", 6).alias("cosine"), "rank")
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode_texts(table(spark, d, "documents"))
 
@@ -22,6 +40,6 @@ def p10_shared(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_share(table(spark, d, "documents"))
 
 
-QUERIES = {"p8_ids": p8_ids, "p10_found": p10_found, "p10_shared": p10_shared}
+QUERIES = {"p6_found": p6_found, "p6_neighbors": p6_neighbors, "p8_ids": p8_ids, "p10_found": p10_found, "p10_shared": p10_shared}
 
 ORACLES: dict[str, str] = {}
