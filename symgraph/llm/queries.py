@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symgraph.llm import bpe, neighbors, spans
+from symgraph.llm import bpe, neighbors, packing, spans
 from symgraph.sources.tables import table
 
 
@@ -31,6 +31,14 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode_texts(table(spark, d, "documents"))
 
 
+def p9_packing(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack_texts(table(spark, d, "documents"))
+
+
+def p9_fill(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill_report(p9_packing(spark, d))
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_pairs(table(spark, d, "documents"))
 
@@ -40,6 +48,6 @@ def p10_shared(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_share(table(spark, d, "documents"))
 
 
-QUERIES = {"p6_found": p6_found, "p6_neighbors": p6_neighbors, "p8_ids": p8_ids, "p10_found": p10_found, "p10_shared": p10_shared}
+QUERIES = {"p6_found": p6_found, "p6_neighbors": p6_neighbors, "p8_ids": p8_ids, "p9_packing": p9_packing, "p9_fill": p9_fill, "p10_found": p10_found, "p10_shared": p10_shared}
 
 ORACLES: dict[str, str] = {}
