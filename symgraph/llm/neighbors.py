@@ -34,6 +34,8 @@ from symgraph.session import materialize, parts
 CELL_BLOCK = 4096
 #: Coordinates of unit vectors are compared to this many binary digits for being copies.
 SAME = 18
+#: How far a cosine of the byte codes may lie below the true one (rounding gives under 0.01).
+SLACK = 0.02
 
 
 @cache
@@ -98,110 +100,130 @@ def unit_vectors(df: DataFrame, key: str, vector: str, dim: int) -> DataFrame:
     return scaled.withColumn("n", norm).select("id", F.transform("v", lambda x: x / F.col("n")).cast("array<float>").alias("v"))
 
 
-def distinct_directions(units: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(entries: e, v, copies; members: e, id). An entry is named by the hash of its rounded
-    vector; the exact rerank uses the vector of its least id."""
-    bits = F.transform("v", lambda x: F.round(x.cast("double") * F.lit(float(1 << SAME))).cast("int"))
-    keyed = units.withColumn("e", F.xxhash64(bits))
-    entries = keyed.groupBy("e").agg(F.min_by("v", "id").alias("v"), F.count(F.lit(1)).alias("copies"))
-    return entries, keyed.select("e", "id")
+def with_direction(units: DataFrame) -> DataFrame:
+    """Adds e, the direction: the hash of the rounded vector, equal for copies at any scale."""
+    return units.withColumn("e", F.xxhash64(F.transform("v", lambda x: F.round(x.cast("double") * F.lit(float(1 << SAME))).cast("int"))))
 
 
-def _candidates(entries: DataFrame, dim: int, tables: int, probes: int, seed: int, joint: bool, queries: bool) -> DataFrame:
-    """Rows (t, cell, e, v): stored entries (first cell) or queries (all probed cells)."""
+def _placed(entries: DataFrame, dim: int, tables: int, probes: int, seed: int, joint: bool) -> DataFrame:
+    """Rows (t, cell, own, e, asks, code): an entry in the cell it is stored in (own) and in those it
+    looks into. code: the vector in bytes, a quarter of its size, for a first reckoning."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float32)
-            x = flat.reshape(-1, dim)
-            for t, cell in cells(x, tables, probes if queries else 1, seed, joint):
+            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(-1, dim)
+            asks = batch.column(2)
+            code = np.rint(x * 127 / np.abs(x).max(1, keepdims=True)).astype(np.int8)
+            packed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(dim), len(x), [None, pa.py_buffer(np.ascontiguousarray(code).tobytes())]).cast(pa.binary())
+            for t, cell in cells(x, tables, probes, seed, joint):
                 n, p = cell.shape
-                take = pa.array(np.repeat(np.arange(n), p))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n * p, t, np.int32)), pa.array(cell.reshape(-1).astype(np.int32)), batch.column(0).take(take)], names=["t", "cell", "e"])
+                # who doesn't ask is only stored
+                here = np.ones((n, p), bool)
+                here[~np.asarray(asks.to_numpy(zero_copy_only=False)), 1:] = False
+                row, probe = np.nonzero(here)
+                take = pa.array(row)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), t, np.int32)), pa.array(cell[row, probe].astype(np.int32)), pa.array(probe == 0), batch.column(0).take(take), asks.take(take), packed.take(take)], names=["t", "cell", "own", "e", "asks", "code"])
+
+    return entries.select("e", "v", "asks").mapInArrow(run, "t int, cell int, own boolean, e bigint, asks boolean, code binary")
+
+
+def _meet(dim: int, k: int, min_cosine: float):
+    """Blocks of cells, sorted with their stored entries first, to pairs (a, b) that may be near."""
+    wide = 4 * k
+
+    def pairs(ids: np.ndarray, code: np.ndarray, base_ids: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        c = code @ base.T
+        c[ids[:, None] == base_ids[None, :]] = -2
+        hit = c >= np.float32(min_cosine - SLACK)
+        if min_cosine <= -1 and c.shape[1] > wide:
+            least = np.partition(c, c.shape[1] - wide, 1)[:, -wide]
+            hit = c >= least[:, None]
+        hit &= c > -1.5
+        a, b = np.nonzero(hit)
+        return ids[a], base_ids[b]
 
-    return entries.select("e", "v").mapInArrow(run, "t int, cell int, e bigint")
-
-
-
-
-def nearest(df: DataFrame, key: str, vector: str, dim: int, k: int = 10, tables: int = 8, probes: int = 4, seed: int = 7, joint: bool = True, min_cosine: float = -1.0, queries: DataFrame | None = None) -> DataFrame:
-    """id, neighbor, cosine, rank: for every vector (or for those whose id is in queries) the k
-    most similar others. min_cosine drops pairs below it after the exact rerank."""
-    spark = df.sparkSession
-    units = materialize(unit_vectors(df, key, vector, dim), "unit_vectors")
-    entries, members = distinct_directions(units)
-    entries = materialize(entries, "directions")
-    stored = _candidates(entries, dim, tables, 1, seed, joint, False).withColumn("role", F.lit(0))
-    asked = entries
-    if queries is not None:
-        wanted = members.join(queries.select(F.col(key).alias("id")), "id", "left_semi").select("e").distinct()
-        asked = entries.join(wanted, "e", "left_semi")
-    asking = _candidates(asked, dim, tables, probes, seed, joint, True).withColumn("role", F.lit(1))
-    # a table's cells are spread over blocks: stored entries by their own hash into one block of
-    # a heavy cell, queries into all blocks of it
-    heavy = stored.groupBy("t", "cell").count().filter(F.col("count") > CELL_BLOCK).select(F.col("t").alias("h_t"), F.col("cell").alias("h_cell"), F.ceil(F.col("count") / CELL_BLOCK).cast("int").alias("blocks"))
-    both = stored.unionByName(asking).join(heavy, (F.col("t") == F.col("h_t")) & (F.col("cell") == F.col("h_cell")), "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    own = F.array(F.pmod(F.xxhash64("e"), F.col("blocks")).cast("int"))
-    placed = both.withColumn("block", F.explode(F.when(F.col("role") == 0, own).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1)))).select("t", "cell", "block", "role", "e")
-    vectors = entries.select("e", "v", F.least("copies", F.lit(k + 1)).alias("copies"))
-    rows = placed.join(vectors, "e").repartition(parts(spark), "t", "cell", "block").sortWithinPartitions("t", "cell", "block", "role", "e")
-
-    def rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Blocks come sorted, a block's stored entries before its queries."""
-        at, stored_ids, stored_v, pending = None, [], [], []
-        out_a, out_b, out_c = [], [], []
-
-        def meet(ids: np.ndarray, x: np.ndarray) -> None:
-            base_ids, base = np.concatenate(stored_ids), np.concatenate(stored_v)
-            for i in range(0, len(ids), CELL_BLOCK):
-                c = x[i : i + CELL_BLOCK] @ base.T
-                c[ids[i : i + CELL_BLOCK, None] == base_ids[None, :]] = -2
-                if c.shape[1] > k:
-                    top = np.argpartition(-c, k - 1, 1)[:, :k]
-                    # ties at the end of the list are all kept for the exact order
-                    least = np.take_along_axis(c, top, 1).min(1)
-                    hit = c >= np.maximum(least, np.float32(min_cosine - 1e-4))[:, None]
-                else:
-                    hit = c >= np.float32(min_cosine - 1e-4)
-                hit &= c > -1.5
-                r, s = np.nonzero(hit)
-                out_a.append(ids[i : i + CELL_BLOCK][r])
-                out_b.append(base_ids[s])
-                out_c.append(np.einsum("ij,ij->i", x[i : i + CELL_BLOCK][r].astype(np.float64), base[s].astype(np.float64)))
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            if out_a and sum(map(len, out_a)):
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b)), pa.array(np.concatenate(out_c))], names=["a", "b", "cosine"])
-            out_a.clear(), out_b.clear(), out_c.clear()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, stored_ids, stored = None, [], []
+        out: list[tuple[np.ndarray, np.ndarray]] = []
+        waiting: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def flush_cell() -> None:
+            if stored_ids and waiting:
+                base_ids, base = np.concatenate(stored_ids), np.concatenate(stored)
+                for ids, code in waiting:
+                    for i in range(0, len(ids), CELL_BLOCK):
+                        out.append(pairs(ids[i : i + CELL_BLOCK], code[i : i + CELL_BLOCK], base_ids, base))
+            waiting.clear()
 
         for batch in batches:
             n = batch.num_rows
             if not n:
                 continue
-            place = np.stack([batch.column(i).to_numpy() for i in range(4)], 1)
+            t, cell, block = (batch.column(i).to_numpy() for i in range(3))
+            own, asks = (batch.column(i).to_numpy(zero_copy_only=False) for i in (3, 5))
             ids = batch.column(4).to_numpy()
-            x = batch.column(5).flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(n, dim)
-            cut = np.append(np.append(0, np.flatnonzero((place[1:] != place[:-1]).any(1)) + 1), n)
+            code = np.frombuffer(b"".join(batch.column(6).to_pylist()), np.int8).reshape(n, dim).astype(np.float32)
+            code /= np.linalg.norm(code, axis=1, keepdims=True)
+            change = (t[1:] != t[:-1]) | (cell[1:] != cell[:-1]) | (block[1:] != block[:-1]) | (own[1:] != own[:-1])
+            cut = np.concatenate([[0], np.flatnonzero(change) + 1, [n]])
             for b, e in zip(cut[:-1], cut[1:], strict=True):
-                cell = tuple(place[b, :3])
-                if cell != at:
-                    at, stored_ids, stored_v = cell, [], []
-                if place[b, 3] == 0:
+                place = (t[b], cell[b], block[b])
+                if place != at:
+                    flush_cell()
+                    at, stored_ids, stored = place, [], []
+                if own[b]:
                     stored_ids.append(ids[b:e])
-                    stored_v.append(x[b:e])
-                elif stored_ids:
-                    meet(ids[b:e], x[b:e])
-            if sum(map(len, out_a)) > 200_000:
-                yield from flush()
-        yield from flush()
-
-    found = rows.select("t", "cell", "block", "role", "e", "v").mapInArrow(rerank, "a bigint, b bigint, cosine double")
-    met = found.filter(F.col("cosine") >= min_cosine).dropDuplicates(["a", "b"])
-    # entries beyond the k-th can't have members among the k nearest, ties aside
-    best = met.withColumn("r", F.rank().over(Window.partitionBy("a").orderBy(F.desc("cosine")))).filter(F.col("r") <= k).drop("r")
-    return _members_of(best, members, entries, k, queries, key)
+                    stored.append(code[b:e])
+                ask = asks[b:e]
+                if ask.any():
+                    waiting.append((ids[b:e][ask], code[b:e][ask]))
+                if not own[b] and sum(len(i) for i, _ in waiting) > 4 * CELL_BLOCK:
+                    flush_cell()
+            if sum(len(x) for x, _ in out) > 200_000:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x for x, _ in out])), pa.array(np.concatenate([y for _, y in out]))], names=["a", "b"])
+                out.clear()
+        flush_cell()
+        if sum(len(x) for x, _ in out):
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x for x, _ in out])), pa.array(np.concatenate([y for _, y in out]))], names=["a", "b"])
+
+    return run
+
+
+def nearest(df: DataFrame, key: str, vector: str, dim: int, k: int = 10, tables: int = 4, probes: int = 3, seed: int = 7, joint: bool = True, min_cosine: float = -1.0, queries: DataFrame | None = None) -> DataFrame:
+    """id, neighbor, cosine, rank: for every vector (or for those whose id is in queries) the k
+    most similar others. min_cosine drops pairs below it after the exact rerank."""
+    spark = df.sparkSession
+    units = materialize(with_direction(unit_vectors(df, key, vector, dim)), "unit_vectors")
+    members = units.select("e", "id")
+    # a direction is stood for by its least id
+    asked = members.join(queries.select(F.col(key).alias("id")), "id", "left_semi").select("e").distinct() if queries is not None else None
+    heads = members.groupBy("e").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"))
+    entries = units.join(heads.select("e", "id"), ["e", "id"], "left_semi").dropDuplicates(["e"]).select("e", "v") if not _unique(members, heads) else units.select("e", "v")
+    if asked is None:
+        entries = entries.withColumn("asks", F.lit(True))
+    else:
+        entries = entries.join(asked.withColumn("asks", F.lit(True)), "e", "left").withColumn("asks", F.coalesce("asks", F.lit(False)))
+    placed = _placed(entries, dim, tables, probes, seed, joint)
+    stored = _placed(entries.withColumn("asks", F.lit(False)), dim, tables, 1, seed, joint)
+    # a heavy cell's stored entries are spread over blocks; who asks goes to every block
+    heavy = stored.groupBy("t", "cell").count().filter(F.col("count") > CELL_BLOCK).select(F.col("t").alias("h_t"), F.col("cell").alias("h_cell"), F.ceil(F.col("count") / CELL_BLOCK).cast("int").alias("blocks"))
+    both = placed.join(heavy, (F.col("t") == F.col("h_t")) & (F.col("cell") == F.col("h_cell")), "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    home = F.pmod(F.xxhash64("e"), F.col("blocks")).cast("int")
+    rows = both.withColumn("block", F.explode(F.when(F.col("asks"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(home)))).withColumn("own", F.col("own") & (F.col("block") == home))
+    rows = rows.select("t", "cell", "block", "own", "e", "asks", "code").repartition(parts(spark), "t", "cell", "block").sortWithinPartitions("t", "cell", "block", F.desc("own"))
+    met = rows.mapInArrow(_meet(dim, k, min_cosine), "a bigint, b bigint").distinct()
+    # the exact rerank, on the pairs that are left
+    va, vb = entries.select(F.col("e").alias("a"), F.col("v").alias("va")), entries.select(F.col("e").alias("b"), F.col("v").alias("vb"))
+    exact = met.join(va, "a").join(vb, "b").select("a", "b", F.aggregate(F.zip_with("va", "vb", lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x).alias("cosine")).filter(F.col("cosine") >= min_cosine)
+    best = exact.withColumn("r", F.rank().over(Window.partitionBy("a").orderBy(F.desc("cosine")))).filter(F.col("r") <= k).drop("r")
+    return _members_of(best, members, heads, k, queries, key)
+
+
+def _unique(members: DataFrame, heads: DataFrame) -> bool:
+    """Whether no two vectors have one direction: one number, which saves a shuffle of all vectors."""
+    return not heads.filter("copies > 1").limit(1).count()
 
 
 def _members_of(best: DataFrame, members: DataFrame, entries: DataFrame, k: int, queries: DataFrame | None, key: str) -> DataFrame:
