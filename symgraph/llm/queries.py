@@ -5,10 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symgraph.llm import bpe, neighbors, packing, spans
+from symgraph.llm import bpe, neighbors, packing, spans, syntax
 from symgraph.sources.tables import table
 
 
+def _repairs(spark: SparkSession, d: str) -> DataFrame:
+    return syntax.repairs(table(spark, d, "documents"))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return _repairs(spark, d).filter("cost > 0").select("path").distinct()
+
+
+def p2_repairs(spark: SparkSession, d: str) -> DataFrame:
+    """Per file that doesn't parse: edits needed and the kind of damage."""
+    return _repairs(spark, d).filter("cost > 0").select("path", "cost", "damage", "n_tokens")
+
+
+def p2_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Per repository and language, as last reported in files: source files and those that don't parse."""
+    files = table(spark, d, "files").filter("path IS NOT NULL").groupBy("path").agg(F.max(F.struct("last_modified", "seen_at", "file_language", "repo_id")).alias("f")).select(F.col("path").alias("f_path"), "f.repo_id", "f.file_language")
+    judged = _repairs(spark, d).filter("cost IS NOT NULL").join(files, F.col("path") == F.col("f_path"))
+    return judged.groupBy("repo_id", "file_language").agg(F.count(F.lit(1)).alias("n_files"), F.count_if("cost > 0").alias("n_broken")).withColumn("share", F.round(F.col("n_broken") / F.col("n_files"), 6))
+
+
 def _latest_symbols(spark: SparkSession, d: str, *cols: str) -> DataFrame:
     """The latest row of each symbol: map-side combined, rows equal in time are equal throughout."""
     s = table(spark, d, "symbols").select("qualified_name", F.struct("indexed_at", *cols).alias("s"))
@@ -24,7 +44,7 @@ def p6_neighbors(spark: SparkSession, d: str) -> DataFrame:
     """The 10 most similar symbols of each symbol whose hash is divisible by 100, against all symbols."""
     latest = _latest_symbols(spark, d, "embedding")
     asked = latest.filter(F.pmod(F.xxhash64("qualified_name"), F.lit(100)) == 0).select("qualified_name")
-    return neighbors.nearest(latest, "qualified_name", "embedding", 64, k=10, joint=False, tables=12, probes=24, queries=asked).select(F.col("id").alias("qualified_name"), "neighbor", F.round("cosine", 6).alias("cosine"), "rank")
+    return neighbors.nearest(latest, "qualified_name", "embedding", 64, k=10, joint=False, tables=10, probes=12, queries=asked).select(F.col("id").alias("qualified_name"), "neighbor", F.round("cosine", 6).alias("cosine"), "rank")
 
 
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
@@ -48,6 +68,6 @@ def p10_shared(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_share(table(spark, d, "documents"))
 
 
-QUERIES = {"p6_found": p6_found, "p6_neighbors": p6_neighbors, "p8_ids": p8_ids, "p9_packing": p9_packing, "p9_fill": p9_fill, "p10_found": p10_found, "p10_shared": p10_shared}
+QUERIES = {"p2_found": p2_found, "p2_repairs": p2_repairs, "p2_rates": p2_rates, "p6_found": p6_found, "p6_neighbors": p6_neighbors, "p8_ids": p8_ids, "p9_packing": p9_packing, "p9_fill": p9_fill, "p10_found": p10_found, "p10_shared": p10_shared}
 
 ORACLES: dict[str, str] = {}
