@@ -5,10 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symgraph.llm import bpe, neighbors, packing, spans, syntax
+from symgraph.llm import bpe, funcdocs, handwritten, neighbors, packing, spans, syntax
 from symgraph.sources.tables import table
 
 
+def p1_reasons(spark: SparkSession, d: str) -> DataFrame:
+    return handwritten.not_handwritten(table(spark, d, "files"), table(spark, d, "documents"))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return p1_reasons(spark, d).select("path")
+
+
 def _repairs(spark: SparkSession, d: str) -> DataFrame:
     return syntax.repairs(table(spark, d, "documents"))
 
@@ -47,6 +55,17 @@ def p6_neighbors(spark: SparkSession, d: str) -> DataFrame:
     return neighbors.nearest(latest, "qualified_name", "embedding", 64, k=10, joint=False, tables=10, probes=12, queries=asked).select(F.col("id").alias("qualified_name"), "neighbor", F.round("cosine", 6).alias("cosine"), "rank")
 
 
+_FN = ("short_name", "kind", "file_path", "start_line", "signature", "jsdoc", "synthesized_description")
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return funcdocs.documented(_latest_symbols(spark, d, *_FN), table(spark, d, "documents")).select("qualified_name")
+
+
+def p7_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return funcdocs.pairs(_latest_symbols(spark, d, *_FN), table(spark, d, "documents"))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode_texts(table(spark, d, "documents"))
 
@@ -68,6 +87,6 @@ def p10_shared(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_share(table(spark, d, "documents"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_repairs": p2_repairs, "p2_rates": p2_rates, "p6_found": p6_found, "p6_neighbors": p6_neighbors, "p8_ids": p8_ids, "p9_packing": p9_packing, "p9_fill": p9_fill, "p10_found": p10_found, "p10_shared": p10_shared}
+QUERIES = {"p1_found": p1_found, "p1_reasons": p1_reasons, "p2_found": p2_found, "p2_repairs": p2_repairs, "p2_rates": p2_rates, "p6_found": p6_found, "p6_neighbors": p6_neighbors, "p7_found": p7_found, "p7_pairs": p7_pairs, "p8_ids": p8_ids, "p9_packing": p9_packing, "p9_fill": p9_fill, "p10_found": p10_found, "p10_shared": p10_shared}
 
 ORACLES: dict[str, str] = {}
