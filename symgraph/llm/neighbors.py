@@ -34,8 +34,9 @@ from symgraph.session import materialize, parts
 CELL_BLOCK = 4096
 #: Coordinates of unit vectors are compared to this many binary digits for being copies.
 SAME = 18
-#: How far a cosine of the byte codes may lie below the true one (rounding gives under 0.01).
-SLACK = 0.02
+#: How far a cosine of the half-byte codes may lie below the true one: rounding moves it by about
+#: 0.02 (one standard deviation, 64 dimensions).
+SLACK = 0.1
 
 
 @cache
@@ -106,32 +107,36 @@ def with_direction(units: DataFrame) -> DataFrame:
 
 
 def _placed(entries: DataFrame, dim: int, tables: int, probes: int, seed: int, joint: bool) -> DataFrame:
-    """Rows (t, cell, own, e, asks, code): an entry in the cell it is stored in (own) and in those it
-    looks into. code: the vector in bytes, a quarter of its size, for a first reckoning."""
+    """Rows (place, role, e, code): an entry in the cell it is stored in and in those it looks into.
+    place: table and cell. role: 0 stored, 1 stored and asking, 2 asking. code: the vector in
+    half bytes, an eighth of its size, for a first reckoning."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(-1, dim)
-            asks = batch.column(2)
-            code = np.rint(x * 127 / np.abs(x).max(1, keepdims=True)).astype(np.int8)
-            packed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(dim), len(x), [None, pa.py_buffer(np.ascontiguousarray(code).tobytes())]).cast(pa.binary())
+            code = np.rint(x * 7 / np.abs(x).max(1, keepdims=True)).astype(np.int8).view(np.uint8) + np.uint8(8)
+            code = (code[:, ::2] | (code[:, 1::2] << 4)) if dim % 2 == 0 else code
+            packed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(code.shape[1]), len(x), [None, pa.py_buffer(np.ascontiguousarray(code).tobytes())]).cast(pa.binary())
+            asks = np.asarray(batch.column(2).to_numpy(zero_copy_only=False))
             for t, cell in cells(x, tables, probes, seed, joint):
                 n, p = cell.shape
                 # who doesn't ask is only stored
                 here = np.ones((n, p), bool)
-                here[~np.asarray(asks.to_numpy(zero_copy_only=False)), 1:] = False
+                here[~asks, 1:] = False
                 row, probe = np.nonzero(here)
                 take = pa.array(row)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), t, np.int32)), pa.array(cell[row, probe].astype(np.int32)), pa.array(probe == 0), batch.column(0).take(take), asks.take(take), packed.take(take)], names=["t", "cell", "own", "e", "asks", "code"])
+                role = np.where(probe > 0, 2, asks[row].astype(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array((t << 24) + cell[row, probe].astype(np.int64)), pa.array(role), batch.column(0).take(take), packed.take(take)], names=["place", "role", "e", "code"])
 
-    return entries.select("e", "v", "asks").mapInArrow(run, "t int, cell int, own boolean, e bigint, asks boolean, code binary")
+    return entries.select("e", "v", "asks").mapInArrow(run, "place bigint, role bigint, e bigint, code binary")
 
 
 def _meet(dim: int, k: int, min_cosine: float):
     """Blocks of cells, sorted with their stored entries first, to pairs (a, b) that may be near."""
-    wide = 4 * k
+    # without a least cosine each block keeps several times k by the codes
+    wide = 8 * k
 
     def pairs(ids: np.ndarray, code: np.ndarray, base_ids: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         c = code @ base.T
@@ -161,25 +166,25 @@ def _meet(dim: int, k: int, min_cosine: float):
             n = batch.num_rows
             if not n:
                 continue
-            t, cell, block = (batch.column(i).to_numpy() for i in range(3))
-            own, asks = (batch.column(i).to_numpy(zero_copy_only=False) for i in (3, 5))
-            ids = batch.column(4).to_numpy()
-            code = np.frombuffer(b"".join(batch.column(6).to_pylist()), np.int8).reshape(n, dim).astype(np.float32)
+            key = batch.column(0).to_numpy()
+            place, role = key >> 2, key & 3
+            ids = batch.column(1).to_numpy()
+            code = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(n, -1)
+            if dim % 2 == 0:
+                code = np.stack([code & 15, code >> 4], 2).reshape(n, dim)
+            code = code.astype(np.float32) - 8
             code /= np.linalg.norm(code, axis=1, keepdims=True)
-            change = (t[1:] != t[:-1]) | (cell[1:] != cell[:-1]) | (block[1:] != block[:-1]) | (own[1:] != own[:-1])
-            cut = np.concatenate([[0], np.flatnonzero(change) + 1, [n]])
+            cut = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [n]])
             for b, e in zip(cut[:-1], cut[1:], strict=True):
-                place = (t[b], cell[b], block[b])
-                if place != at:
+                if place[b] != at:
                     flush_cell()
-                    at, stored_ids, stored = place, [], []
-                if own[b]:
+                    at, stored_ids, stored = place[b], [], []
+                if role[b] < 2:
                     stored_ids.append(ids[b:e])
                     stored.append(code[b:e])
-                ask = asks[b:e]
-                if ask.any():
-                    waiting.append((ids[b:e][ask], code[b:e][ask]))
-                if not own[b] and sum(len(i) for i, _ in waiting) > 4 * CELL_BLOCK:
+                if role[b] > 0:
+                    waiting.append((ids[b:e], code[b:e]))
+                if role[b] == 2 and sum(len(i) for i, _ in waiting) > 4 * CELL_BLOCK:
                     flush_cell()
             if sum(len(x) for x, _ in out) > 200_000:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x for x, _ in out])), pa.array(np.concatenate([y for _, y in out]))], names=["a", "b"])
@@ -208,14 +213,19 @@ def nearest(df: DataFrame, key: str, vector: str, dim: int, k: int = 10, tables:
     placed = _placed(entries, dim, tables, probes, seed, joint)
     stored = _placed(entries.withColumn("asks", F.lit(False)), dim, tables, 1, seed, joint)
     # a heavy cell's stored entries are spread over blocks; who asks goes to every block
-    heavy = stored.groupBy("t", "cell").count().filter(F.col("count") > CELL_BLOCK).select(F.col("t").alias("h_t"), F.col("cell").alias("h_cell"), F.ceil(F.col("count") / CELL_BLOCK).cast("int").alias("blocks"))
-    both = placed.join(heavy, (F.col("t") == F.col("h_t")) & (F.col("cell") == F.col("h_cell")), "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    heavy = stored.groupBy("place").count().filter(F.col("count") > CELL_BLOCK).select(F.col("place").alias("h"), F.ceil(F.col("count") / CELL_BLOCK).cast("int").alias("blocks"))
+    both = placed.join(heavy, F.col("place") == F.col("h"), "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     home = F.pmod(F.xxhash64("e"), F.col("blocks")).cast("int")
-    rows = both.withColumn("block", F.explode(F.when(F.col("asks"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(home)))).withColumn("own", F.col("own") & (F.col("block") == home))
-    rows = rows.select("t", "cell", "block", "own", "e", "asks", "code").repartition(parts(spark), "t", "cell", "block").sortWithinPartitions("t", "cell", "block", F.desc("own"))
-    met = rows.mapInArrow(_meet(dim, k, min_cosine), "a bigint, b bigint").distinct()
+    spread = both.withColumn("block", F.explode(F.when(F.col("role") > 0, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(home))))
+    # stored in one block of a heavy cell, who is stored elsewhere only asks here
+    role = F.when(F.col("block") == home, F.col("role")).otherwise(F.lit(2).cast("long"))
+    rows = spread.select(((F.col("place") * F.lit(1 << 22) + F.col("block")) * 4 + role).alias("key"), "e", "code")
+    met = rows.repartition(parts(spark), F.expr("shiftright(key, 2)")).sortWithinPartitions("key").mapInArrow(_meet(dim, k, min_cosine), "a bigint, b bigint").distinct()
     # the exact rerank, on the pairs that are left
-    va, vb = entries.select(F.col("e").alias("a"), F.col("v").alias("va")), entries.select(F.col("e").alias("b"), F.col("v").alias("vb"))
+    met = materialize(met, "candidate_pairs")
+    near = met.select(F.explode(F.array("a", "b")).alias("e")).distinct()
+    kept = entries.select("e", "v").join(near, "e", "left_semi")
+    va, vb = kept.select(F.col("e").alias("a"), F.col("v").alias("va")), kept.select(F.col("e").alias("b"), F.col("v").alias("vb"))
     exact = met.join(va, "a").join(vb, "b").select("a", "b", F.aggregate(F.zip_with("va", "vb", lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x).alias("cosine")).filter(F.col("cosine") >= min_cosine)
     best = exact.withColumn("r", F.rank().over(Window.partitionBy("a").orderBy(F.desc("cosine")))).filter(F.col("r") <= k).drop("r")
     return _members_of(best, members, heads, k, queries, key)
