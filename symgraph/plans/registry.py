@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from symgraph.plans import data_queries
+from symgraph.plans import data_queries, graph_queries
 
-_MODULES = [data_queries]
+_MODULES = [graph_queries, data_queries]
 
 
 def queries() -> dict:
