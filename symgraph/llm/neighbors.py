@@ -32,6 +32,8 @@ from symgraph.session import materialize, parts
 
 #: Stored entries of one cell met at once.
 CELL_BLOCK = 4096
+#: Ids in a list that goes to every executor instead of a shuffle of all vectors: some 10 MB.
+BROADCAST_ROWS = 250_000
 #: Coordinates of unit vectors are compared to this many binary digits for being copies.
 SAME = 18
 #: How far a cosine of the half-byte codes may lie below the true one: rounding moves it by about
@@ -91,19 +93,31 @@ def cells(x: np.ndarray, tables: int, probes: int, seed: int, joint: bool = True
 
 
 def unit_vectors(df: DataFrame, key: str, vector: str, dim: int) -> DataFrame:
-    """id, v: usable vectors, scaled to length 1 (in double, kept as float)."""
-    v = F.col(vector).cast("array<double>")
-    ok = (F.size(v) == dim) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    # scaled by the greatest first, so that squares neither vanish nor overflow
-    big = df.filter(F.col(vector).isNotNull() & ok).select(F.col(key).alias("id"), v.alias("v")).withColumn("m", F.array_max(F.transform("v", F.abs))).filter("m > 0")
-    scaled = big.select("id", F.transform("v", lambda x: x / F.col("m")).alias("v"))
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    return scaled.withColumn("n", norm).select("id", F.transform("v", lambda x: x / F.col("n")).cast("array<float>").alias("v"))
+    """id, e, v: usable vectors scaled to length 1 (in double, kept as float), with their direction e: a hash
+    of the rounded vector, equal for copies at any scale."""
+    kind = df.schema[key].dataType.simpleString()
+    odd = np.random.default_rng(11).integers(0, 1 << 63, dim, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+            big = np.abs(x).max(1, initial=0)
+            ok = np.flatnonzero(np.isfinite(big) & (big > 0))
+            # scaled by the greatest first, so that squares neither vanish nor overflow
+            x = x[ok] / big[ok, None]
+            x /= np.linalg.norm(x, axis=1, keepdims=True)
+            h = (np.rint(x * (1 << SAME)).astype(np.int64).view(np.uint64) * odd).sum(1, dtype=np.uint64)
+            h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+            h = (h ^ (h >> np.uint64(29))).view(np.int64)
+            v = pa.ListArray.from_arrays(pa.array(np.arange(len(ok) + 1, dtype=np.int32) * dim), pa.array(x.astype(np.float32).reshape(-1)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ok)), pa.array(h), v], names=["id", "e", "v"])
+
+    return df.filter(F.size(vector) == dim).select(key, vector).mapInArrow(run, f"id {kind}, e bigint, v array<float>")
 
-def with_direction(units: DataFrame) -> DataFrame:
-    """Adds e, the direction: the hash of the rounded vector, equal for copies at any scale."""
-    return units.withColumn("e", F.xxhash64(F.transform("v", lambda x: F.round(x.cast("double") * F.lit(float(1 << SAME))).cast("int"))))
+
+def _small(df: DataFrame, rows: int) -> DataFrame:
+    """With the hint to broadcast if it has at most so many rows; else as it is, for a shuffled join."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
 def _placed(entries: DataFrame, dim: int, tables: int, probes: int, seed: int, joint: bool) -> DataFrame:
@@ -200,12 +214,14 @@ def nearest(df: DataFrame, key: str, vector: str, dim: int, k: int = 10, tables:
     """id, neighbor, cosine, rank: for every vector (or for those whose id is in queries) the k
     most similar others. min_cosine drops pairs below it after the exact rerank."""
     spark = df.sparkSession
-    units = materialize(with_direction(unit_vectors(df, key, vector, dim)), "unit_vectors")
+    units = materialize(unit_vectors(df, key, vector, dim), "unit_vectors")
     members = units.select("e", "id")
     # a direction is stood for by its least id
     asked = members.join(queries.select(F.col(key).alias("id")), "id", "left_semi").select("e").distinct() if queries is not None else None
-    heads = members.groupBy("e").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"))
-    entries = units.join(heads.select("e", "id"), ["e", "id"], "left_semi").dropDuplicates(["e"]).select("e", "v") if not _unique(members, heads) else units.select("e", "v")
+    heads = materialize(members.groupBy("e").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("copies")), "directions")
+    several = heads.filter("copies > 1")
+    others = materialize(members.join(several, "e").filter(F.col("id") > F.col("head")).select("id"), "copies")
+    entries = units.join(_small(others, BROADCAST_ROWS), "id", "left_anti").select("e", "v")
     if asked is None:
         entries = entries.withColumn("asks", F.lit(True))
     else:
@@ -223,19 +239,14 @@ def nearest(df: DataFrame, key: str, vector: str, dim: int, k: int = 10, tables:
     met = rows.repartition(parts(spark), F.expr("shiftright(key, 2)")).sortWithinPartitions("key").mapInArrow(_meet(dim, k, min_cosine), "a bigint, b bigint").distinct()
     # the exact rerank, on the pairs that are left
     met = materialize(met, "candidate_pairs")
-    near = met.select(F.explode(F.array("a", "b")).alias("e")).distinct()
-    kept = entries.select("e", "v").join(near, "e", "left_semi")
+    near = materialize(met.select(F.explode(F.array("a", "b")).alias("e")).distinct(), "near")
+    kept = entries.select("e", "v").join(_small(near, BROADCAST_ROWS), "e", "left_semi")
     va, vb = kept.select(F.col("e").alias("a"), F.col("v").alias("va")), kept.select(F.col("e").alias("b"), F.col("v").alias("vb"))
     exact = met.join(va, "a").join(vb, "b").select("a", "b", F.aggregate(F.zip_with("va", "vb", lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x).alias("cosine")).filter(F.col("cosine") >= min_cosine)
     best = exact.withColumn("r", F.rank().over(Window.partitionBy("a").orderBy(F.desc("cosine")))).filter(F.col("r") <= k).drop("r")
     return _members_of(best, members, heads, k, queries, key)
 
 
-def _unique(members: DataFrame, heads: DataFrame) -> bool:
-    """Whether no two vectors have one direction: one number, which saves a shuffle of all vectors."""
-    return not heads.filter("copies > 1").limit(1).count()
-
-
 def _members_of(best: DataFrame, members: DataFrame, entries: DataFrame, k: int, queries: DataFrame | None, key: str) -> DataFrame:
     """From entries to vectors: each member of a has the members of its neighbours and its own
     copies. Of an entry's members only the k + 1 least ids can be among anyone's k nearest."""
