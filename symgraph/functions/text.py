@@ -35,14 +35,15 @@ def trim_unicode(x: Column | str) -> Column:
 
 def lines(text: Column | str) -> Column:
     """Lines without their ends: \\n or \\r\\n, and no empty line after a final end."""
-    t = F.regexp_replace(_c(text), "\r\n", "\n")
-    return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(F.regexp_replace(t, "\n\\z", ""), "\n", -1))
+    t = F.replace(_c(text), F.lit("\r\n"), F.lit("\n"))
+    body = F.when(t.endswith("\n"), F.left(t, F.length(t) - 1)).otherwise(t)
+    return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(body, "\n", -1))
 
 
-def body_slice(text: Column | str, start: Column | str, end: Column | str, limit: int = BODY_LINES) -> Column:
-    """Lines start to end (from 1, both inclusive), at most `limit` of them and then a mark; null for no
-    text or an empty range."""
-    ls, start, end = lines(text), _c(start), _c(end)
+def body_slice(ls: Column | str, start: Column | str, end: Column | str, limit: int = BODY_LINES) -> Column:
+    """Lines start to end (from 1, both inclusive) of an array of lines, at most `limit` of them and then a
+    mark; null for no lines or an empty range. Texts are split once, before they meet their symbols."""
+    ls, start, end = _c(ls), _c(start), _c(end)
     n = F.least(end, F.size(ls)) - start + 1
     head = F.array_join(F.slice(ls, start, F.greatest(F.least(n, F.lit(limit)), F.lit(0))), "\n")
     return F.when((start >= 1) & (n >= 1), F.when(n > limit, F.concat(head, F.lit("\n" + TRUNCATED))).otherwise(head))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from symgraph.functions.text import language_of, short_name
 from symgraph.operators.extract import lexer, rust, typescript
+from symgraph.session import spread
 
 _SYMBOL = pa.struct([("name", pa.string()), ("kind", pa.string()), ("start_line", pa.int32()), ("end_line", pa.int32()), ("signature", pa.string()), ("exported", pa.bool_())])
 _EDGE = pa.struct([("from", pa.string()), ("to", pa.string()), ("kind", pa.string()), ("line", pa.int32())])
@@ -29,7 +30,8 @@ def extract_files(files: DataFrame) -> DataFrame:
             out = [extract(p.as_py(), t.as_py()) for p, t in zip(batch.column(0), batch.column(1), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s for s, _ in out], pa.list_(_SYMBOL)), pa.array([e for _, e in out], pa.list_(_EDGE))], names=["path", "symbols", "edges"])
 
-    return files.filter(language_of("path").isNotNull() & F.col("text").isNotNull()).select("path", "text").mapInArrow(run, _DDL)
+    source = files.filter(language_of("path").isNotNull() & F.col("text").isNotNull()).select("path", "text")
+    return spread(source, "path").mapInArrow(run, _DDL)
 
 
 def symbols_of(extracted: DataFrame) -> DataFrame:

@@ -17,6 +17,8 @@ def bfs(edges: DataFrame, seeds: DataFrame, depth: int | None, stop: DataFrame |
     """node, depth: least number of steps from any seed (node) along edges (src, dst). Nodes in stop are
     reached but not gone on from (seeds are). Self loops and cycles are harmless."""
     pairs = edges.select("src", "dst").distinct()
+    if depth is None or depth > 1:
+        pairs = materialize(pairs, "bfs_edges")  # read once per level
     visited = materialize(seeds.select("node").distinct().withColumn("depth", F.lit(0)), "bfs")
     frontier, level = visited, 0
     while depth is None or level < depth:
@@ -56,7 +58,7 @@ def shortest_path(edges: DataFrame, start: str, goal: str, depth: int = 8) -> Da
     rows. Levels are found forwards; the path is then read backwards from the goal, so that each level
     carries nodes and not paths."""
     spark = edges.sparkSession
-    pairs = _calls(edges)
+    pairs = materialize(_calls(edges).distinct(), "bfs_edges")
     levels = bfs(pairs, spark.createDataFrame([(start,)], "node string"), depth)
     end = levels.filter(F.col("node") == goal).first()
     if end is None:
@@ -89,7 +91,7 @@ def dead(edges: DataFrame, symbols: DataFrame, entries: DataFrame, depth: int |
 
 def tested_by(edges: DataFrame, tests: DataFrame, depth: int) -> DataFrame:
     """target, test: what each test (node) reaches along calls within depth. The walk carries its test."""
-    pairs = _calls(edges).distinct()
+    pairs = materialize(_calls(edges).distinct(), "bfs_edges")
     seen = materialize(tests.select(F.col("node").alias("test"), F.col("node").alias("node")).distinct(), "tested")
     frontier = seen
     for _ in range(depth):

@@ -232,9 +232,9 @@ sliced AS (SELECT qualified_name, signature, n, CASE WHEN a >= 1 AND n >= 1 THEN
 
 
 def _bodies(s, d, *cols):
-    docs = table(s, d, "documents").filter("path IS NOT NULL").select("path", "text")
+    docs = table(s, d, "documents").filter("path IS NOT NULL").select("path", X.lines("text").alias("ls"))
     sym = symbols(s, d, "short_name", "file_path", "start_line", "end_line", "signature", *cols)
-    return sym.join(docs, F.col("file_path") == F.col("path")).withColumn("body", X.body_slice("text", "start_line", "end_line"))
+    return sym.join(docs, F.col("file_path") == F.col("path")).withColumn("body", X.body_slice("ls", "start_line", "end_line"))
 
 
 @query("body_slice", f"{_WITH}, {_BODY} SELECT qualified_name, sha256(signature || chr(10) || chr(10) || body) AS body_hash FROM sliced")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symgraph.functions.text import body_hash, body_slice, content_hash, excluded, language_of
+from symgraph.functions.text import body_hash, body_slice, content_hash, excluded, language_of, lines
 from symgraph.operators import resolve, store
 from symgraph.operators.extract.run import edges_of, extract_files, symbols_of
 from symgraph.operators.models import Embedder, embed_column
@@ -37,15 +37,15 @@ def index(files: DataFrame, embedder: Embedder | None = None) -> tuple[DataFrame
     imports, which stay at the level of files."""
     extracted = extract_files(files)
     syms = store.last_per_key(symbols_of(extracted), ["qualified_name"], [F.col("ordinal")]).drop("ordinal")
-    texts = files.select(F.col("path").alias("file_path"), "text")
-    bodies = syms.join(texts, "file_path").withColumn("body", body_slice("text", "start_line", "end_line")).withColumn("body_hash", body_hash("signature", "body"))
+    texts = files.select(F.col("path").alias("file_path"), lines("text").alias("ls"))
+    bodies = syms.join(texts, "file_path").withColumn("body", body_slice("ls", "start_line", "end_line")).withColumn("body_hash", body_hash("signature", "body"))
     if embedder is not None:
         bodies = embed_column(bodies.withColumn("__t", F.concat_ws("\n\n", "signature", "body")), embedder, "__t").drop("__t")
     resolved = resolve.same_file(edges_of(extracted), syms)
     edges = resolved.select("from_qname", F.col("to_resolved").alias("to_qname"), "kind", "edge_source").distinct()
     kept = store.with_endpoints(edges.filter("kind <> 'imports'"), syms).unionByName(edges.filter("kind = 'imports'"))
     records = files.select("path", "file_language", "content_hash", "last_modified", F.lit(EXTRACTOR_VERSION).alias("extractor_version"))
-    return bodies.drop("text", "body"), kept, records
+    return bodies.drop("ls", "body"), kept, records
 
 
 def lsp_edges(spark: SparkSession, path: str) -> DataFrame:

@@ -17,7 +17,7 @@ def test_lines(spark):
 
 def test_body_slice(spark):
     long = "\n".join(map(str, range(200)))
-    got = col(spark, X.body_slice("x", "a", "b"), (long, 1, 200), ("a\nb\nc\n", 2, 9), ("a", 2, 3), (None, 1, 1), ("a\nb", 0, 1), schema="x string, a int, b int")
+    got = col(spark, X.body_slice(X.lines("x"), "a", "b"), (long, 1, 200), ("a\nb\nc\n", 2, 9), ("a", 2, 3), (None, 1, 1), ("a\nb", 0, 1), schema="x string, a int, b int")
     assert got[0].split("\n")[59] == "59" and got[0].endswith("\n" + X.TRUNCATED) and len(got[0].split("\n")) == 61
     assert got[1:] == ["b\nc", None, None, None]
 
