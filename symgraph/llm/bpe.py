@@ -29,6 +29,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from symgraph.session import spread
+
 #: Folder of the vocabulary files; a parameter of every operator here.
 TOKENIZERS = "/opt/tokenizers"
 #: Words whose encodings a worker keeps; beyond it the store starts anew (a cache only).
@@ -207,7 +209,7 @@ def encode_texts(df: DataFrame, key: str = "doc_id", text: str = "text", vocabul
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, i + 1 - start), pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), values)], names=[key, "ids"])
                     start, lengths, out = i + 1, [0], []
 
-    return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, ids array<int>")
+    return spread(df.select(key, text), key).mapInArrow(run, f"`{key}` {kind}, ids array<int>")
 
 
 def count_tokens(df: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str = "byte_bpe_50k.tiktoken", folder: str = TOKENIZERS) -> DataFrame:
@@ -221,7 +223,7 @@ def count_tokens(df: DataFrame, key: str = "doc_id", text: str = "text", vocabul
             counts = pa.array([len(enc.encode(t.as_py())) // 4 for t in batch.column(1)], pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column(0), counts], names=[key, "n_tokens"])
 
-    return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, n_tokens int")
+    return spread(df.select(key, text), key).mapInArrow(run, f"`{key}` {kind}, n_tokens int")
 
 
 def decode_ids(df: DataFrame, key: str = "doc_id", ids: str = "ids", vocabulary: str = "byte_bpe_50k.tiktoken", folder: str = TOKENIZERS) -> DataFrame:

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from symgraph.session import materialize
+from symgraph.session import materialize, spread
 
 SPAN = 200
 KMER = 96
@@ -132,7 +132,7 @@ def super_kmers(docs: DataFrame, key: str, text: str, span: int, k: int) -> Data
                 shift = np.array([o for _, o, _ in group]) - np.append(0, ends[:-1])
                 yield pa.RecordBatch.from_arrays([pa.array(mz), batch.column(0).take(pa.array(rows)), pa.array((at + shift[owner]).astype(np.int32)), pa.array(n.astype(np.int32))], names=["mz", key, "start", "n"])
 
-    return docs.select(key, text).mapInArrow(run, f"mz bigint, `{key}` {kind}, start int, n int")
+    return spread(docs.select(key, text), key).mapInArrow(run, f"mz bigint, `{key}` {kind}, start int, n int")
 
 
 def packed_strings(docs: DataFrame, runs: DataFrame, key: str, text: str, span: int) -> DataFrame:
