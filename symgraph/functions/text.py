@@ -6,10 +6,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Lines of a body that are kept, and what stands for the rest.
+# fixed values: lines of a body that are kept, what stands for the rest, characters shown to a reranker
 BODY_LINES = 60
 TRUNCATED = "// ... (body truncated)"
-#: Characters of a document shown to a reranker.
 RERANK_CHARS = 1500
 
 

@@ -16,11 +16,11 @@ def co_change(changes: DataFrame, least: int = 2, decay: float = 0.01, commits:
     size = ch.groupBy("commit_id").agg(F.count(F.lit(1)).alias("size"), F.max("at").alias("c_at")).filter(F.col("size").between(2, widest))
     if commits is not None:
         size = size.orderBy(F.desc("c_at"), F.desc("commit_id")).limit(commits)
-    newest = ch.agg(F.max("at").alias("newest"))
+    newest = ch.agg(F.max("at")).scalar()
     kept = ch.join(size.select("commit_id", "c_at"), "commit_id")
     a, b = kept.select("commit_id", "c_at", F.col("item").alias("a")), kept.select("commit_id", F.col("item").alias("b"))
-    pairs = a.join(b, "commit_id").filter("a < b").crossJoin(F.broadcast(newest))
-    age = F.datediff("newest", "c_at")
+    pairs = a.join(b, "commit_id").filter("a < b")
+    age = F.datediff(newest, "c_at")
     return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.max("c_at").alias("last_seen"), F.round(F.sum(F.exp(-F.lit(decay) * age)), 6).alias("weight")).filter(F.col("n") >= least)
 
 
@@ -31,8 +31,8 @@ def modified_in(changes: DataFrame) -> DataFrame:
 
 def recent(changes: DataFrame, days: int) -> DataFrame:
     """item, n: changes within so many days of the newest one."""
-    newest = changes.agg(F.max("at").alias("newest"))
-    return changes.crossJoin(F.broadcast(newest)).filter(F.datediff("newest", "at") <= days).groupBy("item").agg(F.count(F.lit(1)).alias("n"))
+    newest = changes.agg(F.max("at")).scalar()
+    return changes.filter(F.datediff(newest, "at") <= days).groupBy("item").agg(F.count(F.lit(1)).alias("n"))
 
 
 def canonical(df: DataFrame, group: str, form: Column | str, member: str) -> DataFrame:

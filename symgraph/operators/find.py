@@ -44,8 +44,8 @@ def reranked(cands: DataFrame, rerank: Column, k: int = RESULTS) -> DataFrame:
     """node, cosine, rerank, origin, reranker_degraded: best rerank first, ties by cosine. Where the reranker has
     no opinion on any candidate, the order is that of the cosine and the flag says so."""
     scored = cands.withColumn("rerank", rerank)
-    degraded = scored.agg((F.count("rerank") == 0).alias("reranker_degraded"))
-    return scored.crossJoin(F.broadcast(degraded)).orderBy(F.desc_nulls_last("rerank"), F.desc_nulls_last("cosine"), "node").limit(k).select("node", "cosine", "rerank", "origin", "reranker_degraded")
+    degraded = scored.agg(F.count("rerank") == 0).scalar()
+    return scored.withColumn("reranker_degraded", degraded).orderBy(F.desc_nulls_last("rerank"), F.desc_nulls_last("cosine"), "node").limit(k).select("node", "cosine", "rerank", "origin", "reranker_degraded")
 
 
 def rerank_document(description: Column, signature: Column, body: Column) -> Column:

@@ -132,8 +132,8 @@ def orphan_references(edges: DataFrame, raw_edges: DataFrame, symbols: DataFrame
     refs = references(edges, raw_edges).withColumn("period", F.coalesce(_period(F.col("at")), F.lit(-1)))
     key_periods = refs.groupBy("ns", "key", "period").agg(F.count(F.lit(1)).alias("n_refs"))
     bits = orphan_bits(key_periods, targets(symbols, files, removed), buckets)
-    total = key_periods.agg(F.sum("n_refs").alias("total"))
-    bits = bits.crossJoin(F.broadcast(total)).withColumn("heavy", F.col("n_refs") * HEAVY >= F.col("total")).select(F.col("ns").alias("b_ns"), F.col("key").alias("b_key"), F.col("period").alias("b_period"), "first_seen", "is_removed", "occurs", "heavy")
+    total = key_periods.agg(F.sum("n_refs")).scalar()
+    bits = bits.withColumn("heavy", F.col("n_refs") * HEAVY >= total).select(F.col("ns").alias("b_ns"), F.col("key").alias("b_key"), F.col("period").alias("b_period"), "first_seen", "is_removed", "occurs", "heavy")
     bits = materialize(bits, "orphan_bits")
     on = reduce(lambda a, b: a & b, [F.col(c) == F.col(f"b_{c}") for c in ("ns", "key", "period")])
     # heavy pairs, at most HEAVY, go to the rows; all other pairs hold under a thousandth

@@ -98,8 +98,9 @@ def partial_states(df: DataFrame, keys: list[str], value: str, tie: str | None =
     that makes the order total, so that even one (key, value) pair may be split."""
     order = [*keys, "__value"] + (["__tie"] if tie else [])
     cols = [*keys, F.col(value).cast("string").alias("__value")] + ([F.col(tie).alias("__tie")] if tie else [])
-    n = partitions or parts(df.sparkSession)
-    ranged = df.select(*cols).repartitionByRange(n, *order).sortWithinPartitions(*order)
+    narrow = df.select(*cols)
+    n = partitions or parts(narrow)
+    ranged = narrow.repartitionByRange(n, *order).sortWithinPartitions(*order)
     # the partition's number goes in before Python, where it isn't known
     ranged = ranged.select(*keys, "__value", F.spark_partition_id().alias("__pid"))
     fields = {f.name: f for f in df.schema.fields}
@@ -122,5 +123,5 @@ def skew_aggregate(df: DataFrame, keys: list[str], value: str, tie: str | None =
 def heavy_keys(per_key: DataFrame, keys: list[str], share: float) -> DataFrame:
     """Keys that hold at least `share` of all rows; per_key has n_rows. The total is
     one number, summed over the per-key rows."""
-    total = per_key.agg(F.sum("n_rows").alias("__total"))
-    return per_key.join(F.broadcast(total), F.col("n_rows") >= F.col("__total") * F.lit(share)).select(*keys, "n_rows")
+    total = per_key.agg(F.sum("n_rows")).scalar()
+    return per_key.filter(F.col("n_rows") >= total * F.lit(share)).select(*keys, "n_rows")

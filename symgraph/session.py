@@ -43,10 +43,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def parts(spark: SparkSession, factor: float = 1.0) -> int:
-    """Partitions for an explicit repartitioning: follows the session's setting,
-    which is what a cluster sizes to its data."""
-    return max(1, int(int(spark.conf.get("spark.sql.shuffle.partitions")) * factor))
+#: Bytes of a scan that one partition of an explicit repartitioning should hold.
+PARTITION_BYTES = 64 << 20
+
+
+def parts(df: DataFrame) -> int:
+    """Partitions for an explicit repartitioning of df: as the session says, and more where the optimizer
+    expects more bytes than these should hold."""
+    expected = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    fit = -(-expected // PARTITION_BYTES) if expected < 1 << 60 else 1  # unknown sizes count as huge
+    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), fit)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
