@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from symgraph.session import materialize, parts
+from symgraph.session import materialize
 
 #: Stored entries of one cell met at once.
 CELL_BLOCK = 4096
@@ -236,7 +236,7 @@ def nearest(df: DataFrame, key: str, vector: str, dim: int, k: int = 10, tables:
     # stored in one block of a heavy cell, who is stored elsewhere only asks here
     role = F.when(F.col("block") == home, F.col("role")).otherwise(F.lit(2).cast("long"))
     rows = spread.select(((F.col("place") * F.lit(1 << 22) + F.col("block")) * 4 + role).alias("key"), "e", "code")
-    met = rows.repartition(parts(spark), F.expr("shiftright(key, 2)")).sortWithinPartitions("key").mapInArrow(_meet(dim, k, min_cosine), "a bigint, b bigint").distinct()
+    met = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), F.expr("shiftright(key, 2)")).sortWithinPartitions("key").mapInArrow(_meet(dim, k, min_cosine), "a bigint, b bigint").distinct()
     # the exact rerank, on the pairs that are left
     met = materialize(met, "candidate_pairs")
     near = materialize(met.select(F.explode(F.array("a", "b")).alias("e")).distinct(), "near")
