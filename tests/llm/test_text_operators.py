@@ -215,13 +215,14 @@ def test_not_handwritten(spark):
     lib = "export function lib(q, r) {\n  while (q.next(r)) {\n    q.step -= r * 2;\n  }\n  return q;\n}\n"
     docs = [
         ("a", "a/src/own.ts", own), ("b", "b/src/own.ts", own), ("a", "a/src/vendors/mine.js", own.replace("keep", "mine")), ("a", "a/vendor/x/lib.js", lib), ("b", "b/src/util.js", "/* changed */ " + lib.replace("\n", "\n\n")), ("a", "a/src/g.ts", "// Code generated by t v1. DO NOT EDIT.\n" + own.replace("keep", "g")),
+        ("a", "a/src/de.rs", "// Automatisch erzeugt aus a.xml, bitte nicht bearbeiten. (ab12)\nfn f() {}\n"), ("a", "a/src/order.rs", "/* do not edit the list order, it matters */\nuse a::b::{Cccc, Dddd};\nuse e::f::{Gggg, Hhhh};\n\ntype Kkkkk = HashMap<String, Lllll>;\n"),
         ("a", "a/src/talk.ts", "// this table was generated once; since then it is kept by hand\n" + own.replace("keep", "talk") + "// @generated is what others write\n"), ("a", "a/src/data.ts", "export default [" + "[1.5, -2, 'x'],\n" * 30 + "];"), ("a", "a/src/m.js", "!function(){" + "var a={b:1,c:2};for(var i=0;i<9;i++)a[i]^=1;" * 9 + "}();"),
         ("a", "a/src/num.js", "exports.A_0 = 0x1;\nexports.decodeB1 = function (r) { return r; };\nvar C2_x = 1;\nexports.D_3 = 4;\n"), ("a", "a/dist/o.js", own.replace("keep", "o")), ("a", "a/src/null.rs", None), ("a", "a/src/empty.rs", ""), ("b", "b/src/empty.rs", ""), ("b", "b/q.min.js", None),
     ]
     d = spark.createDataFrame([(i, *x) for i, x in enumerate(docs)], DOC)
     f = spark.createDataFrame([(p, "x") for _, p, _ in docs] * 2 + [(None, "x"), ("a/readme.md", "x")], "path string, h string")
     got = {r.path: r.reason for r in handwritten.not_handwritten(f, d).collect()}
-    assert got == {"a/vendor/x/lib.js": "vendored", "b/src/util.js": "vendored", "a/src/g.ts": "generated", "a/src/data.ts": "data", "a/src/m.js": "minified", "a/src/num.js": "generated", "a/dist/o.js": "generated", "b/q.min.js": "generated"}
+    assert got == {"a/vendor/x/lib.js": "vendored", "b/src/util.js": "vendored", "a/src/g.ts": "generated", "a/src/de.rs": "generated", "a/src/data.ts": "data", "a/src/m.js": "minified", "a/src/num.js": "generated", "a/dist/o.js": "generated", "b/q.min.js": "generated"}
     assert handwritten.not_handwritten(f.limit(0), d.limit(0)).count() == 0
 
 
