@@ -34,7 +34,7 @@ def p2_rates(spark: SparkSession, d: str) -> DataFrame:
     """Per repository and language, as last reported in files: source files and those that don't parse."""
     files = table(spark, d, "files").filter("path IS NOT NULL").groupBy("path").agg(F.max(F.struct("last_modified", "seen_at", "file_language", "repo_id")).alias("f")).select(F.col("path").alias("f_path"), "f.repo_id", "f.file_language")
     judged = _repairs(spark, d).filter("cost IS NOT NULL").join(files, F.col("path") == F.col("f_path"))
-    return judged.groupBy("repo_id", "file_language").agg(F.count(F.lit(1)).alias("n_files"), F.count_if("cost > 0").alias("n_broken")).withColumn("share", F.round(F.col("n_broken") / F.col("n_files"), 6))
+    return judged.groupBy("repo_id", "file_language").agg(F.count(F.lit(1)).alias("n_files"), F.count_if(F.col("cost") > 0).alias("n_broken")).withColumn("share", F.round(F.col("n_broken") / F.col("n_files"), 6))
 
 
 def _latest_symbols(spark: SparkSession, d: str, *cols: str) -> DataFrame:
