@@ -143,14 +143,14 @@ def test_long_texts_go_in_blocks(spark, monkeypatch):
 GOOD = {
     "rs": ["", "// only a comment", "fn f<'a, T: Clone + 'a>(x: &'a mut Vec<T>, (a, b): (u8, u8)) -> Result<(), Box<dyn Error>> where T: Send { let Some(y) = x.pop() else { return Ok(()) }; if let Ok(ref z) = y.get::<u8>(1) && z > 0 { 'l: loop { break 'l; } } for i in 0..=9 { v[i] += 1 << 2; } match x { A | B if y > 0 => vec![1; 3], Foo { a, .. } => { g(|a, b| a + b) } _ => (), } }",
            "#![allow(x)]\n#[derive(Debug)]\npub(crate) struct S<T = u8>(pub T, Vec<Vec<T>>);\nenum E { A = 1, B(u8), C { d: u8 } }\nimpl<T> Tr for S<T> { type X = u8; const Y: u8 = 1; fn f(&self) -> Self::X { self.0.await?; *p = -1; } }\nuse a::{self, b::*, c as d};\nmacro_rules! m { ($x:expr) => { $x + }; }\nm!{ any { thing ] in } }" .replace("] in }", "in }"),
-           "static A: [u8; 2] = [0x1f, b'a'];\nconst F: fn(u8) -> u8 = |x| x;\nextern \"C\" { fn c(x: *const u8); }\nfn g() -> impl Fn(u8) -> u8 { move |x| { x as u8 } }\n\ntype T = <A as B>::C;", "﻿fn a() { let s = r#\"{ \" }\"#; let c = '{'; /* { /* nested */ */ }"],
+           "static A: [u8; 2] = [0x1f, b'a'];\nconst F: fn(u8) -> u8 = |x| x;\nextern \"C\" { fn c(x: *const u8); }\nfn g() -> impl Fn(u8) -> u8 { move |x| { x as u8 } }\n\ntype T = <A as B>::C;", "/// of f\nfn f() {}\n//// no documentation\n", "﻿fn a() { let s = r#\"{ \" }\"#; let c = '{'; /* { /* nested */ */ }"],
     "ts": ["", "export function f<T extends object = {}>(a?: string, ...b: number[]): a is string { return a!; }\nconst g = async <T,>(x: Map<string, T[]>): Promise<void> => { await x?.y?.[0]?.(1); };\ntype A = { readonly [K in keyof B]?: B[K] } | null;\ninterface I<T> extends J<T>, K { m(): void; (x: number): string; [k: string]: any }\nabstract class C<T> extends D<T> implements I { static x = 1; #p?: number; constructor(private a: string) { super(a) } get v() { return this.#p } async *gen() { yield* x }\n  a = 1\n  b\n}\nenum E { A = 1, B }",
            "switch (x) { case 'a': f(1); break; default: y = 0x1f; }\ndo { i-- } while (i > 0)\nfor (const [k, v] of m) if (k) continue; else break\ntry { a() } catch { b() } finally { c() }\nlabel: for (;;) { break label }\nlet { a, b: { c = 1 }, ...r } = o, [d, , e = 2] = p\nconst re = /[/{]\\/(\"'`)/g.test(s), t = `a ${x ? `b ${y}` : '}'} c`\nx = y / 2 / z; z = a < b ? c : d > e\nexport default class { }\nexport * as ns from './x'\nimport type { T } from \"t\"\nvar f = function* g() {}, o = { async m() {}, get x() { return 1 }, [k]: 1, 'q': 2, ...s }",
            "!function(){var a=1;for(var i=0;i<9;i++)a^=i;return a}();(()=>{e.x=function(m){return m}})();"],
     "tsx": ["export const A = () => <div className=\"a\" {...p} onClick={() => f({ a: 1 })}>it's {x ? <b/> : null} text <></></div>;", "const x = <T,>(a: T) => a;"],
 }
 BAD = {
-    "rs": ["fn f() {", "fn fn f() {}", "fn f() { let x = ; }", "<<<<<<< ours\nfn a() {}\n=======\nfn b() {}\n>>>>>>> theirs\n", "fn f() } {", "key = \"value\"\n[section]", "fn f() { foo(1) bar(2) }", "fn f( { }", "let x = 1;", "fn f() { \"open }"],
+    "rs": ["fn f() {", "fn fn f() {}", "fn f() { let x = ; }", "<<<<<<< ours\nfn a() {}\n=======\nfn b() {}\n>>>>>>> theirs\n", "fn f() } {", "key = \"value\"\n[section]", "fn f() { foo(1) bar(2) }", "fn f( { }", "let x = 1;", "fn f() { \"open }", "fn f() {}\n/// of nothing", "fn f() { g();\n /** of nothing */ }"],
     "ts": ["function f( {", "const x = ;", "{ \"a\": 1, \"b\": [2] }", "a b c", "class A { x( }", "if (x { y() }", "const s = 'open\n';", "return <div>a</div>;", "pub fn f() -> u8 { 1 }", "foo() bar()", "x = `open ${"],
     "jsx": ["const a = <div>;", "const a = <div></span>;", "const a = <div>{x</div>;"],
 }
