@@ -89,12 +89,14 @@ def dead(edges: DataFrame, symbols: DataFrame, entries: DataFrame, depth: int |
     return symbols.select("qualified_name").distinct().join(reached, "qualified_name", "left_anti")
 
 
-def tested_by(edges: DataFrame, tests: DataFrame, depth: int) -> DataFrame:
-    """target, test: what each test (node) reaches along calls within depth. The walk carries its test."""
+def tested_by(edges: DataFrame, tests: DataFrame, depth: int | None = None) -> DataFrame:
+    """target, test: what each test (node) reaches along calls, within depth if given, else until nothing new
+    is reached. The walk carries its test."""
     pairs = materialize(_calls(edges).distinct(), "bfs_edges")
     seen = materialize(tests.select(F.col("node").alias("test"), F.col("node").alias("node")).distinct(), "tested")
-    frontier = seen
-    for _ in range(depth):
+    frontier, level = seen, 0
+    while depth is None or level < depth:
+        level += 1
         step = frontier.select("test", F.col("node").alias("src")).join(pairs, "src").select("test", F.col("dst").alias("node")).distinct()
         frontier = materialize(step.join(seen, ["test", "node"], "left_anti"), "tested")
         if frontier.isEmpty():

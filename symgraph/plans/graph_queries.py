@@ -459,6 +459,11 @@ def tested_by(s, d):
     return traverse.tested_by(edges(s, d), symbols(s, d, "kind", "file_path").filter(_TEST).select(F.col("qualified_name").alias("node")), 2)
 
 
+@query("tested_by_all", f"{_WITH}, {_CALLS}, b AS (SELECT qualified_name AS test, qualified_name AS node FROM sym WHERE {_TEST} UNION SELECT test, c.dst FROM b JOIN c ON c.src = b.node) SELECT DISTINCT node AS target, test FROM b WHERE node <> test")
+def tested_by_all(s, d):
+    return traverse.tested_by(edges(s, d), symbols(s, d, "kind", "file_path").filter(_TEST).select(F.col("qualified_name").alias("node")))
+
+
 @query("tests_of", f"{_WITH} SELECT DISTINCT to_qname AS qualified_name FROM e WHERE kind = 'tested_by' AND from_qname = '{WRAP}' AND to_qname IN (SELECT qualified_name FROM sym)")
 def tests_of(s, d):
     return derived.tests_of(edges(s, d), symbols(s, d, "kind"), WRAP)

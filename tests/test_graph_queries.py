@@ -14,3 +14,18 @@ def test_query_matches_sql(spark, con, sf, name):
         return
     ok, said = oracle.compare(spark, con, sf, registry.queries()[name], sql)
     assert ok, said
+
+
+def test_tests_are_followed_to_the_end(spark, tmp_path):
+    """Five calls and a cycle beyond the test, and a second test that joins half way."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    names = ["t1", "t2", "a", "b", "c", "d", "e"]
+    pq.write_table(pa.table({"qualified_name": names, "indexed_at": [1] * 7, "kind": ["function"] * 7, "file_path": ["r/tests/t.rs"] * 2 + ["r/src/x.rs"] * 5}), tmp_path / "symbols.parquet")
+    calls = [("t1", "a"), ("a", "b"), ("b", "c"), ("c", "d"), ("d", "e"), ("e", "b"), ("t2", "c")]
+    pq.write_table(pa.table({"from_qname": [a for a, _ in calls], "kind": ["calls"] * 7, "to_qname": [b for _, b in calls], "observed_at": [1] * 7, "edge_id": list(range(7)), "edge_source": ["parser"] * 7}), tmp_path / "edges.parquet")
+    query = registry.queries()["tested_by_all"]
+    assert {tuple(r) for r in query(spark, str(tmp_path)).select("test", "target").collect()} == {("t1", x) for x in "abcde"} | {("t2", x) for x in "bcde"}
+    ok, said = oracle.compare(spark, oracle.views(str(tmp_path)), str(tmp_path), query, registry.oracle_sql()["tested_by_all"])
+    assert ok, said
