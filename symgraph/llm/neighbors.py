@@ -36,9 +36,8 @@ CELL_BLOCK = 4096
 BROADCAST_ROWS = 250_000
 #: Coordinates of unit vectors are compared to this many binary digits for being copies.
 SAME = 18
-#: How far a cosine of the half-byte codes may lie below the true one: rounding moves it by about
-#: 0.02 (one standard deviation, 64 dimensions).
-SLACK = 0.1
+#: Units of the angle between a vector and its code, which every code carries, in radians.
+ANGLE = 1 / 8192
 
 
 @cache
@@ -120,18 +119,42 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def _placed(entries: DataFrame, dim: int, tables: int, probes: int, seed: int, joint: bool) -> DataFrame:
+def encode(x: np.ndarray, fine: bool) -> np.ndarray:
+    """Rows of bytes: each vector in half bytes, an eighth of its size, or in bytes (fine), and in the last
+    two the angle between the vector and what the code says, rounded up."""
+    levels = 127 if fine else 7
+    q = np.rint(x * levels / np.abs(x).max(1, keepdims=True))
+    x, y = x.astype(np.float64), q.astype(np.float64)
+    x, y = x / np.linalg.norm(x, axis=1, keepdims=True), y / np.linalg.norm(y, axis=1, keepdims=True)
+    # by the chord: an arc cosine loses small angles
+    angle = 2 * np.arcsin(np.minimum(np.linalg.norm(x - y, axis=1) / 2, 1))
+    tail = (np.ceil(angle / ANGLE) + 1).astype("<u2").view(np.uint8).reshape(-1, 2)
+    code = q.astype(np.int8).view(np.uint8) + np.uint8(levels + 1)
+    if not fine and x.shape[1] % 2 == 0:
+        code = code[:, ::2] | (code[:, 1::2] << 4)
+    return np.concatenate([code, tail], 1)
+
+
+def decode(code: np.ndarray, dim: int, fine: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors of the codes, and how far (radians) the true ones may be from them."""
+    angle = np.ascontiguousarray(code[:, -2:]).view("<u2").reshape(-1) * ANGLE
+    code = code[:, :-2]
+    if not fine and dim % 2 == 0:
+        code = np.stack([code & 15, code >> 4], 2).reshape(len(code), dim)
+    x = code.astype(np.float32) - (128 if fine else 8)
+    return x / np.linalg.norm(x, axis=1, keepdims=True), angle
+
+
+def _placed(entries: DataFrame, dim: int, tables: int, probes: int, seed: int, joint: bool, fine: bool) -> DataFrame:
     """Rows (place, role, e, code): an entry in the cell it is stored in and in those it looks into.
-    place: table and cell. role: 0 stored, 1 stored and asking, 2 asking. code: the vector in
-    half bytes, an eighth of its size, for a first reckoning."""
+    place: table and cell. role: 0 stored, 1 stored and asking, 2 asking. code: see encode()."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(-1, dim)
-            code = np.rint(x * 7 / np.abs(x).max(1, keepdims=True)).astype(np.int8).view(np.uint8) + np.uint8(8)
-            code = (code[:, ::2] | (code[:, 1::2] << 4)) if dim % 2 == 0 else code
+            code = encode(x, fine)
             packed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(code.shape[1]), len(x), [None, pa.py_buffer(np.ascontiguousarray(code).tobytes())]).cast(pa.binary())
             asks = np.asarray(batch.column(2).to_numpy(zero_copy_only=False))
             for t, cell in cells(x, tables, probes, seed, joint):
@@ -147,33 +170,41 @@ def _placed(entries: DataFrame, dim: int, tables: int, probes: int, seed: int, j
     return entries.select("e", "v", "asks").mapInArrow(run, "place bigint, role bigint, e bigint, code binary")
 
 
-def _meet(dim: int, k: int, min_cosine: float):
-    """Blocks of cells, sorted with their stored entries first, to pairs (a, b) that may be near."""
-    # without a least cosine each block keeps several times k by the codes
-    wide = 8 * k
+def _meet(dim: int, k: int, min_cosine: float, fine: bool):
+    """Blocks of cells, sorted with their stored entries first, to pairs (a, b) that may be near: all that
+    can be among an asker's k nearest of the block and reach the least cosine.
 
-    def pairs(ids: np.ndarray, code: np.ndarray, base_ids: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    Angles are a metric, so a true angle lies within the two codes' own angles of that of the codes. The
+    k-th nearest by the codes, at angle t, bounds the true k-th angle by t + own + the block's greatest
+    angle; what lies beyond that by more than own + its own angle can't be among the k."""
+    # rounding of a product of unit vectors in single precision
+    slip = (dim + 8) * 2.0**-23
+
+    def pairs(ids: np.ndarray, code: np.ndarray, own: np.ndarray, base_ids: np.ndarray, base: np.ndarray, base_own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         c = code @ base.T
         c[ids[:, None] == base_ids[None, :]] = -2
-        hit = c >= np.float32(min_cosine - SLACK)
-        if min_cosine <= -1 and c.shape[1] > wide:
-            least = np.partition(c, c.shape[1] - wide, 1)[:, -wide]
-            hit = c >= least[:, None]
-        hit &= c > -1.5
-        a, b = np.nonzero(hit)
-        return ids[a], base_ids[b]
+        most = base_own.max()
+        reach = np.full(len(ids), np.arccos(max(min_cosine, -1.0)))
+        if c.shape[1] > k:
+            kth = np.partition(c, c.shape[1] - k, 1)[:, -k].astype(np.float64)
+            # an asker that is itself among the k has fewer than k others here: they are all kept
+            reach = np.minimum(reach, np.arccos(np.clip(kth - slip, -1, 1)) + own + most)
+        reach += own
+        a, b = np.nonzero((c >= (np.cos(np.minimum(reach + most, np.pi)) - slip - 1e-7).astype(np.float32)[:, None]) & (c > -1.5))
+        sure = c[a, b] >= np.cos(np.minimum(reach[a] + base_own[b], np.pi)) - slip - 1e-7
+        return ids[a[sure]], base_ids[b[sure]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, stored_ids, stored = None, [], []
+        at, stored_ids, stored, stored_own = None, [], [], []
         out: list[tuple[np.ndarray, np.ndarray]] = []
-        waiting: list[tuple[np.ndarray, np.ndarray]] = []
+        waiting: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
         def flush_cell() -> None:
             if stored_ids and waiting:
-                base_ids, base = np.concatenate(stored_ids), np.concatenate(stored)
-                for ids, code in waiting:
+                base_ids, base, base_own = np.concatenate(stored_ids), np.concatenate(stored), np.concatenate(stored_own)
+                for ids, code, own in waiting:
                     for i in range(0, len(ids), CELL_BLOCK):
-                        out.append(pairs(ids[i : i + CELL_BLOCK], code[i : i + CELL_BLOCK], base_ids, base))
+                        out.append(pairs(ids[i : i + CELL_BLOCK], code[i : i + CELL_BLOCK], own[i : i + CELL_BLOCK], base_ids, base, base_own))
             waiting.clear()
 
         for batch in batches:
@@ -183,22 +214,19 @@ def _meet(dim: int, k: int, min_cosine: float):
             key = batch.column(0).to_numpy()
             place, role = key >> 2, key & 3
             ids = batch.column(1).to_numpy()
-            code = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(n, -1)
-            if dim % 2 == 0:
-                code = np.stack([code & 15, code >> 4], 2).reshape(n, dim)
-            code = code.astype(np.float32) - 8
-            code /= np.linalg.norm(code, axis=1, keepdims=True)
+            code, own = decode(np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(n, -1), dim, fine)
             cut = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [n]])
             for b, e in zip(cut[:-1], cut[1:], strict=True):
                 if place[b] != at:
                     flush_cell()
-                    at, stored_ids, stored = place[b], [], []
+                    at, stored_ids, stored, stored_own = place[b], [], [], []
                 if role[b] < 2:
                     stored_ids.append(ids[b:e])
                     stored.append(code[b:e])
+                    stored_own.append(own[b:e])
                 if role[b] > 0:
-                    waiting.append((ids[b:e], code[b:e]))
-                if role[b] == 2 and sum(len(i) for i, _ in waiting) > 4 * CELL_BLOCK:
+                    waiting.append((ids[b:e], code[b:e], own[b:e]))
+                if role[b] == 2 and sum(len(i) for i, _, _ in waiting) > 4 * CELL_BLOCK:
                     flush_cell()
             if sum(len(x) for x, _ in out) > 200_000:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x for x, _ in out])), pa.array(np.concatenate([y for _, y in out]))], names=["a", "b"])
@@ -226,8 +254,10 @@ def nearest(df: DataFrame, key: str, vector: str, dim: int, k: int = 10, tables:
         entries = entries.withColumn("asks", F.lit(True))
     else:
         entries = entries.join(asked.withColumn("asks", F.lit(True)), "e", "left").withColumn("asks", F.coalesce("asks", F.lit(False)))
-    placed = _placed(entries, dim, tables, probes, seed, joint)
-    stored = _placed(entries.withColumn("asks", F.lit(False)), dim, tables, 1, seed, joint)
+    # without a least cosine only the codes bound what is reranked, so they are finer
+    fine = min_cosine <= -1
+    placed = _placed(entries, dim, tables, probes, seed, joint, fine)
+    stored = _placed(entries.withColumn("asks", F.lit(False)), dim, tables, 1, seed, joint, fine)
     # a heavy cell's stored entries are spread over blocks; who asks goes to every block
     heavy = stored.groupBy("place").count().filter(F.col("count") > CELL_BLOCK).select(F.col("place").alias("h"), F.ceil(F.col("count") / CELL_BLOCK).cast("int").alias("blocks"))
     both = placed.join(heavy, F.col("place") == F.col("h"), "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
@@ -236,7 +266,7 @@ def nearest(df: DataFrame, key: str, vector: str, dim: int, k: int = 10, tables:
     # stored in one block of a heavy cell, who is stored elsewhere only asks here
     role = F.when(F.col("block") == home, F.col("role")).otherwise(F.lit(2).cast("long"))
     rows = spread.select(((F.col("place") * F.lit(1 << 22) + F.col("block")) * 4 + role).alias("key"), "e", "code")
-    met = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), F.expr("shiftright(key, 2)")).sortWithinPartitions("key").mapInArrow(_meet(dim, k, min_cosine), "a bigint, b bigint").distinct()
+    met = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), F.expr("shiftright(key, 2)")).sortWithinPartitions("key").mapInArrow(_meet(dim, k, min_cosine, fine), "a bigint, b bigint").distinct()
     # the exact rerank, on the pairs that are left
     met = materialize(met, "candidate_pairs")
     near = materialize(met.select(F.explode(F.array("a", "b")).alias("e")).distinct(), "near")

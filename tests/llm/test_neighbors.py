@@ -69,3 +69,30 @@ def test_recall_of_all_neighbours(spark, sf):
 def test_empty_and_single(spark):
     assert neighbors.nearest(table(spark, [("a", np.ones(64))]).limit(0), "qualified_name", "embedding", 64).count() == 0
     assert neighbors.nearest(table(spark, [("a", np.ones(64))]), "qualified_name", "embedding", 64).count() == 0
+
+
+@pytest.mark.parametrize("spread", [0.2, 0.1])
+def test_dense_groups_keep_their_nearest(spark, spread):
+    """A group of 3000 vectors with mean cosines of 0.96 and 0.99, among others."""
+    rnd = np.random.default_rng(5)
+    centre = rnd.standard_normal(64)
+    centre /= np.linalg.norm(centre)
+    vs = [(f"g{i:04}", centre + spread * rnd.standard_normal(64) / 8) for i in range(3000)] + [(f"o{i:04}", rnd.standard_normal(64)) for i in range(500)]
+    df = table(spark, vs)
+    asked = df.filter("qualified_name LIKE 'g%0'").limit(300).select("qualified_name")
+    want = brute([(i, np.asarray(v, np.float32).astype(float)) for i, v in vs], 10, -1)
+    got = {}
+    for r in neighbors.nearest(df, "qualified_name", "embedding", 64, k=10, joint=False, tables=10, probes=12, queries=asked).collect():
+        got.setdefault(r.id, set()).add(r.neighbor)
+    assert len(got) == 300
+    assert np.mean([len(got[i] & set(want[i])) / 10 for i in got]) >= 0.99
+
+
+@pytest.mark.parametrize("fine", [False, True])
+def test_codes_bound_the_angle(fine):
+    rnd = np.random.default_rng(6)
+    x = np.concatenate([rnd.standard_normal((500, 64)), np.eye(64), np.eye(64) + 0.07]).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y, own = neighbors.decode(neighbors.encode(x, fine), 64, fine)
+    angle = np.arctan2(np.linalg.norm(x - y, axis=1), np.linalg.norm(x + y, axis=1)) * 2
+    assert (angle <= own).all() and (own <= angle + 4 * neighbors.ANGLE).all()
