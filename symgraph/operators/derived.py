@@ -5,21 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Items of a commit paired in one block.
+PAIR_BLOCK = 2048
 
-def co_change(changes: DataFrame, least: int = 2, decay: float = 0.01, commits: int | None = None, widest: int = 1000) -> DataFrame:
+
+def co_change(changes: DataFrame, least: int = 2, decay: float = 0.01, commits: int | None = None) -> DataFrame:
     """a, b, n, last_seen, weight of symbols (item) changed together (commit_id, at), a < b, n >= least.
     weight: sum of exp(-decay * days before the newest change). commits: only the last so many.
 
-    A commit of more than `widest` symbols is a sweep of the whole tree and says nothing about any two of
-    them; such commits are left out by definition, which also bounds the pairs of one commit."""
+    The items of a wide commit are dealt to blocks and every item meets every block, so that no task makes
+    all its pairs and none is lost."""
     ch = changes.select("commit_id", "item", "at").distinct()
-    size = ch.groupBy("commit_id").agg(F.count(F.lit(1)).alias("size"), F.max("at").alias("c_at")).filter(F.col("size").between(2, widest))
+    size = ch.groupBy("commit_id").agg(F.count(F.lit(1)).alias("size"), F.max("at").alias("c_at")).filter("size > 1")
     if commits is not None:
         size = size.orderBy(F.desc("c_at"), F.desc("commit_id")).limit(commits)
     newest = ch.agg(F.max("at")).scalar()
-    kept = ch.join(size.select("commit_id", "c_at"), "commit_id")
-    a, b = kept.select("commit_id", "c_at", F.col("item").alias("a")), kept.select("commit_id", F.col("item").alias("b"))
-    pairs = a.join(b, "commit_id").filter("a < b")
+    kept = ch.join(size.select("commit_id", "c_at", F.ceil(F.col("size") / PAIR_BLOCK).cast("int").alias("blocks")), "commit_id")
+    a = kept.select("commit_id", "c_at", F.pmod(F.hash("item"), F.col("blocks")).alias("block"), F.col("item").alias("a"))
+    b = kept.select("commit_id", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("item").alias("b"))
+    pairs = a.join(b, ["commit_id", "block"]).filter("a < b")
     age = F.datediff(newest, "c_at")
     return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.max("c_at").alias("last_seen"), F.round(F.sum(F.exp(-F.lit(decay) * age)), 6).alias("weight")).filter(F.col("n") >= least)
 

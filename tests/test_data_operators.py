@@ -111,3 +111,19 @@ def test_containing_and_refine(spark):
     edge = "from_qname string, to_qname string, kind string, edge_source string"
     got = resolve.refine(spark.createDataFrame([("a", "b", "calls", "tree_sitter")], edge), spark.createDataFrame([("a", "b", "calls", "lsp")], edge))
     assert got.first()["edge_source"] == "lsp" and got.count() == 1
+
+
+@pytest.mark.parametrize("block", [2048, 100])
+def test_wide_commits_keep_their_pairs(spark, monkeypatch, block):
+    """Two commits of 1001 items and a small one that meets them."""
+    from math import exp
+
+    from symgraph.operators import derived
+
+    monkeypatch.setattr(derived, "PAIR_BLOCK", block)
+    wide = spark.range(1001).selectExpr("id AS item")
+    day = lambda d: F.to_date(F.lit(f"2025-01-0{d}")).alias("at")
+    changes = wide.select(F.lit(1).alias("commit_id"), "item", day(1)).unionByName(wide.select(F.lit(2).alias("commit_id"), "item", day(2))).unionByName(wide.filter("item < 2").select(F.lit(3).alias("commit_id"), "item", day(3)))
+    got = derived.co_change(changes).groupBy("n", F.col("last_seen").cast("string").alias("last"), "weight").count().collect()
+    w = [exp(-0.01 * k) for k in range(3)]
+    assert {(r.n, r["last"], r.weight, r["count"]) for r in got} == {(3, "2025-01-03", round(sum(w), 6), 1), (2, "2025-01-02", round(w[1] + w[2], 6), 1001 * 1000 // 2 - 1)}
