@@ -3,9 +3,9 @@
 Every text leaves one row of evidence: a hash of its tokens (comments and white space
 aside, so that a changed notice or another layout makes no difference), whether a
 notice in its leading comments says who made it, and measures of its layout. Merkle
-hashes are then computed bottom-up over the directory trees: a directory's hash is made
-of its children's, names aside, by a sum that doesn't depend on their order and is
-combined map side, so that no directory is gathered in one place. A subtree (a file
+hashes are then computed over the directory trees up to their roots: a directory's hash is made
+of all files below it and their depths, names aside, by a sum that doesn't depend on
+their order and is combined map side, so that no directory is gathered in one place. A subtree (a file
 counts as one) that unrelated repositories share marks vendored code where any copy of
 it shows a foreign origin: a notice, or a place where package managers put dependencies.
 Copies between repositories that show none are moves of their own code and make no case.
@@ -170,34 +170,42 @@ def in_build_place(path: Column) -> Column:
     return path.rlike("(^|/)(" + "|".join(BUILD_DIRS) + ")/") | path.rlike("\\.(" + "|".join(BUILD_NAMES) + ")\\.[a-z]+$")
 
 
-def merkle(leaves: DataFrame, levels: int) -> DataFrame:
-    """node, repo_id, h, n_files, marked of every subtree, files (level 0) and up to `levels` folders above.
+def _folders(path: str, levels: int | None) -> Column:
+    """The folders above a path, outermost first, or the `levels` innermost, each with its distance."""
+    least = "1" if levels is None else f"greatest(1, n - {levels})"
+    folder = f"named_struct('node', array_join(slice(split({path}, '/'), 1, i), '/'), 'below', n - i)"
+    return F.expr(f"flatten(transform(array(size(split({path}, '/'))), n -> if(n > 1, transform(sequence({least}, n - 1), i -> {folder}), array())))")
 
-    leaves: path, repo_id, h, marked. A folder's hash is made of its children's, each mixed
-    again, summed in 64 bits twice: order and names play no part, counts do."""
+
+def merkle(leaves: DataFrame, levels: int | None = None) -> DataFrame:
+    """node, repo_id, h, n_files, marked of every subtree: files, and all folders above (or `levels` of them).
+
+    leaves: path, repo_id, h, marked. A folder's hash is made of those of all files below it, each
+    mixed with how deep it lies, summed in 64 bits twice: order and names play no part, counts do."""
     node = leaves.select(F.col("path").alias("node"), "repo_id", "h", F.lit(1).cast("long").alias("n_files"), F.col("marked"))
-    out = node
-    for _ in range(levels):
-        parent = F.regexp_extract("node", "^(.*)/[^/]+$", 1)
-        node = (
-            node.withColumn("node", parent)
-            .filter("node <> ''")
-            .groupBy("node", "repo_id")
-            .agg(F.expr("bit_xor(xxhash64(h, 1))").alias("x"), F.sum(F.expr("xxhash64(h, 2)").cast("decimal(38,0)")).alias("s"), F.sum("n_files").alias("n_files"), F.max("marked").alias("marked"))
-            .select("node", "repo_id", F.xxhash64("x", "s", "n_files").alias("h"), "n_files", "marked")
-        )
-        out = out.unionByName(node)
-    return out
-
-
-def vendored(leaves: DataFrame, levels: int = 2) -> DataFrame:
-    """path of each file that lies in a subtree which several repositories share and of which a
-    copy shows a foreign origin. leaves: path, repo_id, h, n_tokens, marked."""
-    nodes = merkle(leaves.filter(F.col("n_tokens") >= SHARED_LEAST).select("path", "repo_id", "h", "marked"), levels)
+    above = leaves.select(F.explode(_folders("path", levels)).alias("f"), "repo_id", "h", "marked").select("f.*", "repo_id", "h", "marked").filter("node <> ''")
+    folders = (
+        above.groupBy("node", "repo_id")
+        .agg(F.expr("bit_xor(xxhash64(h, below, 1))").alias("x"), F.sum(F.expr("xxhash64(h, below, 2)").cast("decimal(38,0)")).alias("s"), F.count(F.lit(1)).alias("n_files"), F.max("marked").alias("marked"))
+        .select("node", "repo_id", F.xxhash64("x", "s", "n_files").alias("h"), "n_files", "marked")
+    )
+    return node.unionByName(folders)
+
+
+def vendored(leaves: DataFrame) -> DataFrame:
+    """path of each file that lies in a subtree which several repositories share and of which a copy
+    shows a foreign origin: a notice in any of its files, or its place. leaves: path, repo_id, h, n_tokens,
+    origin. Texts of few tokens are part of their folders, but no case by themselves."""
+    known = leaves.filter("path IS NOT NULL").groupBy("path", "repo_id", "h").agg(F.max("n_tokens").alias("n_tokens"), F.max("origin").alias("marked"))
+    long = known.filter(F.col("n_tokens") >= SHARED_LEAST)
+    # a folder none of whose files is long enough is shared by chance
+    worth = long.select("path").union(long.select(F.explode(_folders("path", None)).alias("f")).select("f.node")).distinct().toDF("node")
+    # a dependency folder says what it holds, and nothing about the folders around it
+    nodes = merkle(known.select("path", "repo_id", "h", "marked")).join(worth, "node", "left_semi").withColumn("marked", F.col("marked") | in_dependency_dir(F.concat("node", F.lit("/"))))
     shared = nodes.groupBy("h").agg(F.min("repo_id").alias("a"), F.max("repo_id").alias("b"), F.max("marked").alias("foreign")).filter("a <> b AND foreign").select("h")
     hit = nodes.join(shared, "h", "left_semi").select("node").distinct()
-    # a file is its own subtree and part of those above it
-    up = leaves.select("path", F.explode(F.array(F.col("path"), *[F.regexp_replace("path", "(/[^/]+){%d}$" % i, "") for i in range(1, levels + 1)])).alias("node"))
+    # a file is its own subtree and part of all those above it
+    up = known.select("path", F.explode(F.concat(F.array("path"), F.transform(_folders("path", None), lambda f: f["node"]))).alias("node"))
     return up.join(hit, "node", "left_semi").select("path").distinct()
 
 

@@ -232,6 +232,21 @@ def test_merkle_of_equal_folders(spark):
     assert h["a/v/x"] == h["b/w/y"] != h["b/w/z"] and h["a/v"] != h["b/w"]
 
 
+def test_whole_subtrees_are_vendored(spark):
+    """A package in two repositories under neutral names, with a notice in one file only."""
+    row = lambda p, h, origin=False, n=50: (p, p[0], h, n, origin)
+    pkg = lambda at: [row(f"{at}/lib.rs", 1, at[0] == "a"), row(f"{at}/src/m.rs", 2), row(f"{at}/src/net/tcp/x.rs", 3), row(f"{at}/src/net/tcp/small.rs", 4, n=2)]
+    # a marked file alone in its folder, above files that differ: only the file itself is a copy
+    alone = [row("a/u/one.rs", 9, True), row("b/u/one.rs", 9), row("a/u/deep/p.rs", 21), row("b/u/deep/p.rs", 22), row("a/own.rs", 31), row("b/own.rs", 32)]
+    # shared folders around a dependency folder are the projects' own
+    own = [row(f"{r}/app/{x}", h) for r in "ab" for x, h in (("main.rs", 41), ("vendor/d.rs", 42))]
+    leaves = spark.createDataFrame(pkg("a/pkg") + pkg("b/copy/of") + alone + own, "path string, repo_id string, h bigint, n_tokens int, origin boolean")
+    leaves = leaves.withColumn("marked", F.col("origin") | handwritten.in_dependency_dir(F.col("path")))
+    got = {r.path for r in handwritten.vendored(leaves).collect()}
+    want = {r[0] for r in pkg("a/pkg") + pkg("b/copy/of")} | {"a/u/one.rs", "b/u/one.rs", "a/app/vendor/d.rs", "b/app/vendor/d.rs"}
+    assert got == want
+
+
 # ---- p7
 
 SYM = "qualified_name string, short_name string, kind string, file_path string, start_line int, signature string, jsdoc string, synthesized_description string"
