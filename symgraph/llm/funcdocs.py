@@ -68,11 +68,16 @@ def structure(docs: DataFrame) -> DataFrame:
 
 
 _STOPS = frozenset(["{", "}", ";"])
+#: After these a brace in a return type opens an object type, not the body.
+_TYPE_OPENS = frozenset(": | & < , [ ( => ? extends is keyof typeof readonly".split())
+#: With these a head without body and semicolon has ended.
+_TYPE_ENDS = frozenset("= const let var class interface enum import export if for while return switch".split())
 _MODIFIERS = frozenset("async static get set public private protected readonly override abstract declare export default *".split())
 
 
 def structural(text: str, family: str) -> Iterator[tuple[int, str, str | None]]:
-    """(line, kind, name or comment) in order; lines of one comment block are one comment."""
+    """(line, kind, name or comment) in order; lines of one comment block are one comment. Braces of object
+    types between a head and its body (type parameters, return type) count as parentheses."""
     toks = L.tokens(text, family)
     line = 1 + text.count("\n", 0, L.body_start(text))
     doc: list[str] = []
@@ -81,6 +86,8 @@ def structural(text: str, family: str) -> Iterator[tuple[int, str, str | None]]:
     rust = family == L.RUST
     waits = False  # for the name of a function
     word, word_line = "", 0  # a name that may be a method's
+    part, open_ = "", 0  # of a signature: head, params, after (them), type; and brackets open there
+    prev = cur = ""
     for t in toks:
         c = t[0]
         if c.isspace():
@@ -99,11 +106,32 @@ def structural(text: str, family: str) -> Iterator[tuple[int, str, str | None]]:
         if doc:
             yield doc_line, "doc", "\n".join(doc)
             doc = []
+        prev, cur = cur, t
+        if part == "after":
+            part = "type" if t == ":" else ""
+        elif part == "type" and not open_ and t in _TYPE_ENDS:
+            part = ""
         if c in "(){};" and len(t) == 1:
             if word and c == "(":
                 yield word_line, "head", word
+                if not open_:
+                    part = "head"
             word = ""
             waits = False
+            if part and not open_ and (c in "});" or (part == "type" and c == "{" and prev not in _TYPE_OPENS)):
+                part = ""
+            elif part in ("head", "type") and c == ";":
+                continue
+            elif part and c in "({":
+                if part == "head" and not open_ and c == "(":
+                    part = "params"
+                open_ += 1
+                c = "(" if part != "params" else c
+            elif part and c in ")}":
+                open_ -= 1
+                c = ")" if part != "params" else c
+                if part == "params" and not open_:
+                    part = "after"
             yield line, c, None
             before = c
         elif t in ("fn", "function"):
@@ -112,6 +140,8 @@ def structural(text: str, family: str) -> Iterator[tuple[int, str, str | None]]:
         elif c.isalpha() or c in "_$#":
             if waits:
                 yield line, "head", t
+                if not rust and not open_:
+                    part = "head"
                 waits = False
                 word = ""
             elif not rust and before in _STOPS and t not in _MODIFIERS and t not in L.TS_KEYWORDS:

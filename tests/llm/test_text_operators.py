@@ -272,3 +272,17 @@ def test_pairs_carry_code_and_comment(spark):
     r = funcdocs.pairs(s, docs).collect()
     assert [(x.qualified_name, x.code.split("\n")[0], x.doc_source) for x in r] == [("a.rs::one", "pub(crate) fn one(a: u8) -> u8 {", "jsdoc")]
     assert funcdocs.documented(s, docs).count() == 2
+
+
+def test_object_types_in_signatures_are_no_bodies(spark):
+    ts = (
+        "function one(a): { ok: boolean } {\n  g(a);\n  return { ok: true };\n}\nif (q) {\n  g(1);\n}\n"
+        "function two<T extends { x: number; y: T }>(t: T): Promise<{ a: 1 } | { b: () => { c: 2 } }> {\n  return t;\n}\n"
+        "class A {\n  run(q): { n: number;\n    m: string } {\n    if (q) { x(); }\n    return q;\n  }\n  abstract no(): { a: 1 };\n  last() {\n    return 1;\n  }\n}\n"
+        "declare function none(): X\nexport const h = () => {\n  function inner() {\n    g();\n  }\n}\n"
+    )
+    docs = spark.createDataFrame([(1, "r", "b.ts", ts)], DOC)
+    got = {(r.name, r.start_line, r.end_line) for r in funcdocs.functions(funcdocs.structure(docs)).collect()}
+    line = {t: ts[: ts.index(t)].count("\n") + 1 for t in ("function one", "function two", "run(q)", "last()", "function inner")}
+    want = {("one", line["function one"], line["function one"] + 3), ("two", line["function two"], line["function two"] + 2), ("run", line["run(q)"], line["run(q)"] + 4), ("last", line["last()"], line["last()"] + 2), ("inner", line["function inner"], line["function inner"] + 2)}
+    assert {g for g in got if g[0] != "none"} == want
