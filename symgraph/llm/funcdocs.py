@@ -7,9 +7,8 @@ closing brace of its body (gaps and islands), or by the end of a statement if it
 none. A lag window attaches the comment right before a head. Functions found this way
 are joined to the symbols by path, name and line.
 
-The documentation of a symbol (jsdoc, else the synthesized description, or what stands
-before it in the source where asked for) is exploded into its words; words that tell
-nothing beyond the name and the signature don't count, and a text with fewer than
+The documentation of a symbol (jsdoc, else the synthesized description) is exploded into
+its words, which alone decide whether it is documented; words that tell nothing beyond the name and the signature don't count, and a text with fewer than
 `WORDS` others is trivial.
 
 Defined results: null and empty documentation is trivial; symbols of files without text
@@ -214,7 +213,7 @@ def telling_words(rows: DataFrame, key: str, docs: list[str], about: Column) ->
     return exploded.groupBy(key).agg(*[F.count_if(telling & (F.col("doc") == d)).alias(f"n_{d}") for d in docs])
 
 
-def documented(symbols: DataFrame, docs: DataFrame, source_comments: bool = False) -> DataFrame:
+def documented(symbols: DataFrame, docs: DataFrame) -> DataFrame:
     """qualified_name, kind, signature, documentation, doc_source, start_line, end_line, file_path of each
     function or method with telling documentation; symbols: latest rows. start_line and end_line are
     those found in the text, null if it isn't there."""
