@@ -1,9 +1,9 @@
 """Filling containers of one fixed capacity with items of varying length.
 
-Items are routed to tiers by length: tier i takes lengths in (C / 2^(i+1), C / 2^i],
-the last tier all shorter ones. Tiers are packed from the longest down; the gap a
-long item leaves is filled from its own and the shorter tiers, the longest that
-fits first. An item over the capacity is the only one split: its full pieces are
+One greedy pass goes over all lengths: items from the longest down, and the gap a long
+item leaves is filled by the longest that fits first. Tiers pack nothing: they label the
+pieces by length afterwards, tier i for (C / 2^(i+1), C / 2^i], the last for all shorter
+ones. An item over the capacity is the only one split: its full pieces are
 containers of their own, its rest is an item like any other. Containers are dealt
 to step groups so that groups carry about the same cost (the sum of squared piece
 lengths, which is what attention within pieces costs).
