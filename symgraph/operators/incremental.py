@@ -1,24 +1,34 @@
 """Processing only new or changed records.
 
 A manifest names what was processed: the record's key, its size and its checksum,
-with the batch that did it. A run lists the input, anti-joins the listing against
-the manifest on key and checksum, processes what is left, writes the result under
-its batch identifier and only then commits the manifest. A run that dies before
-the commit leaves nothing a later run would see: the same batch identifier
-overwrites the same folder, so a repeated run neither skips nor repeats a record.
+by batch. A run lists the input, anti-joins the listing against the newest manifest
+row of each key, writes what is left once under its batch identifier, derives the
+output and the manifest's rows from that one written list, and commits both by
+creating one file. A run that dies before the commit leaves nothing a later run
+would see: the same batch identifier overwrites the same folders, so a repeated run
+neither skips nor repeats a record, and what arrives during a run is left to the next.
+
+Defined results: a null key, size or checksum is a value like any other; a key listed
+several times with one checksum is processed as often as it is listed; a record that
+goes back to an earlier state has changed; an empty listing commits an empty batch.
 """
 
 from __future__ import annotations
 
-import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from symgraph.session import ensure_checkpoint_dir, materialize
+
+#: Batches after which the newest row of each key is written anew, so that reading the manifest costs keys, not runs.
+COMPACT = 16
+
 
 def pending(listing: DataFrame, manifest: DataFrame, on: list[str]) -> DataFrame:
-    """Rows of the listing that the manifest doesn't hold. Keys are joined null-safe:
+    """Rows of the listing that the manifest doesn't hold. Columns are joined null-safe:
     a null key or checksum is a value like any other."""
     m = manifest.select(*[F.col(c).alias(f"__m_{c}") for c in on])
     cond = None
@@ -28,6 +38,12 @@ def pending(listing: DataFrame, manifest: DataFrame, on: list[str]) -> DataFrame
     return listing.join(m, cond, "left_anti")
 
 
+def list_files(spark: SparkSession, root: str) -> DataFrame:
+    """path, size, checksum of every file below a folder: the listing of input that lies in files."""
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    return raw.select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("checksum"))
+
+
 def newest(df: DataFrame, keys: list[str], order: list[Column], keep: dict[str, Column]) -> DataFrame:
     """One row per key, that of the greatest order; map-side combined, so a key with a
     third of all rows is one state per task. Rows equal in order are settled by the
@@ -39,9 +55,11 @@ def newest(df: DataFrame, keys: list[str], order: list[Column], keep: dict[str,
 class Manifest:
     """A manifest and its outputs in a shared folder.
 
-    <root>/out/batch=<id>/ holds what a batch wrote, <root>/manifest/batch=<id>/ the
-    records it processed, <root>/commits/<id>.json says that both are whole. Only
-    committed batches are read. The commit is one file created in one step."""
+    <root>/todo/batch=<id>/ holds what a batch found to do, as long as it runs; <root>/out/batch=<id>/
+    what it made of it; <root>/manifest/batch=<id>/ the records it processed;
+    <root>/commits/<number>.<id> says that they are whole. Only committed batches are read, in
+    the order of their numbers. The commit creates one empty file, which either exists or not.
+    <root>/newest/<number>/ is the newest row of each key up to that commit."""
 
     def __init__(self, spark: SparkSession, root: str, key: list[str]):
         self.spark, self.root, self.key = spark, root.rstrip("/"), key
@@ -51,45 +69,80 @@ class Manifest:
         p = jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
+    def _names(self, folder: str) -> list[str]:
+        """Names in a folder with one entry per run: a bounded list."""
+        fs, p = self._fs(f"{self.root}/{folder}")
+        return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
+
+    def _delete(self, folder: str) -> None:
+        fs, p = self._fs(f"{self.root}/{folder}")
+        fs.delete(p, True)
+
     def committed(self) -> list[str]:
-        """Identifiers of the batches, one per run: a bounded list."""
-        fs, p = self._fs(f"{self.root}/commits")
-        if not fs.exists(p):
-            return []
-        return sorted(s.getPath().getName()[:-5] for s in fs.listStatus(p) if s.getPath().getName().endswith(".json"))
+        """Identifiers of the batches in the order of their commits."""
+        return [n.split(".", 1)[1] for n in self._names("commits")]
 
     def read(self, like: DataFrame) -> DataFrame:
-        """All committed manifest rows (key, size, checksum); empty before the first."""
-        done = self.committed()
+        """key, size, checksum: the newest committed row of each key; empty before the first batch."""
         cols = [*self.key, "size", "checksum"]
-        if not done:
+        commits = self._names("commits")
+        base = max((n for n in self._names("newest") if n.isdigit() and self._fs(f"{self.root}/newest/{n}/_SUCCESS")[0].exists(self._fs(f"{self.root}/newest/{n}/_SUCCESS")[1])), default="")
+        parts = [self.spark.read.parquet(f"{self.root}/newest/{base}").select(*cols, F.lit(0).alias("__n"))] if base else []
+        for i, n in enumerate(c for c in commits if not base or c.split(".", 1)[0] > base):
+            parts.append(self.spark.read.parquet(f"{self.root}/manifest/batch={n.split('.', 1)[1]}").select(*cols, F.lit(i + 1).alias("__n")))
+        if not parts:
             return like.select(*cols).limit(0)
-        return self.spark.read.parquet(*[f"{self.root}/manifest/batch={b}" for b in done]).select(*cols)
+        rows = parts[0]
+        for p in parts[1:]:
+            rows = rows.unionByName(p)
+        if len(parts) == 1 and base:
+            return rows.select(*cols)
+        # rows of one batch and key are settled by their values, so the result doesn't depend on order
+        return newest(rows, self.key, [F.col("__n")], {"checksum": F.col("checksum"), "size": F.col("size")}).select(*cols)
+
+    def record(self, batch: str, processed: DataFrame) -> bool:
+        """Takes over what was processed before or elsewhere (key, size, checksum) as a batch without output."""
+        if batch in self.committed():
+            return False
+        processed.select(*self.key, "size", "checksum").write.mode("overwrite").parquet(f"{self.root}/manifest/batch={batch}")
+        self._commit(batch)
+        return True
 
     def run(self, batch: str, listing: DataFrame, process: Callable[[DataFrame], DataFrame]) -> bool:
         """listing: key columns, size, checksum and whatever process needs. False if
-        this batch was committed before; then nothing is done."""
+        this batch was committed before; then nothing is done. The listing is evaluated once."""
         if batch in self.committed():
             return False
-        todo = pending(listing, self.read(listing), [*self.key, "checksum"])
+        path = f"{self.root}/todo/batch={batch}"
+        pending(listing, self.read(listing), [*self.key, "size", "checksum"]).write.mode("overwrite").parquet(path)
+        todo = self.spark.read.schema(listing.schema).parquet(path)
         process(todo).write.mode("overwrite").parquet(f"{self.root}/out/batch={batch}")
-        # read the listing again rather than the output: what was listed is what counts as processed
         todo.select(*self.key, "size", "checksum").write.mode("overwrite").parquet(f"{self.root}/manifest/batch={batch}")
         self._commit(batch)
+        self._delete(f"todo/batch={batch}")
+        if len(self._names("commits")) % COMPACT == 0:
+            self.compact(listing)
         return True
 
+    def compact(self, like: DataFrame) -> None:
+        """Writes the newest row of each key under the last commit's number; older ones of these go."""
+        last = self._names("commits")[-1].split(".", 1)[0]
+        old = self._names("newest")
+        self.read(like).write.mode("overwrite").parquet(f"{self.root}/newest/{last}")
+        for n in old:
+            if n != last:
+                self._delete(f"newest/{n}")
+
     def _commit(self, batch: str) -> None:
-        fs, p = self._fs(f"{self.root}/commits/{batch}.json")
-        tmp = self._fs(f"{self.root}/commits/.{batch}.tmp")[1]
-        out = fs.create(tmp, True)
-        out.write(bytearray(json.dumps({"batch": batch}).encode()))
-        out.close()
-        if not fs.rename(tmp, p) and not fs.exists(p):
+        number = max((int(n.split(".", 1)[0]) for n in self._names("commits")), default=0) + 1
+        fs, p = self._fs(f"{self.root}/commits/{number:08d}.{batch}")
+        if not fs.createNewFile(p):
             raise OSError(f"can't commit batch {batch}")
 
-    def output(self) -> DataFrame | None:
-        done = self.committed()
-        return self.spark.read.parquet(*[f"{self.root}/out/batch={b}" for b in done]) if done else None
+    def output(self, *batches: str) -> DataFrame | None:
+        """What the given batches (or all) made, those that are committed."""
+        done = [b for b in self.committed() if not batches or b in batches]
+        return self.spark.read.parquet(*[f"{self.root}/out/batch={b}" for b in done if self._fs(f"{self.root}/out/batch={b}")[0].exists(self._fs(f"{self.root}/out/batch={b}")[1])]) if done else None
 
 
 # ---- the project's logs as listing and manifest
@@ -108,7 +161,7 @@ def _with_cut(df: DataFrame, index_runs: DataFrame, arrival: str) -> DataFrame:
     return df.join(cuts, F.col("repo_id") == F.col("__repo"), "left").withColumn("processed", F.coalesce(F.col(arrival) <= F.col("cut"), F.lit(False)))
 
 
-def file_listing_and_manifest(files: DataFrame, index_runs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def file_states(files: DataFrame, index_runs: DataFrame) -> DataFrame:
     """Of the FileRecords: the newest state of each path, and the newest state that a
     good run has processed. Checksum: content_hash in lower case with the extractor's
     version; rows without a hash are ignored, paths may be null (one key)."""
@@ -116,10 +169,10 @@ def file_listing_and_manifest(files: DataFrame, index_runs: DataFrame) -> tuple[
     checksum = F.concat_ws("|", F.lower("content_hash"), F.coalesce(F.col("extractor_version").cast("string"), F.lit("-")))
     order = F.struct(F.col("last_modified").alias("a"), F.col("seen_at").alias("b"), checksum.alias("checksum"))
     both = rows.groupBy(F.col("path").alias("rec_key")).agg(F.max(order).alias("s"), F.max(F.when(F.col("processed"), order)).alias("p"))
-    return _split(both)
+    return _states(both, F.col("p").isNotNull())
 
 
-def symbol_listing_and_manifest(symbols: DataFrame, index_runs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def symbol_states(symbols: DataFrame, index_runs: DataFrame) -> DataFrame:
     """Of the symbol upserts: the last non-null body_hash of each qualified_name, and that
     of the processed rows. A symbol processed without any hash while none exists yet
     has nothing new; it is listed and manifested with a null checksum."""
@@ -127,19 +180,26 @@ def symbol_listing_and_manifest(symbols: DataFrame, index_runs: DataFrame) -> tu
     has = F.col("body_hash").isNotNull()
     order = F.struct(F.col("indexed_at").alias("a"), F.col("body_hash").alias("checksum"))
     both = rows.groupBy(F.col("qualified_name").alias("rec_key")).agg(F.max(F.when(has, order)).alias("s"), F.max(F.when(has & F.col("processed"), order)).alias("p"), F.max("processed").alias("any"))
-    return _split(both, F.col("any"))
+    return _states(both, F.col("any"))
+
+
+def _states(both: DataFrame, seen: Column) -> DataFrame:
+    return both.select("rec_key", F.col("s.checksum").alias("checksum"), seen.alias("seen"), F.col("p.checksum").alias("processed"))
 
 
-def _split(both: DataFrame, any_processed: Column | None = None) -> tuple[DataFrame, DataFrame]:
-    listing = both.select("rec_key", F.col("s.checksum").alias("checksum"))
-    seen = any_processed if any_processed is not None else F.col("p").isNotNull()
-    manifest = both.filter(seen).select("rec_key", F.col("p.checksum").alias("checksum"))
-    return listing, manifest
+def next_run(files: DataFrame, symbols: DataFrame, index_runs: DataFrame) -> tuple[Manifest, str]:
+    """A manifest in the shared folder that holds what the good runs have processed, and the batch that has
+    run after it over everything listed now. Its output: rel, rec_key, once each. The logs carry no sizes
+    of their records; they are null in listing and manifest alike."""
+    manifest = Manifest(files.sparkSession, f"{ensure_checkpoint_dir(files.sparkSession).rstrip('/')}/manifest-{uuid.uuid4().hex}", ["rel", "rec_key"])
+    both = file_states(files, index_runs).withColumn("rel", F.lit("files")).unionByName(symbol_states(symbols, index_runs).withColumn("rel", F.lit("symbols")))
+    states = materialize(both.withColumn("size", F.lit(None).cast("long")), "log_states")
+    manifest.record("good-runs", states.filter("seen").select("rel", "rec_key", "size", F.col("processed").alias("checksum")))
+    manifest.run("next", states.select("rel", "rec_key", "size", "checksum"), lambda todo: todo.select("rel", "rec_key"))
+    return manifest, "next"
 
 
 def due_records(files: DataFrame, symbols: DataFrame, index_runs: DataFrame) -> DataFrame:
     """rel, rec_key of everything the next run of each repository has to process, once each."""
-    out = []
-    for rel, (listing, manifest) in {"files": file_listing_and_manifest(files, index_runs), "symbols": symbol_listing_and_manifest(symbols, index_runs)}.items():
-        out.append(pending(listing, manifest, ["rec_key", "checksum"]).select(F.lit(rel).alias("rel"), "rec_key"))
-    return out[0].unionByName(out[1])
+    manifest, batch = next_run(files, symbols, index_runs)
+    return manifest.output(batch).select("rel", "rec_key")

@@ -77,6 +77,39 @@ def test_manifest_survives_a_failure(spark, tmp_path):
     assert sorted((r.k or "", r.checksum) for r in m.output().collect()) == [("", "y"), ("a", "x"), ("a", "x2"), ("c", "z")]
 
 
+def test_manifest_goes_back_and_forth(spark, tmp_path, monkeypatch):
+    """A state that returns is a change; also after the newest rows were written anew."""
+    monkeypatch.setattr(incremental, "COMPACT", 3)
+    m = incremental.Manifest(spark, str(tmp_path), ["k"])
+    one = lambda c: spark.createDataFrame([("a", 1, c), ("still", 1, "s")], "k string, size bigint, checksum string")
+    for i, c in enumerate(["A", "B", "A", "A", "B", "A", "B"]):
+        assert m.run(f"z{9 - i}", one(c), lambda df: df.select("k", "checksum"))
+        done = [tuple(r) for r in m.output(f"z{9 - i}").collect()]
+        assert sorted(done) == sorted([] if i == 3 else [("a", c)] + [("still", "s")] * (i == 0))
+    assert m.committed() == [f"z{9 - i}" for i in range(7)]
+
+
+def test_manifest_leaves_arrivals_during_a_run_to_the_next(spark, tmp_path):
+    m, src = incremental.Manifest(spark, str(tmp_path / "m"), ["k"]), str(tmp_path / "src")
+    add = lambda k: spark.createDataFrame([(k, 1, "x")], "k string, size bigint, checksum string").write.mode("append").parquet(src)
+    listing = lambda: spark.read.schema("k string, size bigint, checksum string").parquet(src)
+    add("a")
+
+    def grows(todo):
+        add("b")
+        return todo.select("k")
+
+    assert m.run("1", listing(), grows) and [r.k for r in m.output("1").collect()] == ["a"]
+    assert m.run("2", listing(), lambda t: t.select("k")) and [r.k for r in m.output("2").collect()] == ["b"]
+
+
+def test_files_of_a_folder_are_listed(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "x").write_bytes(b"abc")
+    r = incremental.list_files(spark, str(tmp_path / "in")).first()
+    assert (r["size"], r["checksum"][:8]) == (3, "ba7816bf")
+
+
 @pytest.mark.parametrize("parts", [1, 3, 7])
 def test_skew_aggregate(spark, parts):
     rows = [("hot", "k", f"v{i % 37}", i) for i in range(600)] + [("hot", "k", "same", 1000 + i) for i in range(300)] + [(None, "k", None, 2000), (None, "k", "v", 2001), ("cold", None, "v", 2002), ("cold", "k", "v", 2003)]
