@@ -4,16 +4,23 @@ Source texts are lexed and their structural tokens exploded into rows (brackets,
 statements, heads of functions, comments). A running sum over a text's rows gives the
 depth at each; among the rows of one depth, a head is followed by the opening and the
 closing brace of its body (gaps and islands), or by the end of a statement if it has
-none. A lag window attaches the comment right before a head. Functions found this way
-are joined to the symbols by path, name and line.
+none. A lag window attaches the comment right before a head. The functions found this way
+are the rows: they are joined to the symbols by path, name and line, and a symbol whose
+function isn't in its file's text is no row.
 
-The documentation of a symbol (jsdoc, else the synthesized description) is exploded into
-its words, which alone decide whether it is documented; words that tell nothing beyond the name and the signature don't count, and a text with fewer than
-`WORDS` others is trivial.
+Documentation is the attached comment, the symbol's jsdoc or its synthesized description.
+Whether one tells something is measured, not looked up: its lines are written with `§` for
+the words of the function's own name and signature and `#` for numbers, and a line that
+stands so over many different names (a share `COMMON_LINE` of all functions, three at
+least) says nothing about any of them: tags with bare names, placeholders, notes to tools
+or about authors, replies of a model that failed. Words that stand over as many names as
+a share `COMMON_WORD` of all functions carry less than three bits; of the others `WORDS` different ones must be
+left. Code fences, markup and commented-out code are told by their form.
 
-Defined results: null and empty documentation is trivial; symbols of files without text
-have null code; several rows of a symbol count as the latest; null texts have no
-functions; of functions of one name on one line the first counts.
+Defined results: null and empty documentation is trivial; symbols of files without text,
+and functions without a body, are no rows; several rows of a symbol count as the latest;
+null texts have no functions; of functions of one name on one line the first counts. In
+a corpus of a few functions no line can be common but by three names.
 """
 
 from __future__ import annotations
@@ -27,24 +34,16 @@ from pyspark.sql import functions as F
 from symgraph.operators.extract import lexer as L
 from symgraph.session import materialize, spread
 
-#: Different words beyond name, signature and fillers that make documentation tell something.
+#: Different words beyond name, signature and common ones that make documentation tell something.
 WORDS = 2
+#: Share of the functions over whose different names a line stands that says nothing about any of them, and names at least.
+COMMON_LINE, COMMON_LEAST = 1e-4, 3
+#: Share of the functions over whose different names a word of less than three bits stands.
+COMMON_WORD = 1 / 8
+#: Rows of a list that goes to every executor; a longer one is shuffled.
+BROADCAST_ROWS = 250_000
 
-# fixed values: words that frame a sentence without telling anything about a particular function
-FILLERS = """a an the of to and or in on for with by from as at is are be it its this that these those which what will can may
-function functions method methods fn func class struct trait type value values object item param params parameter parameters arg args argument arguments return returns returned
-does do performs perform executes execute implements implement handles handle runs run calls call called named name names used use uses using
-description describe documentation document documented doc docs comment todo fixme tbd xxx hack note none null nil na n undefined nan empty unknown
-see above below same here there me your you goes go add put write fill available no not yet missing undocumented
-helper helpers getter setter get set gets sets constructor main entry point internal external private public protected only utility util
-auto generated stub placeholder inheritdoc override deprecated example examples errors error panics safety throws since version author symbol signature async static self""".split()
-
-# fixed values: lines that are notes to tools, authorship, marks of versions
-TOOL_NOTE = r"(?i)^\W*(eslint|tslint|prettier|istanbul|c8|v8|noinspection|rustfmt|clippy|jshint|jscs|jslint|nolint|nosonar|pragma|sonar|biome|deno-lint|stylelint|webpack|vite|ts-(ignore|expect-error|nocheck)|@ts-\w+|cspell|spell-checker|codecov|coverage|region|endregion)\b"
-TAG_LINE = r"(?i)^\W*@(author|since|version|license|copyright|internal|public|private|protected|override|inheritdoc|see|ts-\w+|generated|date|created|package|module|namespace|memberof|access|readonly|async|static|function|method|name|kind|type|api|category|group)\b"
-AUTHOR_LINE = r"(?i)^\W*((created|written|modified|added|changed|maintained|owned|last (edited|modified|changed)) (by|on)|author|copyright|\(c\)|spdx-|date|reviewed[- ]by|owner)\b"
-# fixed values: what a model answers when it fails, and prompts it repeats
-FAILED_REPLY = r"(?is)^\W*((i'?m |i am )?(very )?sorry\b|(an )?error\b|as an? (ai|language)|i (can|could)(not|n't|'t)?\b|unable to|cannot (describe|determine|summari)|no (description|summary|answer)|\[truncated|timed? ?out|request (failed|timed)|model (failed|timed|error)|internal server|service unavailable|rate limit|too many requests|unfortunately\b|(there (is|was) )?(not enough|insufficient|no) (information|context)|(please )?(describe|provide|summari[sz]e|explain) (the|this|more)\b|here is (a|the) (description|summary)\b|sure[,!]|called by:|calls:|null\W*$|undefined\W*$|none\W*$)"
+# a line of code: a statement, or what ends like one
 CODE_LINE = r"^\s*(?:(?:let|const|var|return|if|for|while|import|use|pub|fn|function|match|else|await|switch|case|throw)\b.*[;{}(,]\s*$|.*[;{}]\s*$|[\w.$]+\(.*\)\s*;?\s*$|[\w.$\[\]]+\s*[-+*/|&]?=\s*\S.*$|\}.*$)"
 
 
@@ -180,60 +179,82 @@ def functions(tokens: DataFrame) -> DataFrame:
 
 
 def _words(text: Column) -> Column:
-    """Words in lower case; names are cut at case and underscore, scripts without spaces into pairs."""
-    cut = F.regexp_replace(F.regexp_replace(text, r"([\p{Ll}\p{Nd}])(\p{Lu})", "$1 $2"), "_", " ")
-    return F.regexp_extract_all(F.lower(cut), F.lit(r"([\p{IsHan}\p{IsHiragana}\p{IsKatakana}]{1,2}|[\p{L}\p{M}]+)"), F.lit(1))
+    """Words in lower case; names are cut at case and underscore, scripts without spaces into pairs; a
+    number is `#`."""
+    cut = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"([\p{Ll}\p{Nd}])(\p{Lu})", "$1 $2"), "_", " "), r"\p{Nd}+", " # ")
+    return F.regexp_extract_all(F.lower(cut), F.lit(r"([\p{IsHan}\p{IsHiragana}\p{IsKatakana}]{1,2}|[\p{L}\p{M}]+|#)"), F.lit(1))
 
 
 def plain_lines(doc: Column) -> Column:
     """The lines of documentation without comment markers, code fences with what they enclose, markup,
-    tags and notes."""
+    tags' names and commented-out code."""
     text = F.regexp_replace(doc, r"\r\n?", "\n")
     text = F.regexp_replace(text, r"(?m)^[ \t]*#!?\[doc\s*=\s*\"(.*)\"\][ \t]*$", "$1")
     text = F.regexp_replace(text, r"(?s)```.*?(```|$)", " ")
     text = F.regexp_replace(text, r"(?m)^[ \t]*(?:/\*[*!]?|//[/!]?|\*+/|\*(?!/)(?=\s|$|\*))+[ \t]?|\*+/[ \t]*$", "")
     text = F.regexp_replace(text, r"(?s)<!--.*?-->|<[^<>\n]{0,200}>|\{@\w+[^}\n]*\}", " ")
-    text = F.regexp_replace(text, r"(?i)^\s*description\s*:", " ")
-    lines = F.split(text, "\n")
-    return F.filter(lines, lambda x: ~x.rlike(TOOL_NOTE) & ~x.rlike(TAG_LINE) & ~x.rlike(AUTHOR_LINE) & ~x.rlike(CODE_LINE))
-
-
-def telling_words(rows: DataFrame, key: str, docs: list[str], about: Column) -> DataFrame:
-    """key, n_<doc>: different telling words of each documentation column. The words are exploded into
-    rows and counted, map side first."""
-    known = F.array_union(_words(about), F.array(*[F.lit(w) for w in FILLERS]))
-    parts = []
-    for d in docs:
-        failed = F.trim(F.regexp_replace(F.col(d), r"^[\s/*!#\"']+", "")).rlike(FAILED_REPLY)
-        lines = F.when(F.col(d).isNotNull() & ~failed, plain_lines(F.col(d)))
-        words = F.array_except(_words(F.array_join(lines, "\n")), known)
-        parts.append(F.struct(F.lit(d).alias("doc"), words.alias("words")))
-    exploded = rows.select(key, F.explode(F.array(*parts)).alias("p")).select(key, "p.doc", F.explode_outer("p.words").alias("word"))
-    telling = F.col("word").isNotNull() & ((F.length("word") > 1) | F.col("word").rlike(r"[\p{IsHan}]"))
-    return exploded.groupBy(key).agg(*[F.count_if(telling & (F.col("doc") == d)).alias(f"n_{d}") for d in docs])
+    lines = F.filter(F.split(text, "\n"), lambda x: ~x.rlike(CODE_LINE))
+    return F.transform(lines, lambda x: F.regexp_replace(x, r"^\s*@[\w-]+", " "))
+
+
+def _slotted(line: Column, own: Column) -> Column:
+    """The line's words with § for those of the function itself, also where they are inflected."""
+    mine = lambda w: F.exists(own, lambda o: (o == w) | ((F.length(o) > 2) & w.startswith(o)) | ((F.length(w) > 3) & o.startswith(w)))
+    words = F.array_join(F.transform(_words(line), lambda w: F.when(mine(w), "§").otherwise(w)), " ")
+    return F.regexp_replace(words, r"§( §)+", "§")
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """With the hint to broadcast if it is short; else as it is, for a shuffled join."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
+def telling_words(rows: DataFrame, key: str, name: str, docs: list[str], about: Column) -> DataFrame:
+    """key, n_<doc>: different telling words of each documentation column. Rows without any have no row
+    here. name: what must differ for a line to be common."""
+    n = rows.count()
+    texts = rows.select(key, F.xxhash64(name).alias("n"), F.filter(F.array_distinct(_words(about)), lambda w: w != "#").alias("own"), F.explode(F.array(*[F.struct(F.lit(d).alias("doc"), F.col(d).alias("text")) for d in docs])).alias("d"))
+    lines = texts.filter("d.text <> ''").select(key, "n", "own", "d.doc", F.explode(plain_lines(F.col("d.text"))).alias("line"))
+    slotted = lines.select(key, "n", "doc", _slotted(F.col("line"), F.col("own")).alias("line")).filter(F.col("line").rlike("[^§# ]"))
+    units = materialize(slotted.select(key, "n", "doc", F.xxhash64("line").alias("unit"), F.filter(F.array_distinct(F.split("line", " ")), lambda w: ~w.isin("§", "#") & ((F.length(w) > 1) | w.rlike(r"[\p{IsHan}]"))).alias("words")), "doc_lines")
+    # at most 1 / COMMON_LINE lines a line of an average function: short, but counted all the same
+    common = units.select("unit", "n").distinct().groupBy("unit").count().filter(F.col("count") >= max(COMMON_LEAST, COMMON_LINE * n)).select("unit")
+    told = units.join(_small(common), "unit", "left_anti")
+    # words of less than three bits: at most 8 times as many as an average function has words
+    frequent = units.select("n", F.explode("words").alias("w")).distinct().groupBy("w").count().filter(F.col("count") >= max(COMMON_LEAST, COMMON_WORD * n)).agg(F.collect_list("w")).scalar()
+    words = lambda d: F.size(F.array_except(F.array_distinct(F.flatten(F.collect_list(F.when(F.col("doc") == d, F.col("words"))))), frequent))
+    return told.groupBy(key).agg(*[words(d).alias(f"n_{d}") for d in docs])
+
+
+SOURCES = ["comment", "jsdoc", "synthesized_description"]
 
 
 def documented(symbols: DataFrame, docs: DataFrame) -> DataFrame:
-    """qualified_name, kind, signature, documentation, doc_source, start_line, end_line, file_path of each
-    function or method with telling documentation; symbols: latest rows. start_line and end_line are
-    those found in the text, null if it isn't there."""
+    """qualified_name, kind, signature, file_path, start_line, end_line, documentation, doc_source, n_comment,
+    n_jsdoc, n_synthesized_description (telling words) of each function or method that is found in the
+    texts and has telling documentation: the attached comment, else jsdoc, else the description.
+    symbols: latest rows."""
     fn = symbols.filter(F.col("kind").isin("function", "method"))
-    found = materialize(functions(structure(docs)), "functions").groupBy(F.col("path").alias("f_path"), F.col("name").alias("f_name"), F.col("start_line").alias("f_line")).agg(F.min("end_line").alias("f_end"), F.min("comment").alias("comment"))
-    about = F.concat_ws(" ", "short_name", "signature")
-    counted = telling_words(fn, "qualified_name", ["jsdoc", "synthesized_description"], about).withColumnRenamed("qualified_name", "c_name")
-    told = fn.join(counted, F.col("qualified_name") == F.col("c_name")).filter((F.col("n_jsdoc") >= WORDS) | (F.col("n_synthesized_description") >= WORDS))
-    by_doc = F.col("n_jsdoc") >= WORDS
+    is_doc = F.col("comment").rlike(r"^\s*(/\*\*|///)")
+    found = functions(structure(docs)).groupBy(F.col("path").alias("f_path"), F.col("name").alias("f_name"), F.col("start_line").alias("f_line")).agg(F.min("end_line").alias("end_line"), F.min(F.when(is_doc, F.col("comment"))).alias("comment"))
     on = (F.col("file_path") == F.col("f_path")) & (F.col("short_name") == F.col("f_name")) & (F.col("start_line") == F.col("f_line"))
-    cols = ["qualified_name", "kind", "signature", F.when(by_doc, F.col("jsdoc")).otherwise(F.col("synthesized_description")).alias("documentation"), F.when(by_doc, "jsdoc").otherwise("synthesized_description").alias("doc_source")]
-    code = [F.col("comment"), F.col("f_line").alias("start_line"), F.col("f_end").alias("end_line")]
-    paired = told.join(found, on).select(*cols, *code, "file_path")
-    alone = told.join(found.select("f_path", "f_name", "f_line"), on, "left_anti").select(*cols, F.lit(None).cast("string").alias("comment"), F.lit(None).cast("int").alias("start_line"), F.lit(None).cast("int").alias("end_line"), "file_path")
-    return paired.unionByName(alone)
+    cols = ["qualified_name", "short_name", "kind", "signature", "file_path", "start_line", "end_line", *SOURCES]
+    paired = materialize(found.join(fn, on).select(*cols), "functions")
+    counted = telling_words(paired, "qualified_name", "short_name", SOURCES, F.concat_ws(" ", "short_name", "signature")).withColumnRenamed("qualified_name", "c_name")
+    source = F.coalesce(*[F.when(F.col(f"n_{d}") >= WORDS, d) for d in SOURCES])
+    documentation = F.coalesce(*[F.when(F.col("doc_source") == d, F.col(d)) for d in SOURCES])
+    both = paired.join(counted, F.col("qualified_name") == F.col("c_name")).withColumn("doc_source", source).filter("doc_source IS NOT NULL")
+    return both.withColumn("documentation", documentation).select(*[c for c in cols if c not in SOURCES and c != "short_name"], "documentation", "doc_source", *[f"n_{d}" for d in SOURCES])
+
+
+def found(symbols: DataFrame, docs: DataFrame) -> DataFrame:
+    """Those whose jsdoc or description tells something, whatever the comment says."""
+    return documented(symbols, docs).filter((F.col("n_jsdoc") >= WORDS) | (F.col("n_synthesized_description") >= WORDS))
 
 
 def pairs(symbols: DataFrame, docs: DataFrame) -> DataFrame:
     """qualified_name, signature, code, documentation, doc_source: code is the function's lines."""
-    told = documented(symbols, docs).filter("end_line IS NOT NULL")
+    told = documented(symbols, docs)
     per_file = told.groupBy("file_path").agg(F.collect_list(F.struct("qualified_name", "signature", "documentation", "doc_source", "start_line", "end_line")).alias("fns"))
     text = docs.filter("path IS NOT NULL AND text IS NOT NULL").groupBy("path").agg(F.min("text").alias("text"))
     lines = F.split(F.regexp_replace("text", "\r\n", "\n"), "\n")

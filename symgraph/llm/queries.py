@@ -59,7 +59,7 @@ _FN = ("short_name", "kind", "file_path", "start_line", "signature", "jsdoc", "s
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return funcdocs.documented(_latest_symbols(spark, d, *_FN), table(spark, d, "documents")).select("qualified_name")
+    return funcdocs.found(_latest_symbols(spark, d, *_FN), table(spark, d, "documents")).select("qualified_name")
 
 
 def p7_pairs(spark: SparkSession, d: str) -> DataFrame:

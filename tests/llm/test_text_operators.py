@@ -252,13 +252,38 @@ def test_whole_subtrees_are_vendored(spark):
 SYM = "qualified_name string, short_name string, kind string, file_path string, start_line int, signature string, jsdoc string, synthesized_description string"
 
 
+NAMES = ["merge_graph", "cut_tape", "read_old_orders"]
+TRIVIAL = [None, "", "/** */", "///", "@param a\n@returns", "* `a` - the a", "Does {}.", "TODO: document", "n/a", "// eslint-disable-next-line", "@author team-1", "@since 1.0", "let x = {}(a);", "```\ncode here that says much\n```", "Sorry, I can't.", "<p></p>", "A function named {} with 2 parameters.", "2024-01-01", "description: \"\"", "Error: model timed out", "{{@inheritDoc}}"]
+TELLING = ["/// Returns -1 once the lock is stale.", "/**\n * @deprecated\n * Falls back to the cache.\n */", '#[doc = "Écrit chaque dossier modifié"]', "キャッシュを更新して書き込みます", "@param a the stale lock to drop", "Liefert den Ordner nur dann."]
+
+
 def test_trivial_and_telling_documentation(spark):
-    trivial = [None, "", "/** */", "///", "@param a\n@returns", "* `a` - the a", "Does merge graph.", "TODO: document", "n/a", "// eslint-disable-next-line", "@author team-1", "@since 1.0", "let x = merge_graph(a);", "```\ncode here that says much\n```", "Sorry, I can't.", "<p></p>", "A function named merge_graph with 2 parameters.", "2024-01-01", "description: \"\"", "Error: model timed out", "{@inheritDoc}"]
-    telling = ["/// Returns -1 once the lock is stale.", "/**\n * @deprecated\n * Falls back to the cache.\n */", '#[doc = "Écrit chaque dossier modifié"]', "キャッシュを更新して書き込みます", "@param a the stale lock to drop", "Liefert den Ordner nur dann."]
-    rows = [(f"p::t{i}", "merge_graph", "function", "p", 1, "fn merge_graph(a: u8)", d, None) for i, d in enumerate(trivial)] + [(f"p::g{i}", "merge_graph", "method", "p", 1, "fn merge_graph(a: u8)", None if i % 2 else d, d) for i, d in enumerate(telling)] + [("p::k", "K", "class", "p", 1, "class K", telling[0], None)]
-    s = spark.createDataFrame(rows, SYM)
-    docs = spark.createDataFrame([], DOC)
-    assert {r.qualified_name for r in funcdocs.documented(s, docs).collect()} == {f"p::g{i}" for i in range(len(telling))}
+    """What stands over three different names is common; what is said of one name is not, however often the
+    function is copied."""
+    rows, docs = [], []
+    for f, name in enumerate(NAMES):
+        for i, d in enumerate(TRIVIAL):
+            rows.append((f"p{f}::t{i}", name, "function", f"p{f}_{i}.rs", 1, f"fn {name}(a: u8)", d and d.format(name), None))
+    for i, d in enumerate(TELLING):
+        for copy in range(4):
+            rows.append((f"g{i}_{copy}", NAMES[i % 3], "method", f"g{i}_{copy}.rs", 1, f"fn {NAMES[i % 3]}(a: u8)", None if copy % 2 else d, d))
+    docs = [(i, "r", r[3], f"fn {r[1]}(a: u8) {{\n  g();\n}}\n") for i, r in enumerate(rows)]
+    s = spark.createDataFrame([*rows, ("p::k", "K", "class", "p0_0.rs", 1, "class K", TELLING[0], None)], SYM)
+    d = spark.createDataFrame(docs, DOC)
+    assert {r.qualified_name for r in funcdocs.found(s, d).collect()} == {r[0] for r in rows if r[0][0] == "g"}
+    # the texts decide which functions there are
+    assert {r.qualified_name for r in funcdocs.found(s, d.filter("path LIKE 'g1%'")).collect()} == {f"g1_{c}" for c in range(4)}
+    assert funcdocs.found(s, d.withColumn("text", F.lit("// fn merge_graph() {}"))).count() == 0
+    assert funcdocs.found(s.limit(0), d.limit(0)).count() == 0
+
+
+def test_a_comment_in_the_source_is_documentation(spark):
+    """p7_pairs takes it where the symbol has none; notes that are no documentation comments stay out."""
+    text = "/// Drops the stale lock of a shelf.\n#[inline]\nfn one() {\n  g();\n}\n// Keeps another lock in sync.\nfn two() {\n}\n"
+    docs = spark.createDataFrame([(1, "r", "a.rs", text)], DOC)
+    s = spark.createDataFrame([(f"a.rs::{n}", n, "function", "a.rs", line, f"fn {n}()", None, None) for n, line in (("one", 3), ("two", 7))], SYM)
+    assert [(r.qualified_name, r.documentation, r.doc_source) for r in funcdocs.pairs(s, docs).collect()] == [("a.rs::one", "/// Drops the stale lock of a shelf.", "comment")]
+    assert funcdocs.found(s, docs).count() == 0
 
 
 def test_pairs_carry_code_and_comment(spark):
@@ -270,8 +295,8 @@ def test_pairs_carry_code_and_comment(spark):
     assert {(g[0], g[1], g[2]) for g in got} == {("one", 2, 5), ("run", 5, 8)}
     s = spark.createDataFrame([("a.rs::one", "one", "function", "a.rs", 2, "fn one", "Drops the stale lock.", None), ("c.ts::z", "z", "function", "c.ts", 1, "z()", "Drops the stale lock.", None)], SYM)
     r = funcdocs.pairs(s, docs).collect()
-    assert [(x.qualified_name, x.code.split("\n")[0], x.doc_source) for x in r] == [("a.rs::one", "pub(crate) fn one(a: u8) -> u8 {", "jsdoc")]
-    assert funcdocs.documented(s, docs).count() == 2
+    assert [(x.qualified_name, x.code.split("\n")[0], x.documentation, x.doc_source) for x in r] == [("a.rs::one", "pub(crate) fn one(a: u8) -> u8 {", "/// Drops the stale lock.", "comment")]
+    assert funcdocs.documented(s, docs).count() == 1
 
 
 def test_object_types_in_signatures_are_no_bodies(spark):
