@@ -84,6 +84,29 @@ def test_packing(spark, shard):
     assert packing.pack(df.limit(0)).count() == 0
 
 
+def test_tiers_change_the_packing():
+    """Containers of a tier take windows of their own first, then shorter items, then their own again."""
+    import numpy as np
+
+    sizes = np.array([60, 30, 30, 30, 30, 30, 30, 10, 10, 10, 40])
+    tiered, opened = packing.fill(sizes, 100, 3)
+    assert (tiered, opened) == ([[60, 40], [30, 30, 10, 10, 10], [30, 30, 30], [30]], [0, 1, 1, 1]) and [30, 30, 30, 10] in packing.fill(sizes, 100, 1)[0]
+    rnd = random.Random(6)
+    many = np.array([min(4096, int(rnd.lognormvariate(6, 1.2)) + 1) for _ in range(20_000)])
+    got = {t: packing.fill(many, 4096, t)[0] for t in (1, 3, 5)}
+    for t, one in got.items():
+        assert sorted(s for c in one for s in c) == sorted(many.tolist()) and max(map(sum, one)) <= 4096
+        assert many.sum() / (len(one) * 4096) > 0.99
+    assert sorted(map(sorted, got[1])) != sorted(map(sorted, got[5])) != sorted(map(sorted, got[3]))
+    assert packing.tier_of(np.array([1, 256, 257, 512, 1024, 1025, 2048, 2049, 4096]), 4096, 5).tolist() == [4, 4, 3, 3, 2, 1, 1, 0, 0]
+
+
+def test_items_of_one_id_and_of_no_length_are_spread(spark):
+    df = spark.range(3000).selectExpr("7 AS doc_id", "0 AS n_tokens")
+    out = packing.pack(df, capacity=100, shard_items=500).toPandas()
+    assert len(out) == 3000 and (out.container // 2**32).nunique() == 6
+
+
 def test_step_groups_are_balanced(spark):
     rnd = random.Random(4)
     df = spark.createDataFrame([(i, rnd.randint(1, 90)) for i in range(2000)], "doc_id bigint, n_tokens int")
