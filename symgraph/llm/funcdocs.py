@@ -55,9 +55,9 @@ def structure(docs: DataFrame) -> DataFrame:
             rows, pos, line, kind, name = [], [], [], [], []
             for i in range(batch.num_rows):
                 text = batch.column(1)[i].as_py()
-                for p, (ln, k, nm) in enumerate(structural(text, L.family_of(batch.column(0)[i].as_py()))):
+                for p, (ln, k, nm) in enumerate(_telling(structural(text, L.family_of(batch.column(0)[i].as_py())))):
                     rows.append(i), pos.append(p), line.append(ln), kind.append(k), name.append(nm)
-                if len(rows) > 200_000 or (i + 1 == batch.num_rows and rows):
+                if len(rows) > 50_000 or (i + 1 == batch.num_rows and rows):
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(pos, pa.int32()), pa.array(line, pa.int32()), pa.array(kind, pa.string()), pa.array(name, pa.string())], names=["path", "pos", "line", "kind", "name"])
                     rows, pos, line, kind, name = [], [], [], [], []
 
@@ -65,6 +65,21 @@ def structure(docs: DataFrame) -> DataFrame:
     return spread(source.select("path", "text"), "path").mapInArrow(run, "path string, pos int, line int, kind string, name string")
 
 
+def _telling(tokens: Iterator[tuple[int, str, str | None]]) -> list[tuple[int, str, str | None]]:
+    """Without parentheses that hold nothing and ends of statements right after others, which change neither a
+    depth nor what follows a head. Comments that are no documentation stay, without their text."""
+    out: list[tuple[int, str, str | None]] = []
+    for t in tokens:
+        last = out[-1][1] if out else ""
+        if t[1] == ")" and last == "(":
+            out.pop()
+        elif t[1] == "doc" and not t[2].startswith(("/**", "///")):
+            out.append((t[0], "doc", None))
+        elif t[1] != ";" or last != ";":
+            out.append(t)
+    return out
+
+
 _STOPS = frozenset(["{", "}", ";"])
 #: After these a brace in a return type opens an object type, not the body.
 _TYPE_OPENS = frozenset(": | & < , [ ( => ? extends is keyof typeof readonly".split())
@@ -162,7 +177,7 @@ def structural(text: str, family: str) -> Iterator[tuple[int, str, str | None]]:
 
 
 def functions(tokens: DataFrame) -> DataFrame:
-    """path, name, start_line, end_line, comment of each function with a body."""
+    """path, name, start_line, end_line, comment (documentation right before it) of each function with a body."""
     text = Window.partitionBy("path").orderBy("pos")
     step = F.when(F.col("kind").isin("{", "("), 1).when(F.col("kind").isin("}", ")"), -1).otherwise(0)
     deep = tokens.withColumn("depth", F.sum(step).over(text.rowsBetween(Window.unboundedPreceding, 0)))
@@ -235,8 +250,7 @@ def documented(symbols: DataFrame, docs: DataFrame) -> DataFrame:
     texts and has telling documentation: the attached comment, else jsdoc, else the description.
     symbols: latest rows."""
     fn = symbols.filter(F.col("kind").isin("function", "method"))
-    is_doc = F.col("comment").rlike(r"^\s*(/\*\*|///)")
-    found = functions(structure(docs)).groupBy(F.col("path").alias("f_path"), F.col("name").alias("f_name"), F.col("start_line").alias("f_line")).agg(F.min("end_line").alias("end_line"), F.min(F.when(is_doc, F.col("comment"))).alias("comment"))
+    found = functions(structure(docs)).groupBy(F.col("path").alias("f_path"), F.col("name").alias("f_name"), F.col("start_line").alias("f_line")).agg(F.min("end_line").alias("end_line"), F.min("comment").alias("comment"))
     on = (F.col("file_path") == F.col("f_path")) & (F.col("short_name") == F.col("f_name")) & (F.col("start_line") == F.col("f_line"))
     cols = ["qualified_name", "short_name", "kind", "signature", "file_path", "start_line", "end_line", *SOURCES]
     paired = materialize(found.join(fn, on).select(*cols), "functions")
