@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from symgraph.schema import EDGE_KINDS
+
 # fixed values: lines of a body that are kept, what stands for the rest, characters shown to a reranker
 BODY_LINES = 60
 TRUNCATED = "// ... (body truncated)"
@@ -90,18 +92,20 @@ def empty_as_null(x: Column | str) -> Column:
     return F.nullif(_c(x), F.lit(""))
 
 
-def synthesis_prompt(name: Column | str, signature: Column | str, body: Column | str, callers: Column, callees: Column) -> Column:
-    """Instruction and sections; sections without content are left out. callers, callees: arrays of signatures."""
+def synthesis_prompt(qname: Column | str, signature: Column | str, body: Column | str, callers: Column, callees: Column) -> Column:
+    """Instruction and sections; the body and the neighbours are left out where there are none. callers, callees:
+    arrays of (neighbor, signature)."""
 
-    def section(title: str, x: Column) -> Column:
-        return F.when(F.coalesce(x, F.lit("")) != "", F.concat(F.lit(title), x))
+    def part(title: str, x: Column) -> Column:
+        return F.coalesce(F.concat(F.lit(title), x, F.lit("\n")), F.lit(""))
 
     def listed(title: str, xs: Column) -> Column:
-        return F.when(F.size(F.coalesce(xs, F.array().cast("array<string>"))) > 0, F.concat(F.lit(title), F.array_join(F.transform(xs, lambda s: F.concat(F.lit("- "), s)), "\n")))
+        lines_ = F.array_join(F.transform(xs, lambda s: F.concat(F.lit("- "), s["neighbor"], F.lit(": "), F.coalesce(s["signature"], F.lit("")))), "\n")
+        return part(title, F.when(F.size(xs) > 0, lines_))
 
-    return F.concat_ws(
-        "\n\n", F.lit("Say in one or two plain sentences what this symbol does."), section("Symbol: ", _c(name)), section("Signature: ", _c(signature)), section("Body:\n", _c(body)),
-        listed("Called by:\n", callers), listed("Calls:\n", callees), F.lit("Description:"),
+    return F.concat(
+        F.lit("Say in one to three plain sentences what this symbol does and what it is for, and nothing else.\n\nSymbol: "), F.coalesce(_c(qname), F.lit("")), F.lit("\nSignature: "), F.coalesce(_c(signature), F.lit("")), F.lit("\n"),
+        part("Body:\n", _c(body)), listed("Called by:\n", callers), listed("Calls:\n", callees), F.lit("\nDescription:"),
     )
 
 
@@ -115,6 +119,16 @@ def parse_rerank(reply: Column | str) -> Column:
     return F.when(word == "yes", 1.0).when(word == "no", 0.0)
 
 
+def edge_label(kind: Column | str) -> Column:
+    """The upper-case name of an edge kind; null for anything that is none."""
+    return F.when(_c(kind).isin(*EDGE_KINDS), F.upper(_c(kind)))
+
+
+def edge_kind(label: Column | str) -> Column:
+    """The kind of an upper-case name; null for anything that is none."""
+    return F.when(F.lower(_c(label)).isin(*EDGE_KINDS) & (F.upper(_c(label)) == _c(label)), F.lower(_c(label)))
+
+
 def trim_quotes(x: Column | str) -> Column:
     """Without double quotes, then without single quotes, at both ends."""
     return F.regexp_replace(F.regexp_replace(_c(x), '^"+|"+$', ""), "^'+|'+$", "")

@@ -39,6 +39,30 @@ def recent(changes: DataFrame, days: int) -> DataFrame:
     return changes.filter(F.datediff(newest, "at") <= days).groupBy("item").agg(F.count(F.lit(1)).alias("n"))
 
 
+def recent_near(changes: DataFrame, edges: DataFrame, qname: str, days: int) -> DataFrame:
+    """item, n: recent changes of a symbol and of what is one edge away from it, in either direction."""
+    out = edges.filter(F.col("from_qname") == qname).select(F.col("to_qname").alias("item"))
+    into = edges.filter(F.col("to_qname") == qname).select(F.col("from_qname").alias("item"))
+    near = out.unionByName(into).unionByName(edges.sparkSession.createDataFrame([(qname,)], "item string")).distinct()
+    newest = changes.agg(F.max("at")).scalar()
+    return changes.filter(F.datediff(newest, "at") <= days).join(near, "item", "left_semi").groupBy("item").agg(F.count(F.lit(1)).alias("n"))
+
+
+#: Lines of a file in one block of the range join.
+LINES = 64
+
+
+def modified_in_lines(hunks: DataFrame, symbols: DataFrame) -> DataFrame:
+    """qualified_name, n_commits, last of the symbols whose lines a hunk (commit_id, at, file_path, first_line,
+    last_line) touches. Both sides are dealt to blocks of lines, so that no file is one key; a pair that
+    meets in several blocks counts once, since commits are counted."""
+    blocks = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / LINES), F.floor(F.col(b) / LINES))).alias("block")
+    s = symbols.filter("start_line IS NOT NULL AND end_line >= start_line").select(F.col("file_path").alias("p"), "qualified_name", "start_line", "end_line", blocks("start_line", "end_line")).withColumnRenamed("block", "b")
+    h = hunks.filter("last_line >= first_line").select("commit_id", "at", "file_path", "first_line", "last_line", blocks("first_line", "last_line")).distinct()
+    hit = h.join(s, (F.col("p") == F.col("file_path")) & (F.col("b") == F.col("block")) & (F.col("first_line") <= F.col("end_line")) & (F.col("last_line") >= F.col("start_line")))
+    return hit.groupBy("qualified_name").agg(F.countDistinct("commit_id").alias("n_commits"), F.max("at").alias("last"))
+
+
 def canonical(df: DataFrame, group: str, form: Column | str, member: str) -> DataFrame:
     """group, exemplar, n: the most frequent form in each group, and of its members the first; ties by form."""
     f = F.col(form) if isinstance(form, str) else form

@@ -48,6 +48,19 @@ def reranked(cands: DataFrame, rerank: Column, k: int = RESULTS) -> DataFrame:
     return scored.withColumn("reranker_degraded", degraded).orderBy(F.desc_nulls_last("rerank"), F.desc_nulls_last("cosine"), "node").limit(k).select("node", "cosine", "rerank", "origin", "reranker_degraded")
 
 
+def similar_symbols(vectors: DataFrame, edges: DataFrame, qname: str, query: list[float], k: int = RESULTS * 2) -> DataFrame:
+    """node, cosine, jaccard: the k symbols (vectors: node, embedding) most similar to one of them by meaning, and
+    the share of neighbours, whatever the direction, that they have in common with it."""
+    near = vector.top_k(vectors.filter(F.col("node") != qname), "node", "embedding", query, k).withColumnRenamed("score", "cosine")
+    both = edges.select(F.col("from_qname").alias("a"), F.col("to_qname").alias("b"))
+    both = both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct()
+    own = both.filter(F.col("a") == qname).select(F.col("b").alias("own"))
+    of = both.join(near.select(F.col("node").alias("a")), "a", "left_semi").join(own, F.col("b") == F.col("own"), "left")
+    counts = of.groupBy("a").agg(F.count("own").alias("shared"), F.count(F.lit(1)).alias("n"))
+    total = own.agg(F.count(F.lit(1))).scalar()
+    return near.join(counts, F.col("node") == F.col("a"), "left").select("node", "cosine", F.coalesce(F.col("shared") / (total + F.col("n") - F.col("shared")), F.lit(0.0)).alias("jaccard"))
+
+
 def rerank_document(description: Column, signature: Column, body: Column) -> Column:
     """What a reranker reads: the description, else the signature, and the first 40 lines of the body."""
     return F.concat_ws("\n", F.coalesce(F.nullif(description, F.lit("")), signature), F.substring_index(body, "\n", 40))

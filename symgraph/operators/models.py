@@ -7,6 +7,7 @@ import hashlib
 import json
 import urllib.request
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from typing import Protocol
 
 import numpy as np
@@ -14,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from symgraph.functions.text import clean_description
+from symgraph.functions.text import RERANK_CHARS, clean_description
 
 #: Texts sent to an embedder at once.
 BATCH = 32
@@ -102,23 +103,27 @@ class HttpSynthesizer:
 
 
 class HttpReranker:
-    """Yes or no per document; a call that fails is no opinion, and it is an error only if all fail."""
+    """Yes or no per document, asked side by side and answered in the order of the documents; a call that fails is
+    no opinion, and it is an error only if all fail."""
 
-    def __init__(self, endpoint: str, model: str):
-        self.endpoint, self.model = endpoint.rstrip("/"), model
+    def __init__(self, endpoint: str, model: str, concurrency: int = 4):
+        self.endpoint, self.model, self.concurrency = endpoint.rstrip("/"), model, concurrency
+
+    def _one(self, query: str, document: str) -> float | None:
+        prompt = f"Query: {query}\nDocument: {(document or '')[:RERANK_CHARS]}\nRelevant (yes/no):"
+        try:
+            word = _post(f"{self.endpoint}/api/generate", {"model": self.model, "prompt": prompt, "stream": False, "options": {"temperature": 0.0}}, 5)["response"].split()
+        except (OSError, ValueError, KeyError):
+            return None
+        w = "".join(c for c in word[0] if c.isalnum()).lower() if word else ""
+        return {"yes": 1.0, "no": 0.0}.get(w)
 
     def rerank(self, query: str, documents: list[str]) -> list[float | None]:
-        out: list[float | None] = []
-        for d in documents:
-            prompt = f"Query: {query}\nDocument: {d[:1500]}\nRelevant (yes/no):"
-            try:
-                word = _post(f"{self.endpoint}/api/generate", {"model": self.model, "prompt": prompt, "stream": False, "options": {"temperature": 0.0}}, 5)["response"].split()
-            except OSError:
-                out.append(None)
-                continue
-            w = word[0].rstrip(".,;:!?\"'").lower() if word else ""
-            out.append({"yes": 1.0, "no": 0.0}.get(w))
-        if documents and all(x is None for x in out):
+        if not documents:
+            return []
+        with ThreadPoolExecutor(self.concurrency) as pool:
+            out = list(pool.map(lambda d: self._one(query, d), documents))
+        if all(x is None for x in out):
             raise ModelError("the reranker has no opinion on any document")
         return out
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from symgraph.functions.text import empty_as_null
 from symgraph.operators.store import described
-from symgraph.schema import SYMBOL_COLS
+from symgraph.schema import SYMBOL_COLS, SYMBOL_KINDS
 
 
 def named(name: str) -> Column:
@@ -73,9 +73,23 @@ def synthesis_context(symbols: DataFrame, edges: DataFrame, wanted: DataFrame, n
     return sides[0].unionByName(sides[1]).withColumn("i", F.row_number().over(order)).filter(F.col("i") <= n).select("qualified_name", "side", "neighbor", "signature")
 
 
-def list_for_synthesis(symbols: DataFrame, all_symbols: bool = False) -> DataFrame:
+def list_for_synthesis(symbols: DataFrame, all_symbols: bool = False, limit: int | None = None) -> DataFrame:
+    """Undescribed symbols, or all; the first by name if there is a limit, which is the caller's budget."""
     out = symbols.select(*SYMBOL_COLS, described().alias("has_description"))
-    return out if all_symbols else out.filter("NOT has_description")
+    out = out if all_symbols else out.filter("NOT has_description")
+    return out if limit is None else out.orderBy("qualified_name").limit(limit)
+
+
+def decoded(symbols: DataFrame) -> DataFrame:
+    """Rows that are symbols: of a known kind, with a name, a file, lines and a signature; others drop."""
+    whole = F.col("qualified_name").isNotNull() & F.col("file_path").isNotNull() & F.col("start_line").isNotNull() & F.col("end_line").isNotNull() & F.col("signature").isNotNull()
+    return symbols.filter(F.col("kind").isin(*SYMBOL_KINDS) & whole)
+
+
+def all_imports(symbols: DataFrame, edges: DataFrame, path: str) -> DataFrame:
+    """importer, level: the symbols and the files that import something of a file, in one relation."""
+    by_symbol = imports(symbols, edges, path).select(F.col("qualified_name").alias("importer"), F.lit("symbol").alias("level"))
+    return by_symbol.unionByName(importing_files(symbols, edges, path).select(F.col("path").alias("importer"), F.lit("file").alias("level"))).distinct()
 
 
 def stale_descriptions(symbols: DataFrame) -> DataFrame:

@@ -65,6 +65,14 @@ def cross_file(raw: DataFrame, symbols: DataFrame, edges: DataFrame) -> DataFram
     return refs.join(best, ["r_repo", "r_path", "ref"]).select("raw_id", F.col("m.q").alias("to_resolved"), names.alias("strategy"))
 
 
+def by_position(raw: DataFrame, places: DataFrame, symbols: DataFrame) -> DataFrame:
+    """raw_id, to_resolved, edge_source of references (raw_id, to_raw, edge_source): where a language server has
+    placed a definition (places: raw_id, def_path, def_line) inside a symbol, that symbol; else the text as it is."""
+    sites = places.select(F.col("raw_id").alias("site"), F.col("def_path").alias("file_path"), F.col("def_line").alias("line"))
+    hit = containing(sites, symbols).select(F.col("site").alias("__r"), F.col("qualified_name").alias("__q"))
+    return raw.join(hit, F.col("raw_id") == F.col("__r"), "left").select("raw_id", F.coalesce("__q", "to_raw").alias("to_resolved"), F.when(F.col("__q").isNotNull(), "lsp").otherwise(F.col("edge_source")).alias("edge_source"))
+
+
 def refine(parsed: DataFrame, resolved: DataFrame) -> DataFrame:
     """Edges of a resolver (same columns) after the parser's: of one (from, kind, to) the later wins."""
     both = parsed.withColumn("__o", F.lit(0)).unionByName(resolved.withColumn("__o", F.lit(1)))

@@ -148,17 +148,43 @@ def write_manifest(old: DataFrame, new: DataFrame) -> DataFrame:
     return _merge(old, new, "repo_id", {c: F.col(f"n.{c}") for c in old.columns if c != "repo_id"})
 
 
+def read_manifest(manifest: DataFrame, repo_id: str) -> DataFrame:
+    """The repository's row, if all of it is there; else none."""
+    cols = ("repo_id", "embedder_identity", "embedder_dimension", "schema_version", "last_indexed_at")
+    whole = F.lit(True)
+    for c in cols:
+        whole = whole & F.col(c).isNotNull()
+    return manifest.filter((F.col("repo_id") == repo_id) & whole).select(*cols)
+
+
 class SchemaMismatch(Exception):
     pass
 
 
 def check_schema_version(manifest: DataFrame, repo_id: str) -> None:
-    """Stands for migrations: a graph of another version must be rebuilt. One row is looked at."""
+    """A graph of another version must be migrated or rebuilt. One row is looked at."""
     row = manifest.filter(F.col("repo_id") == repo_id).select("schema_version").first()
     if row and row["schema_version"] not in (None, S.SCHEMA_VERSION):
         raise SchemaMismatch(f"{repo_id} has schema version {row['schema_version']}, not {S.SCHEMA_VERSION}")
 
 
+def applied_migrations(migrations: DataFrame, graph: str) -> DataFrame:
+    """id of each migration applied to a graph. migrations: graph, id, applied_at."""
+    return migrations.filter(F.col("graph") == graph).select("id").distinct()
+
+
+def run_migrations(migrations: DataFrame, graph: str, steps: dict[str, object]) -> DataFrame:
+    """Runs the steps (id to a function without arguments) that weren't applied to the graph yet, in their
+    order, and returns the table with them. Tables need no indices, so steps change data only."""
+    spark = migrations.sparkSession
+    done = {r["id"] for r in applied_migrations(migrations, graph).filter(F.col("id").isin(*steps)).collect()} if steps else set()
+    new = [i for i in steps if i not in done]
+    for i in new:
+        steps[i]()
+    added = spark.createDataFrame([(graph, i) for i in new], "graph string, id string").withColumn("applied_at", F.current_timestamp().cast("timestamp_ntz"))
+    return migrations.unionByName(added)
+
+
 class Snapshots:
     """Versions of named tables in a folder; readers follow one pointer that is replaced in one step."""
 
@@ -190,3 +216,12 @@ class Snapshots:
         if not fs.rename(tmp, self._fs(f"{self.root}/versions/{version}.json")[1]):
             raise OSError(f"can't publish {version}")
         return version
+
+    def vacuum(self, keep: int = 2) -> None:
+        """Deletes all but the newest versions; readers of these are not disturbed."""
+        fs, p = self._fs(f"{self.root}/versions")
+        done = sorted(s.getPath().getName()[:-5] for s in fs.listStatus(p) if s.getPath().getName().endswith(".json")) if fs.exists(p) else []
+        for version in done[: max(0, len(done) - keep)]:
+            for t in ("symbols", "edges", "files", "manifest"):
+                fs.delete(self._fs(f"{self.root}/{t}/{version}")[1], True)
+            fs.delete(self._fs(f"{self.root}/versions/{version}.json")[1], False)

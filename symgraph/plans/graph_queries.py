@@ -10,7 +10,11 @@ from pyspark.sql import functions as F
 
 from symgraph.functions import text as X
 from symgraph.operators import derived, evaluate, find, models, patterns, resolve, store, traverse, vector
-from symgraph.schema import SYMBOL_COLS
+from symgraph.operators.extract.run import edges_of, extract_files, symbols_of
+from symgraph.plans import graph
+from symgraph.plans.passthrough import raw_query
+from symgraph.sources import scan
+from symgraph.schema import SYMBOL_COLS, SYMBOL_KINDS
 from symgraph.sources.tables import table
 
 CORE = "tidepool/corelib/src/"
@@ -107,6 +111,24 @@ def list_for_synthesis(s, d):
     return patterns.list_for_synthesis(symbols(s, d, *SYMBOL_COLS, "synthesized_description"))
 
 
+@query(
+    "imports_all",
+    f"{_WITH}, i AS (SELECT DISTINCT e.from_qname AS importer FROM sym b JOIN e ON e.to_qname = b.qualified_name AND e.kind = 'imports' WHERE b.file_path = '{CORE}log.rs') SELECT importer, 'file' AS level FROM i UNION ALL SELECT importer, 'symbol' FROM i WHERE importer IN (SELECT qualified_name FROM sym)",
+)
+def imports_all(s, d):
+    return patterns.all_imports(symbols(s, d), edges(s, d), CORE + "log.rs")
+
+
+@query("decode_or_drop", f"{_WITH} SELECT {COLS} FROM sym WHERE kind IN ({', '.join(repr(k) for k in SYMBOL_KINDS)}) AND {' AND '.join(c + ' IS NOT NULL' for c in ('qualified_name', 'file_path', 'start_line', 'end_line', 'signature'))}")
+def decode_or_drop(s, d):
+    return patterns.decoded(symbols(s, d)).select(*SYMBOL_COLS)
+
+
+@query("synthesis_work_list", f"{_WITH} SELECT {COLS}, false AS has_description FROM sym WHERE coalesce(synthesized_description, '') = '' ORDER BY qualified_name LIMIT 25")
+def synthesis_work_list(s, d):
+    return patterns.list_for_synthesis(symbols(s, d, *SYMBOL_COLS, "synthesized_description"), limit=25)
+
+
 # ---- edges and symbols as merged tables
 
 
@@ -278,18 +300,14 @@ def clean_description(s, d):
 
 @query(
     "synthesis_prompt",
-    f"""{_WITH}, {_CTX}, {_BODY}, near AS (SELECT qualified_name, string_agg('- ' || signature, chr(10) ORDER BY neighbor) FILTER (side = 'caller') AS cr, string_agg('- ' || signature, chr(10) ORDER BY neighbor) FILTER (side = 'callee') AS ce FROM ctx3 GROUP BY 1)
-    SELECT s.qualified_name, sha256(concat_ws(chr(10) || chr(10), 'Say in one or two plain sentences what this symbol does.', 'Symbol: ' || nullif(s.short_name, ''), 'Signature: ' || nullif(s.signature, ''), 'Body:' || chr(10) || nullif(b.body, ''),
-    'Called by:' || chr(10) || cr, 'Calls:' || chr(10) || ce, 'Description:')) AS prompt_hash FROM sym s JOIN sliced b USING (qualified_name) LEFT JOIN near USING (qualified_name)""",
+    f"""{_WITH}, {_CTX}, {_BODY}, near AS (SELECT qualified_name, string_agg('- ' || neighbor || ': ' || coalesce(signature, ''), chr(10) ORDER BY neighbor) FILTER (side = 'caller') AS cr, string_agg('- ' || neighbor || ': ' || coalesce(signature, ''), chr(10) ORDER BY neighbor) FILTER (side = 'callee') AS ce FROM ctx3 GROUP BY 1)
+    SELECT s.qualified_name, sha256('Say in one to three plain sentences what this symbol does and what it is for, and nothing else.' || chr(10) || chr(10) || 'Symbol: ' || s.qualified_name || chr(10) || 'Signature: ' || coalesce(s.signature, '') || chr(10)
+    || coalesce('Body:' || chr(10) || b.body || chr(10), '') || coalesce('Called by:' || chr(10) || cr || chr(10), '') || coalesce('Calls:' || chr(10) || ce || chr(10), '') || chr(10) || 'Description:') AS prompt_hash
+    FROM sym s LEFT JOIN sliced b USING (qualified_name) LEFT JOIN near USING (qualified_name)""",
 )
 def synthesis_prompt(s, d):
-    sym = symbols(s, d, "signature")
-    near = patterns.synthesis_context(sym, edges(s, d), sym)
-    listed = lambda side: F.transform(F.array_sort(F.collect_list(F.when(F.col("side") == side, F.struct("neighbor", "signature")))), lambda x: x["signature"])
-    per = near.groupBy(F.col("qualified_name").alias("q")).agg(listed("caller").alias("cr"), listed("callee").alias("ce"))
-    b = _bodies(s, d)
-    prompt = X.synthesis_prompt("short_name", "signature", "body", F.col("cr"), F.col("ce"))
-    return b.join(per, F.col("qualified_name") == F.col("q"), "left").select("qualified_name", F.sha2(prompt, 256).alias("prompt_hash"))
+    sym = symbols(s, d)
+    return graph.prompts(sym.select(*SYMBOL_COLS), sym, edges(s, d), table(s, d, "documents")).select("qualified_name", F.sha2("prompt", 256).alias("prompt_hash"))
 
 
 @query("rerank_prompt", "SELECT doc_id, sha256('Query: where are conflicts resolved' || chr(10) || 'Document: ' || left(text, 1500) || chr(10) || 'Relevant (yes/no):') AS prompt_hash FROM documents")
@@ -313,6 +331,93 @@ def extension_dispatch(s, d):
     return table(s, d, "files").filter("path IS NOT NULL").select("path", X.language_of("path").alias("lang"), X.excluded("path").alias("excluded")).distinct()
 
 
+# ---- extraction over the texts, held against the log of symbols
+
+
+@query("extract_symbols", f"{_WITH} SELECT qualified_name, short_name, {', '.join(SYMBOL_COLS[1:])} FROM sym")
+def extract_symbols(s, d):
+    """What is extracted from the documents, of the names that the log knows too."""
+    found = store.last_per_key(symbols_of(extract_files(table(s, d, "documents").filter("path IS NOT NULL"))), ["qualified_name"], [F.col("ordinal")])
+    return found.join(table(s, d, "symbols").select("qualified_name").distinct(), "qualified_name", "left_semi").select("qualified_name", "short_name", *SYMBOL_COLS[1:])
+
+
+@query("extract_edges", None)
+def extract_edges(s, d):
+    """Edges as they stand in the texts; the raw edges of the test data do not come from these texts."""
+    return edges_of(extract_files(table(s, d, "documents").filter("path IS NOT NULL")))
+
+
+@query("index_documents", f"{_WITH}, {_BODY} SELECT qualified_name, kind, sha256(signature || chr(10) || chr(10) || body) AS body_hash FROM sliced JOIN (SELECT qualified_name, kind FROM sym) USING (qualified_name)")
+def index_documents(s, d):
+    """Symbols of an index from nothing, with the hashes of their bodies, of the names that the log knows too."""
+    found = scan.extracted(table(s, d, "documents").filter("path IS NOT NULL AND text IS NOT NULL").select("path", "text"))[0]
+    return found.join(table(s, d, "symbols").select("qualified_name").distinct(), "qualified_name", "left_semi").select("qualified_name", "kind", "body_hash")
+
+
+_STORED = """fl AS (SELECT * FROM files WHERE path IS NOT NULL QUALIFY row_number() OVER (PARTITION BY path ORDER BY last_modified DESC, seen_at DESC, content_hash DESC NULLS LAST, extractor_version DESC NULLS LAST) = 1),
+src AS (SELECT path, text FROM documents WHERE text IS NOT NULL AND regexp_matches(path, '[.](rs|ts|tsx|js|jsx|mts|cts)$')),
+ch AS (SELECT path FROM src LEFT JOIN fl USING (path) WHERE NOT coalesce(sha256(text) = lower(content_hash) AND extractor_version = 1, false)), gone AS (SELECT path FROM fl WHERE path NOT IN (SELECT path FROM src))"""
+
+
+@query(
+    "reindex",
+    f"""{_WITH}, {_BODY}, {_STORED}, h AS (SELECT sliced.qualified_name, sha256(sliced.signature || chr(10) || chr(10) || sliced.body) AS h FROM sliced JOIN sym USING (qualified_name) WHERE file_path IN (FROM ch)),
+    o AS (SELECT * FROM sym WHERE file_path NOT IN (FROM gone))
+    SELECT o.qualified_name, coalesce(h, o.body_hash) AS body_hash, CASE WHEN description_source_hash <> h THEN NULL ELSE synthesized_description END AS synthesized_description, CASE WHEN description_source_hash <> h THEN NULL ELSE description_source_hash END AS description_source_hash
+    FROM o LEFT JOIN h ON h.qualified_name = o.qualified_name""",
+)
+def reindex(s, d):
+    """The logs as the stored graph, the documents as the tree: hashes and descriptions after an index run, of
+    the symbols that were stored."""
+    old = symbols(s, d, "short_name", *SYMBOL_COLS[1:], "synthesized_description", "embedding", "body_hash", "description_source_hash").drop("indexed_at")
+    f = table(s, d, "files").filter("path IS NOT NULL")
+    order = [F.col(c) for c in ("last_modified", "seen_at", "content_hash", "extractor_version")]
+    stored = store.last_per_key(f.select("path", "file_language", F.lower("content_hash").alias("content_hash"), "last_modified", "extractor_version", "seen_at"), ["path"], order).drop("seen_at")
+    docs = table(s, d, "documents").filter("path IS NOT NULL AND text IS NOT NULL").filter(X.language_of("path").isNotNull())
+    tree = docs.select("path", "text", X.language_of("path").alias("file_language"), X.content_hash("text").alias("content_hash"), F.lit(None).cast("timestamp_ntz").alias("last_modified"))
+    gone = stored.join(tree.select("path"), "path", "left_anti").select("path")
+    new = graph.reindex({"symbols": old, "edges": edges(s, d), "files": stored}, scan.changed(tree, stored), gone, None)["symbols"]
+    return new.join(old.select("qualified_name"), "qualified_name", "left_semi").select("qualified_name", "body_hash", "synthesized_description", "description_source_hash")
+
+
+@query("files_indexed", f"WITH {_STORED} SELECT count(*) AS n_files FROM ch")
+def files_indexed(s, d):
+    f = table(s, d, "files").filter("path IS NOT NULL")
+    order = [F.col(c) for c in ("last_modified", "seen_at", "content_hash", "extractor_version")]
+    stored = store.last_per_key(f.select("path", F.lower("content_hash").alias("content_hash"), "last_modified", "extractor_version", "seen_at"), ["path"], order)
+    tree = table(s, d, "documents").filter("path IS NOT NULL AND text IS NOT NULL").filter(X.language_of("path").isNotNull()).select("path", X.content_hash("text").alias("content_hash"))
+    return scan.changed(tree, stored).agg(F.count(F.lit(1)).alias("n_files"))
+
+
+@query("manifest_read", "SELECT * FROM index_manifest WHERE repo_id LIKE 'tidepool-%' AND COLUMNS(*) IS NOT NULL")
+def manifest_read(s, d):
+    m = table(s, d, "index_manifest")
+    return store.read_manifest(m, m.filter("repo_id LIKE 'tidepool-%'").agg(F.min("repo_id")).scalar())
+
+
+@query("raw_query", "SELECT kind, count(*) AS n FROM edges WHERE observed_at >= '2025-04-15' GROUP BY kind")
+def passthrough(s, d):
+    return raw_query(s, "SELECT kind, count(*) AS n FROM {edges} WHERE observed_at >= CAST(:cut AS timestamp_ntz) GROUP BY kind", {"cut": CUT}, edges=table(s, d, "edges"))
+
+
+@query("edge_labels", "SELECT DISTINCT kind, CASE WHEN kind IN ('calls', 'imports', 'implements', 'references', 'uses_type', 'defines', 'extends', 're_exports', 'co_changed', 'tested_by', 'modified_in') THEN upper(kind) END AS label, true AS back FROM edges")
+def edge_labels(s, d):
+    e = table(s, d, "edges").select("kind").distinct().withColumn("label", X.edge_label("kind"))
+    return e.withColumn("back", X.edge_kind("label").eqNullSafe(F.col("kind")))
+
+
+@query("last_seen_unix", "SELECT path, max(epoch_us(seen_at)) // 1000000 AS seen FROM files GROUP BY 1")
+def last_seen_unix(s, d):
+    return table(s, d, "files").groupBy("path").agg(F.floor(F.max(F.unix_micros(F.col("seen_at").cast("timestamp"))) / 1_000_000).alias("seen"))
+
+
+@query("run_latency", "SELECT repo_id, round(avg(ms), 3) AS mean_ms, round(quantile_cont(ms, 0.95), 3) AS p95_ms FROM (SELECT repo_id, epoch_ms(finished_at)::DOUBLE - epoch_ms(started_at) AS ms FROM index_runs WHERE finished_at IS NOT NULL) GROUP BY 1")
+def run_latency(s, d):
+    ms = lambda c: F.unix_millis(F.col(c).cast("timestamp")).cast("double")
+    runs = table(s, d, "index_runs").filter("finished_at IS NOT NULL").select("repo_id", (ms("finished_at") - ms("started_at")).alias("ms"))
+    return evaluate.latency(runs, "ms", ["repo_id"])
+
+
 # ---- resolution
 
 
@@ -503,6 +608,40 @@ def canonical(s, d):
     return derived.canonical(table(s, d, "part"), "p_type", "p_name", "p_partkey")
 
 
+@query(
+    "co_change_recent",
+    f"WITH {_CH}, big AS (SELECT commit_id, max(at_) AS c_at FROM ch GROUP BY 1 HAVING count(*) > 1 ORDER BY c_at DESC, commit_id DESC LIMIT 200), m AS (SELECT max(at_) AS newest FROM ch), k AS (SELECT ch.* FROM ch JOIN big USING (commit_id)) SELECT x.item AS a, y.item AS b, count(*) AS n, max(x.at_) AS last_seen, round(sum(exp(-0.01 * date_diff('day', CAST(x.at_ AS DATE), CAST(newest AS DATE)))), 6) AS weight FROM k x JOIN k y ON x.commit_id = y.commit_id AND x.item < y.item, m GROUP BY 1, 2",
+)
+def co_change_recent(s, d):
+    """Pairs of the last 200 commits, which is the feature's window."""
+    return derived.co_change(_changes(s, d), least=1, commits=200)
+
+
+def _log(s, d):
+    """The log of upserts as history: each upsert changes its symbol."""
+    return table(s, d, "symbols").select(F.col("qualified_name").alias("item"), F.col("indexed_at").alias("at"))
+
+
+@query(
+    "recent_near",
+    f"{_WITH}, near AS (SELECT '{TICK}' AS q UNION SELECT to_qname FROM e WHERE from_qname = '{TICK}' UNION SELECT from_qname FROM e WHERE to_qname = '{TICK}') SELECT qualified_name AS item, count(*) AS n FROM symbols WHERE qualified_name IN (FROM near) AND date_diff('day', CAST(indexed_at AS DATE), CAST((SELECT max(indexed_at) FROM symbols) AS DATE)) <= 30 GROUP BY 1",
+)
+def recent_near(s, d):
+    return derived.recent_near(_log(s, d), edges(s, d), TICK, 30)
+
+
+@query("modified_in_lines", f"{_WITH} SELECT s.qualified_name, count(DISTINCT CAST(extracted_at AS DATE)) AS n_commits, max(CAST(extracted_at AS DATE)) AS last FROM raw_edges r JOIN sym s ON s.file_path = r.file_path AND r.line_no <= s.end_line AND r.line_no + 2 >= s.start_line GROUP BY 1")
+def modified_in_lines(s, d):
+    """Raw edges stand for hunks of three lines, their days for commits."""
+    hunks = table(s, d, "raw_edges").select(F.to_date("extracted_at").alias("commit_id"), F.to_date("extracted_at").alias("at"), "file_path", F.col("line_no").alias("first_line"), (F.col("line_no") + 2).alias("last_line"))
+    return derived.modified_in_lines(hunks, symbols(s, d))
+
+
+@query("canonical_symbols", f"{_WITH} SELECT short_name, min(qualified_name) AS exemplar, count(*) AS n FROM sym WHERE body_hash IS NOT NULL GROUP BY short_name, body_hash QUALIFY row_number() OVER (PARTITION BY short_name ORDER BY count(*) DESC, body_hash) = 1")
+def canonical_symbols(s, d):
+    return derived.canonical(symbols(s, d, "short_name", "body_hash").filter("body_hash IS NOT NULL"), "short_name", "body_hash", "qualified_name")
+
+
 # ---- retrieval over symbols: the seed vector is that of the first symbol with a usable one
 
 _OK = "len(embedding) = 64 AND list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])) > 0"
@@ -538,6 +677,31 @@ def degraded_find(s, d):
     return _tier4(s, d, F.lit(None).cast("double"))
 
 
+@query(
+    "similar_symbols",
+    f"""{_WITH}, {_SEEDS}, me AS (SELECT node AS q FROM v ORDER BY node LIMIT 1), u AS (SELECT from_qname AS a, to_qname AS b FROM e WHERE from_qname <> to_qname UNION SELECT to_qname, from_qname FROM e WHERE from_qname <> to_qname),
+    own AS (SELECT b FROM u WHERE a = (FROM me)), c AS (SELECT node, cosine FROM sc WHERE node <> (FROM me) ORDER BY cosine DESC, node LIMIT 20)
+    SELECT node, cosine, coalesce(round(count(*) FILTER (u.b IN (FROM own)) / ((SELECT count(*) FROM own) + count(u.b) FILTER (u.b NOT IN (FROM own)))::DOUBLE, 6), 0) AS jaccard FROM c LEFT JOIN u ON u.a = c.node GROUP BY ALL""",
+)
+def similar_symbols(s, d):
+    v = vector.usable(symbols(s, d, "embedding").select(F.col("qualified_name").alias("node"), "embedding"), "embedding", 64)
+    me = v.orderBy("node").first()
+    return find.similar_symbols(v, edges(s, d), me["node"], me["embedding"]).withColumn("cosine", F.round("cosine", 6)).withColumn("jaccard", F.round("jaccard", 6))
+
+
+@query(
+    "cross_file_positions",
+    f"""{_WITH}, df AS (SELECT raw_id, s.file_path AS p, s.start_line AS l FROM raw_edges r JOIN sym s ON s.qualified_name = r.to_raw),
+    hit AS (SELECT raw_id, s.qualified_name AS q FROM df JOIN sym s ON s.file_path = p AND l BETWEEN s.start_line AND s.end_line QUALIFY row_number() OVER (PARTITION BY raw_id ORDER BY s.end_line - s.start_line, s.qualified_name) = 1)
+    SELECT raw_id, coalesce(q, to_raw) AS to_resolved, CASE WHEN q IS NULL THEN edge_source ELSE 'lsp' END AS edge_source FROM raw_edges LEFT JOIN hit USING (raw_id)""",
+)
+def cross_file_positions(s, d):
+    """Where a raw edge names a symbol, the symbol's file and first line stand for what a language server says."""
+    sym, raw = symbols(s, d), table(s, d, "raw_edges")
+    places = raw.join(sym.select(F.col("qualified_name").alias("to_raw"), F.col("file_path").alias("def_path"), F.col("start_line").alias("def_line")), "to_raw").select("raw_id", "def_path", "def_line")
+    return resolve.by_position(raw.select("raw_id", "to_raw", "edge_source"), places, sym)
+
+
 # ---- reports and events
 
 

@@ -25,27 +25,42 @@ def scan(spark: SparkSession, root: str) -> DataFrame:
     return kept.select(F.col("rel").alias("path"), text.alias("text"), language_of("rel").alias("file_language"), content_hash(text).alias("content_hash"), F.col("modificationTime").cast("timestamp_ntz").alias("last_modified"))
 
 
+def scan_paths(spark: SparkSession, root: str, paths: DataFrame) -> DataFrame:
+    """The state of the given paths (relative) below root: as scan() gives it, with null text for those that
+    aren't there any more or are left out."""
+    return paths.select("path").distinct().join(scan(spark, root), "path", "left")
+
+
 def changed(files: DataFrame, stored: DataFrame) -> DataFrame:
     """Files whose hash or extractor version isn't the stored one."""
     same = store.unchanged_files(files, stored).filter("unchanged").select("path")
     return files.join(same, "path", "left_anti")
 
 
-def index(files: DataFrame, embedder: Embedder | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(symbols, edges, file records) of scanned files. Of several declarations of one name the last wins,
-    before its body is hashed. Edges are those whose bare targets were found in their file, and
-    imports, which stay at the level of files."""
-    extracted = extract_files(files)
-    syms = store.last_per_key(symbols_of(extracted), ["qualified_name"], [F.col("ordinal")]).drop("ordinal")
+def extracted(files: DataFrame, embedder: Embedder | None = None) -> tuple[DataFrame, DataFrame]:
+    """(symbols with body_hash and, if there is an embedder, embedding; edges whose bare targets were looked
+    for in their file) of scanned files (path, text). Of several declarations of one name the last wins, before
+    its body is hashed."""
+    raw = extract_files(files)
+    syms = store.last_per_key(symbols_of(raw), ["qualified_name"], [F.col("ordinal")]).drop("ordinal")
     texts = files.select(F.col("path").alias("file_path"), lines("text").alias("ls"))
     bodies = syms.join(texts, "file_path").withColumn("body", body_slice("ls", "start_line", "end_line")).withColumn("body_hash", body_hash("signature", "body"))
     if embedder is not None:
         bodies = embed_column(bodies.withColumn("__t", F.concat_ws("\n\n", "signature", "body")), embedder, "__t").drop("__t")
-    resolved = resolve.same_file(edges_of(extracted), syms)
-    edges = resolved.select("from_qname", F.col("to_resolved").alias("to_qname"), "kind", "edge_source").distinct()
-    kept = store.with_endpoints(edges.filter("kind <> 'imports'"), syms).unionByName(edges.filter("kind = 'imports'"))
-    records = files.select("path", "file_language", "content_hash", "last_modified", F.lit(EXTRACTOR_VERSION).alias("extractor_version"))
-    return bodies.drop("ls", "body"), kept, records
+    edges = resolve.same_file(edges_of(raw), syms).select("from_qname", F.col("to_resolved").alias("to_qname"), "kind", "edge_source").distinct()
+    return bodies.drop("ls", "body"), edges
+
+
+def records(files: DataFrame) -> DataFrame:
+    """What is kept of a file after it was indexed."""
+    return files.select("path", "file_language", "content_hash", "last_modified", F.lit(EXTRACTOR_VERSION).alias("extractor_version"))
+
+
+def index(files: DataFrame, embedder: Embedder | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(symbols, edges, file records) of scanned files, from nothing. Edges are those both of whose ends are
+    symbols, and imports, which stay at the level of files."""
+    syms, edges = extracted(files, embedder)
+    return syms, store.drop_dangling(edges, syms), records(files)
 
 
 def lsp_edges(spark: SparkSession, path: str) -> DataFrame:

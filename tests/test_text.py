@@ -33,9 +33,10 @@ def test_clean_and_trim(spark):
 
 
 def test_prompt_leaves_empty_sections_out(spark):
-    none = F.array().cast("array<string>")
-    got = col(spark, X.synthesis_prompt(F.col("x"), F.lit("fn x()"), F.lit(None), none, F.array(F.lit("fn y()"))), "x")[0]
-    assert "Body" not in got and "Called by" not in got and got.endswith("Calls:\n- fn y()\n\nDescription:")
+    none = F.array().cast("array<struct<neighbor: string, signature: string>>")
+    one = F.array(F.struct(F.lit("p::y").alias("neighbor"), F.lit("fn y()").alias("signature")))
+    got = col(spark, X.synthesis_prompt(F.col("x"), F.lit("fn x()"), F.lit(None), none, one), "p::x")[0]
+    assert "Body" not in got and "Called by" not in got and got.endswith("\n\nSymbol: p::x\nSignature: fn x()\nCalls:\n- p::y: fn y()\n\nDescription:")
 
 
 def test_dispatch(spark):
