@@ -82,11 +82,16 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_pairs(table(spark, d, "documents"))
 
 
+def p10_sets(spark: SparkSession, d: str) -> DataFrame:
+    """Per set of documents that share a run: its members. The pairs of p10_found without making them."""
+    return spans.shared_sets(table(spark, d, "documents")).select(F.concat_ws(":", "set_a", "set_b").alias("set_id"), F.col("doc").alias("doc_id"), "n")
+
+
 def p10_shared(spark: SparkSession, d: str) -> DataFrame:
     """Per document: characters, characters that stand in other documents too, spans of them."""
     return spans.shared_share(table(spark, d, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_reasons": p1_reasons, "p2_found": p2_found, "p2_repairs": p2_repairs, "p2_rates": p2_rates, "p6_found": p6_found, "p6_neighbors": p6_neighbors, "p7_found": p7_found, "p7_pairs": p7_pairs, "p8_ids": p8_ids, "p9_packing": p9_packing, "p9_fill": p9_fill, "p10_found": p10_found, "p10_shared": p10_shared}
+QUERIES = {"p1_found": p1_found, "p1_reasons": p1_reasons, "p2_found": p2_found, "p2_repairs": p2_repairs, "p2_rates": p2_rates, "p6_found": p6_found, "p6_neighbors": p6_neighbors, "p7_found": p7_found, "p7_pairs": p7_pairs, "p8_ids": p8_ids, "p9_packing": p9_packing, "p9_fill": p9_fill, "p10_found": p10_found, "p10_sets": p10_sets, "p10_shared": p10_shared}
 
 ORACLES: dict[str, str] = {}

@@ -12,11 +12,14 @@ bucket, where their hashes are sorted and counted.
 3. Equal strings of a bucket are one class: a string travels once per map task,
    however many documents hold it; who holds it is kept apart, as (class, document).
 4. Each bucket sorts the windows of its classes. Windows in several classes give
-   sets of classes; equal sets are one. A bucket with very many classes is split
-   by window hash.
+   sets of classes; equal sets are one. Of a bucket with very many classes the windows'
+   hashes are sent instead of the strings, and counted by aggregates that are combined
+   map side, so that neither the bucket nor a window that all of it shares is in one task.
 5. Sets become sets of documents. Sets with the same documents are merged by a
    signature before any pair is made; pairs are made in blocks of bounded size.
 
+Windows, classes and sets are told apart by hashes of 128 bits.
+
 Defined results: null and short texts share nothing; the characters count as
 stored, so case, spaces and line ends matter; several equal spans of two documents
 give one pair; a passage that a document only repeats within itself is not shared;
@@ -39,7 +42,7 @@ SPAN = 200
 KMER = 96
 #: Characters worked on at once in a worker.
 BLOCK = 1 << 20
-#: Classes of one minimiser in one task; a bucket with more is split by window hash.
+#: Classes of one minimiser in one task; a bucket with more is counted by its windows' hashes.
 BUCKET = 50_000
 #: Documents of a set paired in one block.
 PAIR_BLOCK = 2048
@@ -158,84 +161,115 @@ def packed_strings(docs: DataFrame, runs: DataFrame, key: str, text: str, span:
     return joined.mapInArrow(cut, f"mz bigint, h bigint, `{key}` {kind}, start int, n int, s string")
 
 
-def _shared(chunk: list[tuple], span: int) -> pa.RecordBatch:
-    """Counts the windows of whole buckets. chunk: (mz, h, several, lo, hi, part, parts, s);
-    lo, hi: the least and the greatest document of the class."""
-    codes = np.concatenate([_codes(c[7]) for c in chunk])
-    lengths = np.array([len(c[7]) for c in chunk])
+#: Shared windows: rows (set_a, set_b, mz, h) name the classes that share one, rows (mz, h, lo, hi) the shared
+#: stretches of each class's string.
+COUNTED = "set_a bigint, set_b bigint, mz bigint, h bigint, lo int, hi int"
+_NAMES = ["set_a", "set_b", "mz", "h", "lo", "hi"]
+_KINDS = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
+
+
+def _window_hashes(strings: list[str], span: int) -> tuple[np.ndarray, ...]:
+    """(index of the string, start in it, two hashes) of all windows."""
+    codes = [_codes(s) for s in strings]
+    lengths = np.array([len(c) for c in codes])
     ends = np.cumsum(lengths)
-    h1, h2 = rolling(codes, span, _B1), rolling(codes, span, _B2)
-    cls = np.searchsorted(ends, np.arange(len(h1)), side="right")
-    part, parts = np.array([c[5] for c in chunk]), np.array([c[6] for c in chunk])
-    # several parts of a bucket may lie in one chunk: then each window is looked at in one of them
-    ok = (np.arange(len(h1)) + span <= ends[cls]) & ((_mix(h1) % parts[cls].astype(np.uint64)).astype(np.int64) == part[cls])
-    at = np.flatnonzero(ok)
-    at = at[np.lexsort((cls[at], h2[at], h1[at]))]
-    out_set, out_mz, out_h, out_lo, out_hi = [], [], [], [], []
-    keys = np.array([(c[0], c[1]) for c in chunk], np.int64).reshape(-1, 2)
-    if len(at):
-        new = np.ones(len(at), bool)
-        new[1:] = (h1[at][1:] != h1[at][:-1]) | (h2[at][1:] != h2[at][:-1])
-        group = np.cumsum(new) - 1
-        lo, hi = np.array([c[3] for c in chunk]), np.array([c[4] for c in chunk])
-        start = np.flatnonzero(new)
+    every = np.concatenate(codes)
+    h1, h2 = rolling(every, span, _B1), rolling(every, span, _B2)
+    owner = np.searchsorted(ends, np.arange(len(h1)), side="right")
+    at = np.flatnonzero(np.arange(len(h1)) + span <= ends[owner])
+    return owner[at], at - (ends - lengths)[owner[at]], h1[at], h2[at]
+
+
+def _shared(chunk: list[tuple], span: int) -> pa.RecordBatch:
+    """Counts the windows of whole buckets. chunk: (mz, h, lo, hi, s); lo, hi: the least and the greatest
+    document of the class."""
+    cls, pos, h1, h2 = _window_hashes([c[4] for c in chunk], span)
+    order = np.lexsort((cls, h2, h1))
+    cls, pos, h1, h2 = cls[order], pos[order], h1[order], h2[order]
+    group = np.empty(0, np.int64)
+    if len(cls):
+        new = np.append(True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1]))
+        group, start = np.cumsum(new) - 1, np.flatnonzero(new)
+        lo, hi = np.array([c[2] for c in chunk]), np.array([c[3] for c in chunk])
         # shared if two different documents have the window
-        shared = np.minimum.reduceat(lo[cls[at]], start) < np.maximum.reduceat(hi[cls[at]], start)
-        keep = shared[group]
-        at, group = at[keep], group[keep]
-    if len(at):
-        c = cls[at]
-        # each class once in each window's set
-        once = np.ones(len(at), bool)
-        once[1:] = (c[1:] != c[:-1]) | (group[1:] != group[:-1])
-        c1, g1 = c[once], group[once]
-        start = np.flatnonzero(np.append(True, g1[1:] != g1[:-1]))
-        ident = _mix(keys[:, 0].view(np.uint64) * np.uint64(_B1) ^ _mix(keys[:, 1].view(np.uint64)))
-        signature = _mix(np.add.reduceat(ident[c1], start) + np.uint64(_B2) * np.diff(np.append(start, len(c1))).astype(np.uint64))
-        _, pick = np.unique(signature, return_index=True)
-        size = np.diff(np.append(start, len(c1)))
-        for p in pick:
-            members = c1[start[p] : start[p] + size[p]]
-            out_set.append(np.full(len(members), signature[p].view(np.int64)))
-            out_mz.append(keys[members, 0])
-            out_h.append(keys[members, 1])
-        n = sum(map(len, out_set))
-        # runs of shared windows in each class, for coverage
-        w = np.sort(at)
-        first = np.append(True, (w[1:] != w[:-1] + 1) | (cls[w][1:] != cls[w][:-1]))
-        b = np.flatnonzero(first)
-        e = np.append(b[1:], len(w)) - 1
-        owner = cls[w[b]]
-        base = (ends - lengths)[owner]
-        sets = np.concatenate([*out_set, np.zeros(len(b), np.int64)])
-        mask = np.concatenate([np.zeros(n, bool), np.ones(len(b), bool)])
-        lo_, hi_ = np.concatenate([np.zeros(n, np.int32), (w[b] - base).astype(np.int32)]), np.concatenate([np.zeros(n, np.int32), (w[e] - base + span).astype(np.int32)])
-        return pa.RecordBatch.from_arrays([pa.array(sets, mask=mask), pa.array(np.concatenate([*out_mz, keys[owner, 0]])), pa.array(np.concatenate([*out_h, keys[owner, 1]])), pa.array(lo_, mask=~mask), pa.array(hi_, mask=~mask)], names=["set_id", "mz", "h", "lo", "hi"])
-    return pa.RecordBatch.from_arrays([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())], names=["set_id", "mz", "h", "lo", "hi"])
+        keep = (np.minimum.reduceat(lo[cls], start) < np.maximum.reduceat(hi[cls], start))[group]
+        cls, pos, group = cls[keep], pos[keep], group[keep]
+    if not len(cls):
+        return pa.RecordBatch.from_arrays([pa.array([], k) for k in _KINDS], names=_NAMES)
+    keys = np.array([(c[0], c[1]) for c in chunk], np.int64).reshape(-1, 2)
+    # each class once in each window's set
+    once = np.append(True, (cls[1:] != cls[:-1]) | (group[1:] != group[:-1]))
+    c1, g1 = cls[once], group[once]
+    start = np.flatnonzero(np.append(True, g1[1:] != g1[:-1]))
+    size = np.diff(np.append(start, len(c1)))
+    ident = keys[:, 0].view(np.uint64) * np.uint64(_B1) ^ _mix(keys[:, 1].view(np.uint64))
+    sign = lambda base: _mix(np.add.reduceat(_mix(ident * np.uint64(base) + np.uint64(base >> 7))[c1], start) + size.astype(np.uint64))
+    ids = np.stack([sign(_B1), sign(_B2)], 1)
+    _, pick = np.unique(ids, axis=0, return_index=True)
+    member = np.concatenate([np.arange(start[p], start[p] + size[p]) for p in pick])
+    of = np.repeat(pick, size[pick])
+    n = len(member)
+    # runs of shared windows in each class, for coverage
+    order = np.lexsort((pos, cls))
+    w, p = cls[order], pos[order]
+    at = np.flatnonzero(np.append(True, (w[1:] != w[:-1]) | (p[1:] != p[:-1] + 1)))
+    owner, end = w[at], p[np.append(at[1:], len(w)) - 1]
+    none, is_run = np.zeros(len(at), np.int64), np.append(np.zeros(n, bool), np.ones(len(at), bool))
+    columns = [np.append(ids[of, 0].view(np.int64), none), np.append(ids[of, 1].view(np.int64), none), np.append(keys[c1[member], 0], keys[owner, 0]), np.append(keys[c1[member], 1], keys[owner, 1]), np.append(np.zeros(n), p[at]).astype(np.int32), np.append(np.zeros(n), end + span).astype(np.int32)]
+    return pa.RecordBatch.from_arrays([pa.array(c, k, mask=m) for c, k, m in zip(columns, _KINDS, (is_run, is_run, None, None, ~is_run, ~is_run), strict=True)], names=_NAMES)
+
+
+def _count_by_hash(classes: DataFrame, span: int) -> DataFrame:
+    """As _shared, for classes (mz, h, lo, hi, s) of buckets too large for a task: each window's hash is a row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 2000):
+                part = batch.slice(i, 2000)
+                cls, pos, h1, h2 = _window_hashes(part.column(4).to_pylist(), span)
+                take = pa.array(cls)
+                yield pa.RecordBatch.from_arrays([*(part.column(c).take(take) for c in range(4)), pa.array(pos.astype(np.int32)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64))], names=["mz", "h", "lo", "hi", "pos", "w1", "w2"])
+
+    windows = materialize(classes.select("mz", "h", "lo", "hi", "s").mapInArrow(run, "mz bigint, h bigint, lo bigint, hi bigint, pos int, w1 bigint, w2 bigint"), "heavy_windows")
+    # a class that holds a window twice has it once in the window's set
+    once = windows.groupBy("mz", "w1", "w2", "h").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    total = lambda seed: F.xxhash64(F.sum(F.xxhash64("h", F.lit(seed)).cast("decimal(38,0)")), F.expr(f"bit_xor(xxhash64(h, {seed}, 1))"), F.count(F.lit(1)), "mz")
+    per = once.groupBy("mz", "w1", "w2").agg(F.min("lo").alias("a"), F.max("hi").alias("b"), total(3).alias("set_a"), total(5).alias("set_b")).filter("a <> b").drop("a", "b")
+    per = materialize(per, "shared_hashes")
+    first = per.groupBy("mz", "set_a", "set_b").agg(F.min(F.struct("w1", "w2")).alias("w")).select("mz", "set_a", "set_b", "w.w1", "w.w2")
+    null = lambda kind: F.lit(None).cast(kind)
+    sets = windows.select("mz", "w1", "w2", "h").join(first, ["mz", "w1", "w2"]).select("set_a", "set_b", "mz", "h", null("int").alias("lo"), null("int").alias("hi")).distinct()
+    # a string has few windows, however many share them
+    shared = windows.join(per.select("mz", "w1", "w2"), ["mz", "w1", "w2"], "left_semi").select("mz", "h", "pos").distinct()
+    island = F.col("pos") - F.row_number().over(Window.partitionBy("mz", "h").orderBy("pos"))
+    runs = shared.withColumn("island", island).groupBy("mz", "h", "island").agg(F.min("pos").alias("lo"), (F.max("pos") + span).cast("int").alias("hi"))
+    return sets.unionByName(runs.select(null("bigint").alias("set_a"), null("bigint").alias("set_b"), "mz", "h", "lo", "hi"))
 
 
 def count_windows(strings: DataFrame, key: str, span: int) -> DataFrame:
-    """Per bucket: rows (set_id, mz, h) name the classes that share a window, rows (mz, h, lo, hi)
-    the shared stretches of each class's string."""
+    """The shared windows of all buckets; columns as in COUNTED."""
     classes = strings.groupBy("mz", "h").agg(F.first("s").alias("s"), F.min(F.xxhash64(key)).alias("lo"), F.max(F.xxhash64(key)).alias("hi"))
-    # buckets with one class whose documents are one: nothing to count; too many classes: split.
-    per_bucket = strings.groupBy("mz").agg(F.approx_count_distinct("h", 0.05).alias("classes")).filter(F.col("classes") > BUCKET).select(F.col("mz").alias("b_mz"), F.ceil(F.col("classes") / BUCKET).cast("int").alias("parts"))
-    # at most (strings / BUCKET) heavy buckets; Spark broadcasts them only if they are small
-    split = classes.join(per_bucket, F.col("mz") == F.col("b_mz"), "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    # at most (strings / BUCKET) heavy buckets, each one number; Spark broadcasts them only if they are small
+    heavy = materialize(strings.groupBy("mz").agg(F.approx_count_distinct("h", 0.05).alias("classes")).filter(F.col("classes") > BUCKET).select("mz"), "heavy_buckets")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk, size = [], 0
         for batch in batches:
             for c in zip(*(col.to_pylist() for col in batch.columns), strict=True):
-                if size > BLOCK and (c[0], c[5]) != (chunk[-1][0], chunk[-1][5]):
+                if size > BLOCK and c[0] != chunk[-1][0]:
                     yield _shared(chunk, span)
                     chunk, size = [], 0
                 chunk.append(c)
-                size += len(c[7])
+                size += len(c[4])
         if chunk:
             yield _shared(chunk, span)
 
-    return split.select("mz", "h", F.lit(True).alias("several"), "lo", "hi", "part", "parts", "s").repartition("mz", "part").sortWithinPartitions("mz", "part", "h").mapInArrow(run, "set_id bigint, mz bigint, h bigint, lo int, hi int")
+    if heavy.isEmpty():
+        light, rest = classes, None
+    else:
+        light, rest = classes.join(heavy, "mz", "left_anti"), _count_by_hash(classes.join(heavy, "mz", "left_semi"), span)
+    counted = light.select("mz", "h", "lo", "hi", "s").repartition("mz").sortWithinPartitions("mz", "h").mapInArrow(run, COUNTED)
+    return counted if rest is None else counted.unionByName(rest)
 
 
 def shared_windows(docs: DataFrame, key: str = "doc_id", text: str = "text", span: int = SPAN, k: int = KMER) -> tuple[DataFrame, DataFrame]:
@@ -247,22 +281,29 @@ def shared_windows(docs: DataFrame, key: str = "doc_id", text: str = "text", spa
     return materialize(count_windows(strings, key, span), "shared_windows"), strings.drop("s")
 
 
+def shared_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", span: int = SPAN, k: int = KMER) -> DataFrame:
+    """set_a, set_b, doc, n: the different sets of at least two documents that share a window, one row per document
+    in each; n is the set's size. All links between documents follow from them without any pair."""
+    counted, members = shared_windows(docs, key, text, span, k)
+    ids = ["set_a", "set_b"]
+    held = counted.filter("set_a IS NOT NULL").select(*ids, "mz", "h").join(members.select("mz", "h", F.col(key).alias("doc")).distinct(), ["mz", "h"]).select(*ids, "doc").distinct()
+    signed = held.groupBy(*ids).agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("doc").cast("decimal(38,0)")).alias("s1"), F.expr("bit_xor(xxhash64(doc, 7))").alias("s2"))
+    kept = signed.filter("n > 1").groupBy("n", "s1", "s2").agg(F.min(F.struct(*ids)).alias("s")).select("s.*", "n")
+    return held.join(kept, ids)
+
+
 def shared_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text", span: int = SPAN, k: int = KMER) -> DataFrame:
     """doc_a < doc_b of every two documents with an equal run of at least `span` characters."""
-    counted, members = shared_windows(docs, key, text, span, k)
-    held = counted.filter("set_id IS NOT NULL").select("set_id", "mz", "h").join(members.select("mz", "h", F.col(key).alias("doc")).distinct(), ["mz", "h"]).select("set_id", "doc").distinct()
-    signed = held.groupBy("set_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("doc").cast("decimal(38,0)")).alias("s1"), F.expr("bit_xor(xxhash64(doc, 7))").alias("s2"))
-    kept = signed.filter("n > 1").groupBy("n", "s1", "s2").agg(F.min("set_id").alias("set_id")).select("set_id", "n")
-    sets = held.join(kept, "set_id").withColumn("blocks", F.ceil(F.col("n") / PAIR_BLOCK).cast("int"))
-    a = sets.select("set_id", F.pmod(F.hash("doc"), F.col("blocks")).alias("block"), F.col("doc").alias("doc_a"))
-    b = sets.select("set_id", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("doc").alias("doc_b"))
-    return a.join(b, ["set_id", "block"]).filter("doc_a < doc_b").select("doc_a", "doc_b").distinct()
+    sets = shared_sets(docs, key, text, span, k).withColumn("blocks", F.ceil(F.col("n") / PAIR_BLOCK).cast("int"))
+    a = sets.select("set_a", "set_b", F.pmod(F.hash("doc"), F.col("blocks")).alias("block"), F.col("doc").alias("doc_a"))
+    b = sets.select("set_a", "set_b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("doc").alias("doc_b"))
+    return a.join(b, ["set_a", "set_b", "block"]).filter("doc_a < doc_b").select("doc_a", "doc_b").distinct()
 
 
 def shared_share(docs: DataFrame, key: str = "doc_id", text: str = "text", span: int = SPAN, k: int = KMER) -> DataFrame:
     """key, n_chars, shared_chars, n_spans: how much of each text stands in other documents too."""
     counted, members = shared_windows(docs, key, text, span, k)
-    pieces = counted.filter("set_id IS NULL").select("mz", "h", "lo", "hi").join(members, ["mz", "h"]).select(key, (F.col("start") + F.col("lo")).alias("lo"), (F.col("start") + F.col("hi")).alias("hi")).distinct()
+    pieces = counted.filter("set_a IS NULL").select("mz", "h", "lo", "hi").join(members, ["mz", "h"]).select(key, (F.col("start") + F.col("lo")).alias("lo"), (F.col("start") + F.col("hi")).alias("hi")).distinct()
     # gaps and islands: a piece begins a new span if it begins after all pieces before it end
     w = Window.partitionBy(key).orderBy("lo", "hi")
     before = F.max("hi").over(w.rowsBetween(Window.unboundedPreceding, -1))

@@ -150,6 +150,34 @@ def test_shared_spans(spark, bucket, monkeypatch):
     assert {tuple(r) for r in spans.shared_pairs(df, span=20, k=8).collect()} == pairs
     assert {r.doc_id: r.shared_chars for r in spans.shared_share(df, span=20, k=8).collect()} == cover
     assert spans.shared_pairs(df.limit(0), span=20, k=8).count() == 0
+    sets = {}
+    for r in spans.shared_sets(df, span=20, k=8).collect():
+        sets.setdefault((r.set_a, r.set_b, r.n), set()).add(r.doc)
+    assert all(len(s) == k[2] for k, s in sets.items()) and {(a, b) for s in sets.values() for a in s for b in s if a < b} == pairs
+
+
+def test_a_bucket_of_very_many_classes_is_never_gathered(spark, monkeypatch):
+    """One passage between different neighbours in all texts: its bucket's strings must not meet in a task."""
+    monkeypatch.setattr(spans, "BUCKET", 100)
+    gathered = spark.sparkContext.accumulator(0)
+    real = spans._shared
+
+    def counted(chunk, span):
+        most = {}
+        for c in chunk:
+            most[c[0]] = most.get(c[0], 0) + 1
+        gathered.add(sum(1 for v in most.values() if v > 150))
+        return real(chunk, span)
+
+    monkeypatch.setattr(spans, "_shared", counted)
+    rnd = random.Random(8)
+    word = lambda n: "".join(rnd.choice("abcdefgh") for _ in range(n))
+    passage = word(26)
+    docs = [(i, word(14) + passage + word(14)) for i in range(800)] + [(9000 + i, word(60)) for i in range(50)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    r = spans.shared_sets(df, span=20, k=8).groupBy("set_a", "set_b").agg(F.count("*").alias("n"), F.max("n").alias("m")).orderBy(F.desc("n")).first()
+    assert r.n == r.m == 800 and gathered.value == 0
+    assert spans.shared_pairs(df, span=20, k=8).count() == 800 * 799 // 2
 
 
 def test_long_texts_go_in_blocks(spark, monkeypatch):
