@@ -2,9 +2,11 @@
 
 Unit vectors are turned by a fast pseudo-rotation (three rounds of random signs and
 a Hadamard transform) and assigned to the nearest signed axis. A table joins the
-axes of two independent rotations; each vector is stored once per table and looks
-into `probes` cells of it, the nearest first by how little the second-best axes
-fall behind. Candidates are reranked by exact cosine.
+axes of one or two independent rotations, and from `PER_CELL` entries a cell on of a
+third over as few of its axes as the collection asks for, so that cells don't grow
+with it; each vector is stored once per table and looks into `probes` cells of it, the
+nearest first by how little the second-best axes fall behind. Candidates are reranked
+by exact cosine.
 
 Vectors of the same direction (equal after scaling and rounding to `SAME` digits'
 worth of float bits) are one entry with its members, so a large group of copies is
@@ -28,10 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from symgraph.session import materialize
+from symgraph.session import PARTITION_BYTES, materialize
 
 #: Stored entries of one cell met at once.
 CELL_BLOCK = 4096
+#: Entries of an average cell from which cells are made finer.
+PER_CELL = 64
 #: Ids in a list that goes to every executor instead of a shuffle of all vectors: some 10 MB.
 BROADCAST_ROWS = 250_000
 #: Coordinates of unit vectors are compared to this many binary digits for being copies.
@@ -42,9 +46,11 @@ ANGLE = 1 / 8192
 
 @cache
 def _signs(dim: int, tables: int, seed: int) -> np.ndarray:
-    """(tables, 2 rotations, 3 rounds, padded dim) of +1 and -1."""
+    """(tables, 3 rotations, 3 rounds, padded dim) of +1 and -1; the third rotation's come last."""
     size = 1 << (dim - 1).bit_length()
-    return np.random.default_rng(seed).choice(np.array([-1, 1], np.float32), (tables, 2, 3, size))
+    rng = np.random.default_rng(seed)
+    both = rng.choice(np.array([-1, 1], np.float32), (tables, 2, 3, size))
+    return np.concatenate([both, rng.choice(np.array([-1, 1], np.float32), (tables, 1, 3, size))], 1)
 
 
 def _hadamard(x: np.ndarray) -> np.ndarray:
@@ -56,14 +62,17 @@ def _hadamard(x: np.ndarray) -> np.ndarray:
     return x / np.float32(np.sqrt(n))
 
 
-def _axes(x: np.ndarray, signs: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
-    """The `top` nearest signed axes of each row and how far each falls behind the first."""
+def _axes(x: np.ndarray, signs: np.ndarray, top: int, among: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The `top` nearest signed axes of each row and how far each falls behind the first; of the first `among`
+    axes of the rotated space if that is given."""
     size = signs.shape[1]
     y = np.zeros((len(x), size), np.float32)
     y[:, : x.shape[1]] = x
     for s in signs:
         y = _hadamard(y * s)
+    y = y[:, :among]
     both = np.concatenate([y, -y], 1)
+    top = min(top, both.shape[1] - 1)
     if top == 1:
         best = both.argmax(1)[:, None]
     else:
@@ -74,7 +83,14 @@ def _axes(x: np.ndarray, signs: np.ndarray, top: int) -> tuple[np.ndarray, np.nd
     return best, (value[:, :1] - value) ** 2
 
 
-def cells(x: np.ndarray, tables: int, probes: int, seed: int, joint: bool = True) -> Iterator[tuple[int, np.ndarray]]:
+def finer(entries: int, dim: int, joint: bool) -> int:
+    """Axes of the third rotation, a power of two; 0 if the cells of the others are small enough."""
+    cells_ = (2 << (dim - 1).bit_length()) ** (2 if joint else 1)
+    need = entries / (PER_CELL * cells_)
+    return 0 if not joint or need <= 1 else min(1 << (dim - 1).bit_length(), 1 << max(0, int(np.ceil(np.log2(need))) - 1))
+
+
+def cells(x: np.ndarray, tables: int, probes: int, seed: int, joint: bool = True, third: int = 0) -> Iterator[tuple[int, np.ndarray]]:
     """Per table the cells of each row, nearest first: column 0 is where it is stored."""
     all_signs = _signs(x.shape[1], tables, seed)
     size = 2 * all_signs.shape[-1]
@@ -84,11 +100,16 @@ def cells(x: np.ndarray, tables: int, probes: int, seed: int, joint: bool = True
         if not joint:
             yield t, a[:, :probes]
             continue
-        b, db = _axes(x, all_signs[t, 1], top)
-        cost = (da[:, :, None] + db[:, None, :]).reshape(len(x), -1)
-        cell = (a[:, :, None] * size + b[:, None, :]).reshape(len(x), -1)
-        pick = np.argsort(cost, 1, kind="stable")[:, :probes]
-        yield t, np.take_along_axis(cell, pick, 1)
+        cell, cost = a, da
+        for r, among in ((1, None), (2, third)):
+            if among == 0:
+                continue
+            b, db = _axes(x, all_signs[t, r], top, among)
+            cost = (cost[:, :, None] + db[:, None, :]).reshape(len(x), -1)
+            cell = (cell[:, :, None] * size + b[:, None, :]).reshape(len(x), -1)
+            pick = np.argsort(cost, 1, kind="stable")[:, : max(probes, 2)]
+            cell, cost = np.take_along_axis(cell, pick, 1), np.take_along_axis(cost, pick, 1)
+        yield t, cell[:, :probes]
 
 
 def unit_vectors(df: DataFrame, key: str, vector: str, dim: int) -> DataFrame:
@@ -145,7 +166,7 @@ def decode(code: np.ndarray, dim: int, fine: bool) -> tuple[np.ndarray, np.ndarr
     return x / np.linalg.norm(x, axis=1, keepdims=True), angle
 
 
-def _placed(entries: DataFrame, dim: int, tables: int, probes: int, seed: int, joint: bool, fine: bool) -> DataFrame:
+def _placed(entries: DataFrame, dim: int, tables: int, probes: int, seed: int, joint: bool, fine: bool, third: int) -> DataFrame:
     """Rows (place, role, e, code): an entry in the cell it is stored in and in those it looks into.
     place: table and cell. role: 0 stored, 1 stored and asking, 2 asking. code: see encode()."""
 
@@ -157,7 +178,7 @@ def _placed(entries: DataFrame, dim: int, tables: int, probes: int, seed: int, j
             code = encode(x, fine)
             packed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(code.shape[1]), len(x), [None, pa.py_buffer(np.ascontiguousarray(code).tobytes())]).cast(pa.binary())
             asks = np.asarray(batch.column(2).to_numpy(zero_copy_only=False))
-            for t, cell in cells(x, tables, probes, seed, joint):
+            for t, cell in cells(x, tables, probes, seed, joint, third):
                 n, p = cell.shape
                 # who doesn't ask is only stored
                 here = np.ones((n, p), bool)
@@ -256,8 +277,12 @@ def nearest(df: DataFrame, key: str, vector: str, dim: int, k: int = 10, tables:
         entries = entries.join(asked.withColumn("asks", F.lit(True)), "e", "left").withColumn("asks", F.coalesce("asks", F.lit(False)))
     # without a least cosine only the codes bound what is reranked, so they are finer
     fine = min_cosine <= -1
-    placed = _placed(entries, dim, tables, probes, seed, joint, fine)
-    stored = _placed(entries.withColumn("asks", F.lit(False)), dim, tables, 1, seed, joint, fine)
+    n = heads.count()
+    third = finer(n, dim, joint)
+    # a finer cell is missed more often
+    probes = probes * 2 if third else probes
+    placed = _placed(entries, dim, tables, probes, seed, joint, fine, third)
+    stored = _placed(entries.withColumn("asks", F.lit(False)), dim, tables, 1, seed, joint, fine, third)
     # a heavy cell's stored entries are spread over blocks; who asks goes to every block
     heavy = stored.groupBy("place").count().filter(F.col("count") > CELL_BLOCK).select(F.col("place").alias("h"), F.ceil(F.col("count") / CELL_BLOCK).cast("int").alias("blocks"))
     both = placed.join(heavy, F.col("place") == F.col("h"), "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
@@ -266,7 +291,9 @@ def nearest(df: DataFrame, key: str, vector: str, dim: int, k: int = 10, tables:
     # stored in one block of a heavy cell, who is stored elsewhere only asks here
     role = F.when(F.col("block") == home, F.col("role")).otherwise(F.lit(2).cast("long"))
     rows = spread.select(((F.col("place") * F.lit(1 << 22) + F.col("block")) * 4 + role).alias("key"), "e", "code")
-    met = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), F.expr("shiftright(key, 2)")).sortWithinPartitions("key").mapInArrow(_meet(dim, k, min_cosine, fine), "a bigint, b bigint").distinct()
+    size = n * tables * (1 + (probes if asked is None else 0)) * (dim + 32)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PARTITION_BYTES))
+    met = rows.repartition(parts, F.expr("shiftright(key, 2)")).sortWithinPartitions("key").mapInArrow(_meet(dim, k, min_cosine, fine), "a bigint, b bigint").distinct()
     # the exact rerank, on the pairs that are left
     met = materialize(met, "candidate_pairs")
     near = materialize(met.select(F.explode(F.array("a", "b")).alias("e")).distinct(), "near")

@@ -52,7 +52,7 @@ def p6_neighbors(spark: SparkSession, d: str) -> DataFrame:
     """The 10 most similar symbols of each symbol whose hash is divisible by 100, against all symbols."""
     latest = _latest_symbols(spark, d, "embedding")
     asked = latest.filter(F.pmod(F.xxhash64("qualified_name"), F.lit(100)) == 0).select("qualified_name")
-    return neighbors.nearest(latest, "qualified_name", "embedding", 64, k=10, joint=False, tables=10, probes=12, queries=asked).select(F.col("id").alias("qualified_name"), "neighbor", F.round("cosine", 6).alias("cosine"), "rank")
+    return neighbors.nearest(latest, "qualified_name", "embedding", 64, k=10, joint=False, tables=3, probes=30, queries=asked).select(F.col("id").alias("qualified_name"), "neighbor", F.round("cosine", 6).alias("cosine"), "rank")
 
 
 _FN = ("short_name", "kind", "file_path", "start_line", "signature", "jsdoc", "synthesized_description")

@@ -25,9 +25,11 @@ def brute(vectors, k, least):
     return out
 
 
-@pytest.mark.parametrize("cell_block", [4096, 7])
-def test_near_vectors_are_found(spark, monkeypatch, cell_block):
+@pytest.mark.parametrize(("cell_block", "per_cell"), [(4096, 64), (7, 64), (4096, 0.002)])
+def test_near_vectors_are_found(spark, monkeypatch, cell_block, per_cell):
+    """Also in blocks of a cell, and in cells as fine as for a thousand times more vectors."""
     monkeypatch.setattr(neighbors, "CELL_BLOCK", cell_block)
+    monkeypatch.setattr(neighbors, "PER_CELL", per_cell)
     rnd = np.random.default_rng(3)
     vs = []
     for c in range(60):
@@ -55,13 +57,21 @@ def test_copies_are_neighbours_and_ties_go_by_name(spark):
     assert got["c00"] == {1: "c01", 2: "c02", 3: "c03"} and got["c20"] == {1: "c00", 2: "c01", 3: "c02"} and "other" not in got
 
 
-def test_recall_of_all_neighbours(spark, sf):
+def test_cells_follow_the_collection():
+    assert [neighbors.finer(n, 64, True) for n in (1, 1 << 20, (1 << 20) + 1, 1 << 24, 1 << 30)] == [0, 0, 1, 8, 64] and neighbors.finer(1 << 30, 64, False) == 0
+    x = np.random.default_rng(9).standard_normal((2000, 64)).astype(np.float32)
+    wide, fine = (max(np.bincount(c[:, 0]).max() for _, c in neighbors.cells(x, 2, 3, 7, True, third)) for third in (0, 64))
+    assert fine < wide and all(c.shape == (2000, 6) for _, c in neighbors.cells(x, 2, 6, 7, True, 4))
+
+
+@pytest.mark.parametrize(("tables", "probes"), [(10, 12), (3, 30)])
+def test_recall_of_all_neighbours(spark, sf, tables, probes):
     df = spark.read.parquet(f"{sf}/embeddings.parquet")
     rows = [(r.vec_id, r.embedding) for r in df.select("vec_id", "embedding").collect()]
     asked = df.filter("vec_id % 100 = 0").select("vec_id")
     want = brute(rows, 10, -1)
     got = {}
-    for r in neighbors.nearest(df, "vec_id", "embedding", 64, k=10, joint=False, tables=10, probes=12, queries=asked).collect():
+    for r in neighbors.nearest(df, "vec_id", "embedding", 64, k=10, joint=False, tables=tables, probes=probes, queries=asked).collect():
         got.setdefault(r.id, set()).add(r.neighbor)
     assert np.mean([len(got[i] & set(want[i])) / 10 for i in got]) >= 0.9 and len(got) == 5
 
