@@ -111,4 +111,4 @@ def classify(tok: str, family: str) -> str:
 
 
 # fixed values: words with a meaning of their own in some places and names elsewhere
-TS_CONTEXTUAL = frozenset("type of as from get set static async readonly declare namespace module abstract keyof infer is satisfies public private protected override interface implements unique asserts global accessor".split())
+TS_CONTEXTUAL = frozenset("type of as from get set static async readonly declare namespace module abstract keyof infer is satisfies public private protected override interface implements unique asserts global accessor out using".split())
