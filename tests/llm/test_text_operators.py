@@ -197,6 +197,7 @@ GOOD = {
            "static A: [u8; 2] = [0x1f, b'a'];\nconst F: fn(u8) -> u8 = |x| x;\nextern \"C\" { fn c(x: *const u8); }\nfn g() -> impl Fn(u8) -> u8 { move |x| { x as u8 } }\n\ntype T = <A as B>::C;", "/// of f\nfn f() {}\n//// no documentation\n", "﻿fn a() { let s = r#\"{ \" }\"#; let c = '{'; /* { /* nested */ */ }"],
     "ts": ["", "export function f<T extends object = {}>(a?: string, ...b: number[]): a is string { return a!; }\nconst g = async <T,>(x: Map<string, T[]>): Promise<void> => { await x?.y?.[0]?.(1); };\ntype A = { readonly [K in keyof B]?: B[K] } | null;\ninterface I<T> extends J<T>, K { m(): void; (x: number): string; [k: string]: any }\nabstract class C<T> extends D<T> implements I { static x = 1; #p?: number; constructor(private a: string) { super(a) } get v() { return this.#p } async *gen() { yield* x }\n  a = 1\n  b\n}\nenum E { A = 1, B }",
            "switch (x) { case 'a': f(1); break; default: y = 0x1f; }\ndo { i-- } while (i > 0)\nfor (const [k, v] of m) if (k) continue; else break\ntry { a() } catch { b() } finally { c() }\nlabel: for (;;) { break label }\nlet { a, b: { c = 1 }, ...r } = o, [d, , e = 2] = p\nconst re = /[/{]\\/(\"'`)/g.test(s), t = `a ${x ? `b ${y}` : '}'} c`\nx = y / 2 / z; z = a < b ? c : d > e\nexport default class { }\nexport * as ns from './x'\nimport type { T } from \"t\"\nvar f = function* g() {}, o = { async m() {}, get x() { return 1 }, [k]: 1, 'q': 2, ...s }",
+           "if (a) b\nelse c", "if (a)\n  b()\nelse if (c)\n  d[1]\nelse\n  e()\n", "function f() {\n  if (a) return 1\n  else return 2\n}", "class A<in out T> {}\ninterface B<out T> {}\nlet out = using, using", "{ using x = f(); await using y = g() }",
            "!function(){var a=1;for(var i=0;i<9;i++)a^=i;return a}();(()=>{e.x=function(m){return m}})();"],
     "tsx": ["export const A = () => <div className=\"a\" {...p} onClick={() => f({ a: 1 })}>it's {x ? <b/> : null} text <></></div>;", "const x = <T,>(a: T) => a;"],
 }
@@ -227,11 +228,51 @@ def test_kinds_of_damage():
     assert syntax.judge("a.rs", whole.replace("g(a);", "g(a;"))[1] == "other"
 
 
+def test_edit_places_tell_the_damage():
+    assert syntax.judge("a.rs", "let y = ) + ( 2;")[1] == "other"
+    whole = "fn f(a: u8) -> u8 {\n    g(a);\n    a + 1\n}\n"
+    tokens = syntax.judge("a.rs", whole)[2]
+    for cut in ("fn h() { if a { g(1, ", "fn h() { let x = ", "struct S { a: u8,", "fn h() { g(1); }\nfn", "fn h() { \"open"):
+        cost, damage, n, first, _ = syntax.judge("a.rs", whole * 3 + cut)
+        assert damage == "truncation" and first >= 3 * tokens and cost > 0, cut
+    # an edit in the middle is where it is, and none is where nothing is wrong
+    assert syntax.judge("a.rs", whole + "fn h() { g(1 2); }\n" + whole)[3] == tokens + 8
+    assert syntax.judge("a.rs", whole)[3:] == (None, True)
+
+
 def test_least_cost_of_small_edits():
     p = syntax.parser(L.RUST)
     for toks, cost in ((("let", "id", "=", "num", ";"), 0), (("let", "id", "num", ";"), 1), (("let", "id", "=", ";"), 1), (("let", "let", "id", "=", "num", ";"), 1)):
         p.searches = 0
-        assert p.repair("Stmts", toks) == cost or (cost == 0 and p.segment("Stmts", toks))
+        assert p.repair("Stmts", toks, syntax.SHALLOW)[0] == cost or (cost == 0 and p.segment("Stmts", toks))
+
+
+@pytest.mark.parametrize("family", [L.RUST, L.TS])
+def test_least_cost_equals_brute_force(family):
+    """By the chart, against all ways to delete, replace or insert up to three tokens."""
+    p, rule = syntax.parser(family), "Stmts" if family == L.RUST else "Seg"
+    whole = lambda toks: p.parse(rule, toks, 0) == 0
+
+    def brute(toks):
+        seen = {toks}
+        for cost in range(4):
+            if any(map(whole, seen)):
+                return cost
+            seen = {x for s in seen for i in range(len(s) + 1) for x in (s[:i] + s[i + 1 :], (*s[:i], syntax.ANY, *s[i + 1 :]), (*s[:i], syntax.ANY, *s[i:]))}
+        return None
+
+    rnd, deep = random.Random(12), syntax.Search(3, 24, 10**9)
+    words = ["id", "num", "=", ";", "let", "+", ".", "if", ":", "return"]
+    met = set()
+    for _ in range(120):
+        toks = tuple(rnd.choice(words) for _ in range(rnd.randint(2, 6)))
+        if whole(toks):
+            continue
+        cost, _, exact = p.repair(rule, toks, deep)
+        want = brute(toks)
+        assert cost == (want or 4) and exact == (want is not None), toks
+        met.add(cost)
+    assert {1, 2} <= met and max(met) > 2
 
 
 def test_grammars_name_only_rules_they_have():
