@@ -3,12 +3,15 @@
 Every text leaves one row of evidence: a hash of its tokens (comments and white space
 aside, so that a changed notice or another layout makes no difference), whether a
 notice in its leading comments says who made it, and measures of its layout. Merkle
-hashes are then computed over the directory trees up to their roots: a directory's hash is made
-of all files below it and their depths, names aside, by a sum that doesn't depend on
-their order and is combined map side, so that no directory is gathered in one place. A subtree (a file
-counts as one) that unrelated repositories share marks vendored code where any copy of
-it shows a foreign origin: a notice, or a place where package managers put dependencies.
-Copies between repositories that show none are moves of their own code and make no case.
+hashes are then computed bottom-up over the directory trees, level by level up to their roots: a
+directory's hash is made of those of its children, files and directories, names aside, by sums
+that don't depend on their order and are combined map side, so that no directory is gathered in
+one place. A subtree (a file counts as one) that different repositories share is vendored code if
+they are unrelated. They are taken to be where `UNRELATED` of them or more hold it, which is more
+than a project and its forks and moves; or where any copy shows a foreign origin: a notice in one
+of its files, or a place where package managers put dependencies. Copies between fewer
+repositories that show none are moves of their own code and make no case. Only the files of the
+shared subtree itself are marked.
 
 The other rules look at one file:
 - a notice of a generator in the leading comments, or a build product's folder or name;
@@ -36,12 +39,12 @@ from pyspark.sql import functions as F
 from symgraph.operators.extract import lexer as L
 from symgraph.session import materialize, spread
 
-# fixed values: places where tools put what they make, and package managers what they fetch
+# places where tools put what they make, and package managers what they fetch
 BUILD_DIRS = ["generated", "__generated__", "gen", "dist", "target", "out", "static", "assets"]
 BUILD_NAMES = ["min", "gen", "autogen", "generated", "g", "pb", "designer", "bundle"]
 DEPENDENCY_DIRS = ["node_modules", "vendor", "third_party", "3rdparty", "deps", "external"]
 
-# fixed values: what notices of generators and of third parties say
+# what notices of generators and of third parties say
 GENERATOR_NOTICE = re.compile(
     r"@generated\b|code generated by|<auto-generated|\bautogenerated\b|\bauto-?generated (?:by|from|file|code)|machine-written|generated (?:from|by) \S+|automatically (?:produced|generated|created)"
     r"|do not (?:edit|modify)(?: this file| by hand| manually| directly)?\s*(?:[.!;,(\[{#]|\*/|$)|changes will be (?:overwritten|lost)|(?:manual|hand) (?:edits|changes) (?:are|will be) (?:lost|overwritten)"
@@ -49,9 +52,6 @@ GENERATOR_NOTICE = re.compile(
     re.IGNORECASE | re.MULTILINE,
 )
 ORIGIN_NOTICE = re.compile(r"third[- ]party|upstream:|local copy of|vendored (?:from|copy)|copied from", re.IGNORECASE)
-#: Sayings in which the words above mean the opposite.
-KEPT_BY_HAND = re.compile(r"kept by hand|ours to edit|method stub", re.IGNORECASE)
-
 #: Characters of code from which a text can be minified, the share of white space beneath which it is, and
 #: the characters a line holds on average.
 MINIFIED_LEAST, MINIFIED_SPACE, MINIFIED_LINE = 80, 0.085, 100
@@ -63,6 +63,8 @@ BLOB_LEAST, BLOB_SHARE = 120, 0.6
 NUMBERED_LEAST, NUMBERED_SHARE = 3, 0.8
 #: Tokens from which a text that others share is more than a common phrase.
 SHARED_LEAST = 12
+#: Repositories that hold a subtree from which it is nobody's own, whatever it says.
+UNRELATED = 5
 
 _DEFINITION = {
     L.RUST: re.compile(r"^(?:#\[[^\]\n]*\] )?(?:pub(?:\([a-z]+\))? )?(?:async )?(?:const|static|struct|enum|fn|type|trait|impl(?:<[^>\n]*>)?)\b([^\n{(=;:]*)", re.MULTILINE),
@@ -108,7 +110,7 @@ def evidence(path: str, text: str | None) -> tuple[int, int, bool, str | None]:
     toks = L.tokens(text, family)
     code = [t for t in toks if not t.isspace() and not t.startswith(("//", "/*"))]
     h = int.from_bytes(blake2b("\x00".join(code).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
-    head = "\n".join(x for x in leading_comments(toks).split("\n") if not KEPT_BY_HAND.search(x))
+    head = leading_comments(toks)
     origin = ORIGIN_NOTICE.search(head) is not None
     return h, len(code), origin, _shape(text, code, toks, head, family)
 
@@ -170,43 +172,47 @@ def in_build_place(path: Column) -> Column:
     return path.rlike("(^|/)(" + "|".join(BUILD_DIRS) + ")/") | path.rlike("\\.(" + "|".join(BUILD_NAMES) + ")\\.[a-z]+$")
 
 
-def _folders(path: str, levels: int | None) -> Column:
-    """The folders above a path, outermost first, or the `levels` innermost, each with its distance."""
-    least = "1" if levels is None else f"greatest(1, n - {levels})"
-    folder = f"named_struct('node', array_join(slice(split({path}, '/'), 1, i), '/'), 'below', n - i)"
-    return F.expr(f"flatten(transform(array(size(split({path}, '/'))), n -> if(n > 1, transform(sequence({least}, n - 1), i -> {folder}), array())))")
+def _parent(path: Column | str) -> Column:
+    """The folder a path lies in; null at the top."""
+    p = F.col(path) if isinstance(path, str) else path
+    return F.nullif(F.regexp_replace(p, "/?[^/]*$", ""), F.lit(""))
+
+
+def _above(path: str) -> Column:
+    """The path itself and all folders above it."""
+    return F.expr(f"transform(sequence(1, size(split({path}, '/'))), i -> array_join(slice(split({path}, '/'), 1, i), '/'))")
 
 
-def merkle(leaves: DataFrame, levels: int | None = None) -> DataFrame:
-    """node, repo_id, h, n_files, marked of every subtree: files, and all folders above (or `levels` of them).
+def merkle(leaves: DataFrame) -> DataFrame:
+    """node, repo_id, h, marked, long of every subtree: the files (path, repo_id, h, marked, long) and all folders
+    above them. A folder is marked, or long enough to be no chance, if any of its children is.
 
-    leaves: path, repo_id, h, marked. A folder's hash is made of those of all files below it, each
-    mixed with how deep it lies, summed in 64 bits twice: order and names play no part, counts do."""
-    node = leaves.select(F.col("path").alias("node"), "repo_id", "h", F.lit(1).cast("long").alias("n_files"), F.col("marked"))
-    above = leaves.select(F.explode(_folders("path", levels)).alias("f"), "repo_id", "h", "marked").select("f.*", "repo_id", "h", "marked").filter("node <> ''")
-    folders = (
-        above.groupBy("node", "repo_id")
-        .agg(F.expr("bit_xor(xxhash64(h, below, 1))").alias("x"), F.sum(F.expr("xxhash64(h, below, 2)").cast("decimal(38,0)")).alias("s"), F.count(F.lit(1)).alias("n_files"), F.max("marked").alias("marked"))
-        .select("node", "repo_id", F.xxhash64("x", "s", "n_files").alias("h"), "n_files", "marked")
-    )
-    return node.unionByName(folders)
+    One aggregate per level, the deepest first; the number of levels is that of the longest path."""
+    files = materialize(leaves.filter("path IS NOT NULL").select(F.col("path").alias("node"), "repo_id", F.xxhash64(F.lit("file"), "h").alias("h"), "marked", "long", F.size(F.split("path", "/")).alias("depth")), "leaves")
+    deepest = files.agg(F.max("depth")).first()[0] or 1
+    every, folders = files.drop("depth"), None
+    for depth in range(deepest, 1, -1):
+        children = files.filter(F.col("depth") == depth).drop("depth")
+        if folders is not None:
+            children = children.unionByName(folders)
+        parents = children.groupBy(_parent("node").alias("node"), "repo_id").agg(F.expr("bit_xor(xxhash64(h, 1))").alias("x"), F.sum(F.xxhash64("h", F.lit(2)).cast("decimal(38,0)")).alias("s"), F.count(F.lit(1)).alias("n"), F.max("marked").alias("marked"), F.max("long").alias("long"))
+        folders = materialize(parents.filter("node IS NOT NULL").select("node", "repo_id", F.xxhash64(F.lit("folder"), "x", "s", "n").alias("h"), "marked", "long"), "folders")
+        every = every.unionByName(folders)
+    return every
 
 
 def vendored(leaves: DataFrame) -> DataFrame:
-    """path of each file that lies in a subtree which several repositories share and of which a copy
-    shows a foreign origin: a notice in any of its files, or its place. leaves: path, repo_id, h, n_tokens,
-    origin. Texts of few tokens are part of their folders, but no case by themselves."""
-    known = leaves.filter("path IS NOT NULL").groupBy("path", "repo_id", "h").agg(F.max("n_tokens").alias("n_tokens"), F.max("origin").alias("marked"))
-    long = known.filter(F.col("n_tokens") >= SHARED_LEAST)
-    # a folder none of whose files is long enough is shared by chance
-    worth = long.select("path").union(long.select(F.explode(_folders("path", None)).alias("f")).select("f.node")).distinct().toDF("node")
-    # a dependency folder says what it holds, and nothing about the folders around it
-    nodes = merkle(known.select("path", "repo_id", "h", "marked")).join(worth, "node", "left_semi").withColumn("marked", F.col("marked") | in_dependency_dir(F.concat("node", F.lit("/"))))
-    shared = nodes.groupBy("h").agg(F.min("repo_id").alias("a"), F.max("repo_id").alias("b"), F.max("marked").alias("foreign")).filter("a <> b AND foreign").select("h")
+    """path of each file that lies in a subtree which unrelated repositories share. leaves: path, repo_id, h,
+    n_tokens, origin (a notice). Texts of few tokens are part of their folders, but no case by themselves."""
+    known = leaves.filter("path IS NOT NULL").groupBy("path", "repo_id", "h").agg(F.max("n_tokens").alias("n_tokens"), F.max("origin").alias("marked")).withColumn("long", F.col("n_tokens") >= SHARED_LEAST)
+    # a folder none of whose files is long enough is shared by chance; a dependency folder says what it holds, and
+    # nothing about the folders around it
+    nodes = merkle(known).filter("long").withColumn("marked", F.col("marked") | in_dependency_dir(F.concat("node", F.lit("/"))))
+    held = nodes.groupBy("h", "repo_id").agg(F.max("marked").alias("marked"))
+    shared = held.groupBy("h").agg(F.count(F.lit(1)).alias("repos"), F.max("marked").alias("foreign")).filter((F.col("repos") > 1) & (F.col("foreign") | (F.col("repos") >= UNRELATED))).select("h")
     hit = nodes.join(shared, "h", "left_semi").select("node").distinct()
     # a file is its own subtree and part of all those above it
-    up = known.select("path", F.explode(F.concat(F.array("path"), F.transform(_folders("path", None), lambda f: f["node"]))).alias("node"))
-    return up.join(hit, "node", "left_semi").select("path").distinct()
+    return known.select("path", F.explode(_above("path")).alias("node")).join(hit, "node", "left_semi").select("path").distinct()
 
 
 def not_handwritten(files: DataFrame, docs: DataFrame) -> DataFrame:

@@ -319,9 +319,24 @@ def test_not_handwritten(spark):
 
 
 def test_merkle_of_equal_folders(spark):
-    leaves = spark.createDataFrame([("a/v/x/1.rs", "a", 1, True), ("a/v/x/2.rs", "a", 2, False), ("b/w/y/9.rs", "b", 2, False), ("b/w/y/8.rs", "b", 1, False), ("b/w/z/7.rs", "b", 1, False)], "path string, repo_id string, h bigint, marked boolean")
-    h = {r.node: r.h for r in handwritten.merkle(leaves, 2).collect()}
-    assert h["a/v/x"] == h["b/w/y"] != h["b/w/z"] and h["a/v"] != h["b/w"]
+    leaves = spark.createDataFrame([("a/v/x/1.rs", "a", 1, True), ("a/v/x/2.rs", "a", 2, False), ("b/w/y/9.rs", "b", 2, False), ("b/w/y/8.rs", "b", 1, False), ("b/w/z/7.rs", "b", 1, False), ("top.rs", "b", 5, False), (None, "b", 1, False)], "path string, repo_id string, h bigint, marked boolean")
+    h = {r.node: r.h for r in handwritten.merkle(leaves.withColumn("long", F.lit(True))).collect()}
+    assert h["a/v/x"] == h["b/w/y"] != h["b/w/z"] and h["a/v"] != h["b/w"] and set(h) == {"top.rs", "a", "a/v", "a/v/x", "a/v/x/1.rs", "a/v/x/2.rs", "b", "b/w", "b/w/y", "b/w/y/8.rs", "b/w/y/9.rs", "b/w/z", "b/w/z/7.rs"}
+    # the same files at the same depths, but not in the same folders
+    other = spark.createDataFrame([(f"{r}/{d}/{i}.rs", r, i, False) for r, split in (("p", "xxyy"), ("q", "xyyx")) for i, d in enumerate(split)], "path string, repo_id string, h bigint, marked boolean")
+    h = {r.node: r.h for r in handwritten.merkle(other.withColumn("long", F.lit(True))).collect()}
+    assert h["p"] != h["q"] and handwritten.merkle(other.withColumn("long", F.lit(True)).limit(0)).count() == 0
+
+
+def test_only_the_shared_subtree_is_vendored(spark):
+    """A marked copy below two projects' own files, a package five folders deep, and what many repositories hold."""
+    row = lambda p, h, origin=False: (p, p.split("/")[0], h, 50, origin)
+    shallow = [row("r1/src/own.rs", 1), row("r1/src/lib/v.rs", 2, True), row("r2/app/mine.rs", 3), row("r2/app/lib/v.rs", 2)]
+    deep = [row(f"{r}/pkg/{p}", h, r == "r1" and h == 14) for r in ("r1", "r3") for p, h in (("a.rs", 10), ("x/b.rs", 11), ("x/y/c.rs", 12), ("x/y/z/d.rs", 13), ("x/y/z/w/e.rs", 14), ("x/y/z/w/v/f.rs", 15))]
+    many = [row(f"s{i}/util/u{i}.rs", 20) for i in range(handwritten.UNRELATED)]
+    few = [row(f"s{i}/util/few{i}.rs", 21) for i in range(handwritten.UNRELATED - 1)]
+    leaves = spark.createDataFrame(shallow + deep + many + few, "path string, repo_id string, h bigint, n_tokens int, origin boolean").withColumn("marked", F.col("origin"))
+    assert {r.path for r in handwritten.vendored(leaves).collect()} == {"r1/src/lib/v.rs", "r2/app/lib/v.rs"} | {r[0] for r in deep + many}
 
 
 def test_whole_subtrees_are_vendored(spark):
