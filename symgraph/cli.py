@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from symgraph.operators import find, models, patterns, store, vector
 from symgraph.plans.graph import Graph
 from symgraph.plans.passthrough import raw_query
-from symgraph.session import local_session
+from symgraph.session import drop_intermediates, local_session
 from symgraph.sources import config, scan, sinks
 
 ASK = ("callers", "callees", "definers", "imports", "uses", "implements")
@@ -89,7 +89,9 @@ def watch(spark: SparkSession, graph: Graph, root: str, events: str, embedder: m
 
 def main(args: list[str] | None = None) -> int:
     try:
-        return _run(parser().parse_args(args))
+        code = _run(parser().parse_args(args))
+        drop_intermediates(local_session())
+        return code
     except (vector.EmbedderMismatch, store.SchemaMismatch) as x:
         print(f"{x}; index --force-cold-rebuild starts anew", file=sys.stderr)
         return 1

@@ -23,21 +23,23 @@ def _ends(edges: DataFrame, kind: str, known: DataFrame, known_end: str, wanted:
     return wanted.join(names, "qualified_name", "left_semi").select(*SYMBOL_COLS)
 
 
-def callers(symbols: DataFrame, edges: DataFrame, name: str) -> DataFrame:
-    return _ends(edges, "calls", symbols.filter(named(name)), "to_qname", symbols, "from_qname")
+def callers(symbols: DataFrame, edges: DataFrame, name: str, known: DataFrame | None = None) -> DataFrame:
+    """known: the symbols of that name, where they are found by a shorter way than by filtering all. Edges may
+    repeat, here and below."""
+    return _ends(edges, "calls", symbols.filter(named(name)) if known is None else known, "to_qname", symbols, "from_qname")
 
 
-def callees(symbols: DataFrame, edges: DataFrame, name: str) -> DataFrame:
-    return _ends(edges, "calls", symbols.filter(named(name)), "from_qname", symbols, "to_qname")
+def callees(symbols: DataFrame, edges: DataFrame, name: str, known: DataFrame | None = None) -> DataFrame:
+    return _ends(edges, "calls", symbols.filter(named(name)) if known is None else known, "from_qname", symbols, "to_qname")
 
 
 def definers(symbols: DataFrame, name: str) -> DataFrame:
     return symbols.filter(named(name)).select(*SYMBOL_COLS)
 
 
-def imports(symbols: DataFrame, edges: DataFrame, path: str) -> DataFrame:
+def imports(symbols: DataFrame, edges: DataFrame, path: str, known: DataFrame | None = None) -> DataFrame:
     """Symbols that import something of the file: symbol level."""
-    return _ends(edges, "imports", symbols.filter(F.col("file_path") == path), "to_qname", symbols, "from_qname")
+    return _ends(edges, "imports", symbols.filter(F.col("file_path") == path) if known is None else known, "to_qname", symbols, "from_qname")
 
 
 def importing_files(symbols: DataFrame, edges: DataFrame, path: str) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from symgraph.session import materialize
 
-#: Keys per range of the dictionary: a power of two, a multiple of 64.
+#: Keys per range of the dictionary, as a power of two: what one window numbers.
 RANGE_BITS = 15
 #: Rows of one (key, period) from which a reference counts as heavy: 1 / HEAVY of all
 #: rows. There are at most HEAVY such pairs, which bounds what is broadcast.
@@ -127,9 +127,12 @@ def orphan_bits(key_periods: DataFrame, targets_: DataFrame, buckets: int) -> Da
 def orphan_references(edges: DataFrame, raw_edges: DataFrame, symbols: DataFrame, files: DataFrame, removed: DataFrame, buckets: int | None = None) -> DataFrame:
     """rel, row_id, side, key, at, state of each reference without a target at its time."""
     spark = edges.sparkSession
-    buckets = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     # references without a time: period -1, before all others
     refs = references(edges, raw_edges).withColumn("period", F.coalesce(_period(F.col("at")), F.lit(-1)))
+    if buckets is None:
+        # ranges follow the number of keys, which needn't be exact
+        n = refs.agg(F.approx_count_distinct(F.xxhash64("ns", "key"), 0.05)).first()[0]
+        buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // (1 << RANGE_BITS)))
     key_periods = refs.groupBy("ns", "key", "period").agg(F.count(F.lit(1)).alias("n_refs"))
     bits = orphan_bits(key_periods, targets(symbols, files, removed), buckets)
     total = key_periods.agg(F.sum("n_refs")).scalar()

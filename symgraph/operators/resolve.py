@@ -31,35 +31,47 @@ def containing(sites: DataFrame, symbols: DataFrame) -> DataFrame:
     return hit.groupBy("site").agg(F.min(F.struct((F.col("end_line") - F.col("start_line")).alias("len"), "qualified_name")).alias("m")).select("site", "m.qualified_name")
 
 
-# fixed values: the ways to resolve a reference, the surest first
-STRATEGIES = ["qualified", "same_file", "imported", "same_repo", "generic", "placeholder"]
+#: The ways to resolve a reference, the surest first.
+STRATEGIES = ["qualified", "same_file", "imported", "re_export", "receiver", "same_repo", "generic", "placeholder"]
 
 
 def cross_file(raw: DataFrame, symbols: DataFrame, edges: DataFrame) -> DataFrame:
     """raw_id, to_resolved, strategy of each raw edge (raw_id, repo_id, file_path, to_raw).
 
     qualified: the text is a symbol's qualified name. same_file: a symbol of that short name in the
-    file. imported: one in a file that this file imports from. same_repo and generic: one in the
-    repository or anywhere, if it is the only one. placeholder: nothing; the text stays. The surest
-    wins, then the name."""
+    file. imported: one in a file that this file imports from. re_export: one that a symbol of such a file
+    re-exports. receiver: the text is a receiver and a name, and a method of the file or of one it imports
+    from has that name. same_repo and generic: one in the repository or anywhere, if it is the only one.
+    placeholder: nothing; the text stays. The surest wins, then the name."""
     text = F.trim("to_raw")
     refs = raw.filter(F.coalesce(text, F.lit("")) != "").select("raw_id", F.col("repo_id").alias("r_repo"), F.col("file_path").alias("r_path"), text.alias("ref"))
     # each reference text is resolved once per file, however often it stands there
     distinct = refs.select("r_repo", "r_path", "ref").distinct()
-    sym = symbols.select("qualified_name", "short_name", "repo_id", "file_path").distinct()
-    found = lambda df, rank: df.select("r_repo", "r_path", "ref", F.lit(rank).alias("rank"), F.col("qualified_name").alias("q"))
-    qualified = found(distinct.join(sym, F.col("ref") == F.col("qualified_name")), 0)
-    own = found(distinct.join(sym, (F.col("r_path") == F.col("file_path")) & (F.col("ref") == F.col("short_name"))), 1)
+    sym = symbols.select("qualified_name", "short_name", "repo_id", "file_path", "kind").distinct()
+    found = lambda df, way: df.select("r_repo", "r_path", "ref", F.lit(STRATEGIES.index(way)).alias("rank"), F.col("qualified_name").alias("q"))
+    qualified = found(distinct.join(sym, F.col("ref") == F.col("qualified_name")), "qualified")
+    own = found(distinct.join(sym, (F.col("r_path") == F.col("file_path")) & (F.col("ref") == F.col("short_name"))), "same_file")
     targets = edges.filter("kind = 'imports'").select(F.col("from_qname").alias("i_path"), F.col("to_qname").alias("i_target")).distinct()
-    files = targets.join(sym.select(F.col("qualified_name").alias("i_target"), F.col("file_path").alias("i_file")), "i_target").select("i_path", "i_file").distinct()
+    place = sym.select(F.col("qualified_name").alias("i_target"), F.col("file_path").alias("i_file"))
+    files = targets.join(place, "i_target").select("i_path", "i_file").distinct()
     via = distinct.join(files, F.col("r_path") == F.col("i_path"))
-    imported = found(via.join(sym, (F.col("i_file") == F.col("file_path")) & (F.col("ref") == F.col("short_name"))), 2)
+    imported = found(via.join(sym, (F.col("i_file") == F.col("file_path")) & (F.col("ref") == F.col("short_name"))), "imported")
+    again = edges.filter("kind = 're_exports'").select(F.col("from_qname").alias("i_target"), F.col("to_qname").alias("qualified_name")).distinct()
+    passed = again.join(place.withColumnRenamed("i_file", "x_file"), "i_target").join(sym.select("qualified_name", "short_name"), "qualified_name").select("x_file", "short_name", "qualified_name").distinct()
+    re_export = found(via.join(passed, (F.col("i_file") == F.col("x_file")) & (F.col("ref") == F.col("short_name"))), "re_export")
+    # a receiver and a name, as in `a.b` or `A::b`; paths are none
+    method = F.regexp_extract("ref", r"^[^/]*(?:\.|::)([^./:]+)$", 1)
+    called = distinct.withColumn("m", method).filter("m <> ''")
+    methods = sym.filter("kind = 'method'")
+    here = found(called.join(methods, (F.col("r_path") == F.col("file_path")) & (F.col("m") == F.col("short_name"))), "receiver")
+    there = found(called.join(files, F.col("r_path") == F.col("i_path")).join(methods, (F.col("i_file") == F.col("file_path")) & (F.col("m") == F.col("short_name"))), "receiver")
     in_repo = sym.groupBy("repo_id", "short_name").agg(F.count(F.lit(1)).alias("n"), F.min("qualified_name").alias("qualified_name")).filter("n = 1")
-    repo = found(distinct.join(in_repo, (F.col("r_repo") == F.col("repo_id")) & (F.col("ref") == F.col("short_name"))), 3)
+    repo = found(distinct.join(in_repo, (F.col("r_repo") == F.col("repo_id")) & (F.col("ref") == F.col("short_name"))), "same_repo")
     anywhere = sym.groupBy("short_name").agg(F.count(F.lit(1)).alias("n"), F.min("qualified_name").alias("qualified_name")).filter("n = 1")
-    generic = found(distinct.join(anywhere, F.col("ref") == F.col("short_name")), 4)
-    none = distinct.select("r_repo", "r_path", "ref", F.lit(5).alias("rank"), F.col("ref").alias("q"))
-    ranked = qualified.unionByName(own).unionByName(imported).unionByName(repo).unionByName(generic).unionByName(none)
+    generic = found(distinct.join(anywhere, F.col("ref") == F.col("short_name")), "generic")
+    ranked = distinct.select("r_repo", "r_path", "ref", F.lit(STRATEGIES.index("placeholder")).alias("rank"), F.col("ref").alias("q"))
+    for way in (qualified, own, imported, re_export, here, there, repo, generic):
+        ranked = ranked.unionByName(way)
     best = ranked.groupBy("r_repo", "r_path", "ref").agg(F.min(F.struct("rank", "q")).alias("m"))
     names = F.element_at(F.array(*[F.lit(s) for s in STRATEGIES]), F.col("m.rank") + 1)
     return refs.join(best, ["r_repo", "r_path", "ref"]).select("raw_id", F.col("m.q").alias("to_resolved"), names.alias("strategy"))

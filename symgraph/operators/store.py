@@ -26,6 +26,13 @@ def latest_symbols(symbols: DataFrame) -> DataFrame:
     return last_per_key(symbols, ["qualified_name"], [F.col("indexed_at")])
 
 
+def latest_where(log: DataFrame, condition: Column) -> DataFrame:
+    """The latest rows that meet a condition, which reaches the scan: keys of rows that meet it are found first,
+    and only their rows are grouped."""
+    keys = log.filter(condition).select("qualified_name").distinct()
+    return latest_symbols(log.join(keys, "qualified_name", "left_semi")).filter(condition)
+
+
 def latest_files(files: DataFrame) -> DataFrame:
     """Newest state of each path: by last_modified, then by arrival."""
     return last_per_key(files, ["path"], [F.col("last_modified"), F.col("seen_at")])

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from symgraph.session import materialize
+from symgraph.session import materialize, materialize_counted
 
 
 def bfs(edges: DataFrame, seeds: DataFrame, depth: int | None, stop: DataFrame | None = None) -> DataFrame:
@@ -27,8 +27,8 @@ def bfs(edges: DataFrame, seeds: DataFrame, depth: int | None, stop: DataFrame |
         if stop is not None and level > 1:
             start = start.join(stop.select("node"), "node", "left_anti")
         step = pairs.join(start.select(F.col("node").alias("src")), "src", "left_semi").select(F.col("dst").alias("node")).distinct()
-        frontier = materialize(step.join(visited.select("node"), "node", "left_anti").withColumn("depth", F.lit(level)), "bfs")
-        if frontier.isEmpty():
+        frontier, n = materialize_counted(step.join(visited.select("node"), "node", "left_anti").withColumn("depth", F.lit(level)), "bfs")
+        if not n:
             break
         visited = visited.unionByName(frontier)
     return visited
@@ -98,8 +98,8 @@ def tested_by(edges: DataFrame, tests: DataFrame, depth: int | None = None) -> D
     while depth is None or level < depth:
         level += 1
         step = frontier.select("test", F.col("node").alias("src")).join(pairs, "src").select("test", F.col("dst").alias("node")).distinct()
-        frontier = materialize(step.join(seen, ["test", "node"], "left_anti"), "tested")
-        if frontier.isEmpty():
+        frontier, n = materialize_counted(step.join(seen, ["test", "node"], "left_anti"), "tested")
+        if not n:
             break
         seen = seen.unionByName(frontier)
     return seen.filter("node <> test").select(F.col("node").alias("target"), "test")

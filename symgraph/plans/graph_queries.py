@@ -27,6 +27,16 @@ def symbols(s: SparkSession, d: str, *cols: str) -> DataFrame:
     return store.latest_symbols(table(s, d, "symbols").select("qualified_name", "indexed_at", *[c for c in (cols or ("short_name", *SYMBOL_COLS[1:])) if c not in ("qualified_name", "indexed_at")]))
 
 
+def known(s: SparkSession, d: str, condition) -> DataFrame:
+    """The latest rows of the symbols that meet a condition, for lookups."""
+    return store.latest_where(table(s, d, "symbols").select("qualified_name", "indexed_at", "short_name", *SYMBOL_COLS[1:]), condition)
+
+
+def edge_log(s: SparkSession, d: str) -> DataFrame:
+    """Edges as they are logged, for relations in which a repeated edge counts once anyway."""
+    return table(s, d, "edges").select("from_qname", "kind", "to_qname")
+
+
 def edges(s: SparkSession, d: str) -> DataFrame:
     return store.merge_edges(table(s, d, "edges"), [F.col("observed_at"), F.col("edge_id")])
 
@@ -57,27 +67,27 @@ def query(name: str, sql: str | None):
 
 @query("callers", f"{_WITH} SELECT DISTINCT {', '.join('a.' + c for c in SYMBOL_COLS)} FROM sym b JOIN e ON e.to_qname = b.qualified_name AND e.kind = 'calls' JOIN sym a ON a.qualified_name = e.from_qname WHERE b.short_name = 'info' OR b.qualified_name = 'info'")
 def callers(s, d):
-    return patterns.callers(symbols(s, d), edges(s, d), "info")
+    return patterns.callers(symbols(s, d), edge_log(s, d), "info", known(s, d, patterns.named("info")))
 
 
 @query("callees", f"{_WITH} SELECT DISTINCT {', '.join('b.' + c for c in SYMBOL_COLS)} FROM sym a JOIN e ON e.from_qname = a.qualified_name AND e.kind = 'calls' JOIN sym b ON b.qualified_name = e.to_qname WHERE a.short_name = '{INFO}' OR a.qualified_name = '{INFO}'")
 def callees(s, d):
-    return patterns.callees(symbols(s, d), edges(s, d), INFO)
+    return patterns.callees(symbols(s, d), edge_log(s, d), INFO, known(s, d, patterns.named(INFO)))
 
 
 @query("definers", f"{_WITH} SELECT {COLS} FROM sym WHERE short_name = 'info' OR qualified_name = 'info'")
 def definers(s, d):
-    return patterns.definers(symbols(s, d), "info")
+    return patterns.definers(known(s, d, patterns.named("info")), "info")
 
 
 @query("imports", f"{_WITH} SELECT DISTINCT {', '.join('a.' + c for c in SYMBOL_COLS)} FROM sym b JOIN e ON e.to_qname = b.qualified_name AND e.kind = 'imports' JOIN sym a ON a.qualified_name = e.from_qname WHERE b.file_path = '{CORE}log.rs'")
 def imports(s, d):
-    return patterns.imports(symbols(s, d), edges(s, d), CORE + "log.rs")
+    return patterns.imports(symbols(s, d), edge_log(s, d), CORE + "log.rs", known(s, d, F.col("file_path") == CORE + "log.rs"))
 
 
 @query("imports_files", f"{_WITH} SELECT DISTINCT e.from_qname AS path FROM sym b JOIN e ON e.to_qname = b.qualified_name AND e.kind = 'imports' WHERE b.file_path = '{CORE}log.rs'")
 def imports_files(s, d):
-    return patterns.importing_files(symbols(s, d), edges(s, d), CORE + "log.rs")
+    return patterns.importing_files(known(s, d, F.col("file_path") == CORE + "log.rs"), edge_log(s, d), CORE + "log.rs")
 
 
 @query("imports_dangling", f"{_WITH} SELECT from_qname AS path, count(*) AS n_dangling FROM e WHERE kind = 'imports' AND to_qname NOT IN (SELECT qualified_name FROM sym) GROUP BY 1")
@@ -87,12 +97,12 @@ def imports_dangling(s, d):
 
 @query("uses", f"{_WITH} SELECT DISTINCT {', '.join('a.' + c for c in SYMBOL_COLS)} FROM e JOIN sym a ON a.qualified_name = e.from_qname WHERE e.kind = 'uses_type' AND e.to_qname = '{FAULT}' AND '{FAULT}' IN (SELECT qualified_name FROM sym)")
 def uses(s, d):
-    return patterns.uses(symbols(s, d), edges(s, d), FAULT)
+    return patterns.uses(symbols(s, d), edge_log(s, d), FAULT)
 
 
 @query("implements", f"{_WITH} SELECT {', '.join('a.' + c for c in SYMBOL_COLS)} FROM e JOIN sym a ON a.qualified_name = e.from_qname WHERE e.kind = 'implements' AND e.to_qname = '{PERSIST}' AND '{PERSIST}' IN (SELECT qualified_name FROM sym)")
 def implements(s, d):
-    return patterns.implements(symbols(s, d), edges(s, d), PERSIST)
+    return patterns.implements(symbols(s, d), edge_log(s, d), PERSIST)
 
 
 _CTX = """ctx AS (SELECT to_qname AS qualified_name, 'caller' AS side, from_qname AS neighbor FROM e WHERE kind = 'calls' UNION SELECT from_qname, 'callee', to_qname FROM e WHERE kind = 'calls'),
@@ -443,13 +453,17 @@ def same_file_resolve(s, d):
     f"""{_WITH}, r AS (SELECT raw_id, repo_id, file_path, trim(to_raw) AS ref FROM raw_edges WHERE coalesce(trim(to_raw), '') <> ''), u AS (SELECT DISTINCT repo_id, file_path, ref FROM r),
     f AS (SELECT DISTINCT e.from_qname AS i_path, s.file_path AS i_file FROM e JOIN sym s ON s.qualified_name = e.to_qname WHERE e.kind = 'imports'),
     one AS (SELECT repo_id, short_name, min(qualified_name) AS q FROM sym GROUP BY 1, 2 HAVING count(*) = 1), lone AS (SELECT short_name, min(qualified_name) AS q FROM sym GROUP BY 1 HAVING count(*) = 1),
+    x AS (SELECT DISTINCT a.file_path AS x_file, b.short_name, b.qualified_name FROM e JOIN sym a ON a.qualified_name = e.from_qname JOIN sym b ON b.qualified_name = e.to_qname WHERE e.kind = 're_exports'),
+    m AS (SELECT *, regexp_extract(ref, '^[^/]*(?:[.]|::)([^./:]+)$', 1) AS meth FROM u),
     c AS (SELECT u.*, 0 AS rk, s.qualified_name AS q FROM u JOIN sym s ON s.qualified_name = ref
       UNION ALL SELECT u.*, 1, s.qualified_name FROM u JOIN sym s ON s.file_path = u.file_path AND s.short_name = ref
       UNION ALL SELECT u.*, 2, s.qualified_name FROM u JOIN f ON f.i_path = u.file_path JOIN sym s ON s.file_path = f.i_file AND s.short_name = ref
-      UNION ALL SELECT u.*, 3, one.q FROM u JOIN one ON one.repo_id = u.repo_id AND one.short_name = ref
-      UNION ALL SELECT u.*, 4, lone.q FROM u JOIN lone ON lone.short_name = ref UNION ALL SELECT u.*, 5, ref FROM u),
+      UNION ALL SELECT u.*, 3, x.qualified_name FROM u JOIN f ON f.i_path = u.file_path JOIN x ON x.x_file = f.i_file AND x.short_name = ref
+      UNION ALL SELECT m.* EXCLUDE meth, 4, s.qualified_name FROM m JOIN sym s ON s.kind = 'method' AND s.short_name = meth AND (s.file_path = m.file_path OR s.file_path IN (SELECT i_file FROM f WHERE f.i_path = m.file_path))
+      UNION ALL SELECT u.*, 5, one.q FROM u JOIN one ON one.repo_id = u.repo_id AND one.short_name = ref
+      UNION ALL SELECT u.*, 6, lone.q FROM u JOIN lone ON lone.short_name = ref UNION ALL SELECT u.*, 7, ref FROM u),
     b AS (SELECT repo_id, file_path, ref, min(row(rk, q)) AS m FROM c GROUP BY 1, 2, 3)
-    SELECT raw_id, m[2] AS to_resolved, ['qualified', 'same_file', 'imported', 'same_repo', 'generic', 'placeholder'][m[1] + 1] AS strategy FROM r JOIN b USING (repo_id, file_path, ref)""",
+    SELECT raw_id, m[2] AS to_resolved, ['qualified', 'same_file', 'imported', 're_export', 'receiver', 'same_repo', 'generic', 'placeholder'][m[1] + 1] AS strategy FROM r JOIN b USING (repo_id, file_path, ref)""",
 )
 def cross_file_resolve(s, d):
     sym = symbols(s, d, "repo_id", *SYMBOL_COLS, "short_name")

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cpus: int | str = "*", memory: str = "12g", partitions: int = 8) -> SparkSession:
@@ -26,12 +27,15 @@ def local_session(cpus: int | str = "*", memory: str = "12g", partitions: int =
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir where the cluster
-    names one; a temporary folder only where it is unset (local tests)."""
+    names one; a temporary folder only where it is unset and everything runs on
+    this machine (local tests)."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir", None)
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
+    if not named and not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     folder = named or tempfile.mkdtemp(prefix="symgraph-checkpoint-")
     sc.setCheckpointDir(folder)
     return folder
@@ -55,15 +59,35 @@ def parts(df: DataFrame) -> int:
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), fit)
 
 
+_written: list[str] = []
+
+
+def drop_intermediates(spark: SparkSession) -> None:
+    """Deletes what materialize() has written in this session. For when results have been written: what reads
+    the intermediates can't be asked again."""
+    jvm = spark._jvm
+    while _written:
+        p = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write an intermediate once into the shared checkpoint folder and read it back, so
     that several uses and lost executors don't compute it again."""
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def materialize_counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """As materialize(), with the number of rows, which is counted while they are written."""
+    seen = Observation()
+    out = materialize(df.observe(seen, F.count(F.lit(1)).alias("n")), name)
+    return out, seen.get["n"]
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Before long work in Python: over all cores, where a scan has fewer partitions than there are cores
     (one small file); a scan with enough of them stays as it is and nothing is shuffled."""

@@ -100,3 +100,50 @@ def test_definitions_by_position(spark):
     raw = spark.createDataFrame([(1, "b", "tree_sitter"), (2, "q", "tree_sitter"), (3, None, None)], "raw_id int, to_raw string, edge_source string")
     places = spark.createDataFrame([(1, "f", 4), (2, "f", 99)], "raw_id int, def_path string, def_line int")
     assert {tuple(r) for r in resolve.by_position(raw, places, s).collect()} == {(1, "f::b", "lsp"), (2, "q", "tree_sitter"), (3, None, None)}
+
+
+@pytest.mark.parametrize("blocks", [(20_000, 4_000), (7, 3)])
+def test_block_search_equals_brute_force(spark, monkeypatch, blocks):
+    """With copies, which tie, and vectors that are nobody's neighbours."""
+    import numpy as np
+
+    from symgraph.operators import vector
+
+    monkeypatch.setattr(vector, "ROW_BLOCK", blocks[0])
+    monkeypatch.setattr(vector, "QUERY_BLOCK", blocks[1])
+    rnd = np.random.default_rng(2)
+    x = rnd.standard_normal((60, 8)).astype(np.float32)
+    x[10:20] = x[3]
+    rows = [(f"k{i:02}", [float(v) for v in r]) for i, r in enumerate(x)] + [("null", None), ("zero", [0.0] * 8), ("short", [1.0]), ("hole", [None] + [1.0] * 7)]
+    df = spark.createDataFrame(rows, "key string, v array<float>")
+    asked = df.filter("key < 'k25' OR key = 'zero'").select(F.col("key").alias("query_id"), F.col("v").alias("query_vector"))
+    got = {}
+    for r in vector.batch_top_k(df, "key", "v", asked, 8, 4).collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = r.neighbor
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    c = np.round(u @ u.T, 9)
+    want = {f"k{i:02}": dict(enumerate([f"k{j:02}" for j in sorted(range(60), key=lambda j: (-c[i, j], j)) if j != i][:4], 1)) for i in range(25)}
+    assert got == want
+    assert vector.batch_top_k(df.limit(0), "key", "v", asked, 8, 4).count() == 0 and vector.batch_top_k(df, "key", "v", asked.limit(0), 8, 4).count() == 0
+
+
+def test_lookups_see_the_latest_row_only(spark):
+    log = spark.createDataFrame([("a", 1, "old"), ("a", 2, "new"), ("b", 1, "new"), ("b", 2, "old"), ("c", 1, None)], "qualified_name string, indexed_at int, short_name string")
+    assert {r.qualified_name for r in store.latest_where(log, F.col("short_name") == "new").collect()} == {"a"}
+    assert store.latest_where(log, F.col("short_name") == "none").count() == 0
+
+
+def test_intermediates_are_shared_and_can_be_dropped(spark):
+    import os
+    from types import SimpleNamespace as N
+
+    from symgraph import session
+
+    df, n = session.materialize_counted(spark.range(7).toDF("x"), "seven")
+    path = session._written[-1]
+    assert n == 7 and df.count() == 7
+    session.drop_intermediates(spark)
+    assert not os.path.exists(path.removeprefix("file:")) and not session._written
+    conf, none = N(get=lambda k, d: d), N(sc=lambda: N(getCheckpointDir=lambda: N(isDefined=lambda: False)))
+    with pytest.raises(RuntimeError):
+        session.ensure_checkpoint_dir(N(sparkContext=N(getConf=lambda: conf, _jsc=none, master="spark://somewhere:7077")))
