@@ -261,7 +261,7 @@ def test_least_cost_equals_brute_force(family):
             seen = {x for s in seen for i in range(len(s) + 1) for x in (s[:i] + s[i + 1 :], (*s[:i], syntax.ANY, *s[i + 1 :]), (*s[:i], syntax.ANY, *s[i:]))}
         return None
 
-    rnd, deep = random.Random(12), syntax.Search(3, 24, 10**9)
+    rnd, deep = random.Random(12), syntax.Search(3, 24, 10**9, True)
     words = ["id", "num", "=", ";", "let", "+", ".", "if", ":", "return"]
     met = set()
     for _ in range(120):
