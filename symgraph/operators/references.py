@@ -129,14 +129,12 @@ def orphan_references(edges: DataFrame, raw_edges: DataFrame, symbols: DataFrame
     spark = edges.sparkSession
     # references without a time: period -1, before all others
     refs = references(edges, raw_edges).withColumn("period", F.coalesce(_period(F.col("at")), F.lit(-1)))
-    if buckets is None:
-        # ranges follow the number of keys, which needn't be exact
-        n = refs.agg(F.approx_count_distinct(F.xxhash64("ns", "key"), 0.05)).first()[0]
-        buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // (1 << RANGE_BITS)))
+    # two numbers; ranges follow that of the keys, which needn't be exact
+    total, n = refs.agg(F.count(F.lit(1)), F.approx_count_distinct(F.xxhash64("ns", "key"), 0.05)).first()
+    buckets = buckets or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // (1 << RANGE_BITS)))
     key_periods = refs.groupBy("ns", "key", "period").agg(F.count(F.lit(1)).alias("n_refs"))
     bits = orphan_bits(key_periods, targets(symbols, files, removed), buckets)
-    total = key_periods.agg(F.sum("n_refs")).scalar()
-    bits = bits.withColumn("heavy", F.col("n_refs") * HEAVY >= total).select(F.col("ns").alias("b_ns"), F.col("key").alias("b_key"), F.col("period").alias("b_period"), "first_seen", "is_removed", "occurs", "heavy")
+    bits = bits.withColumn("heavy", F.col("n_refs") * HEAVY >= F.lit(total)).select(F.col("ns").alias("b_ns"), F.col("key").alias("b_key"), F.col("period").alias("b_period"), "first_seen", "is_removed", "occurs", "heavy")
     bits = materialize(bits, "orphan_bits")
     on = reduce(lambda a, b: a & b, [F.col(c) == F.col(f"b_{c}") for c in ("ns", "key", "period")])
     # heavy pairs, at most HEAVY, go to the rows; all other pairs hold under a thousandth

@@ -33,11 +33,6 @@ def latest_where(log: DataFrame, condition: Column) -> DataFrame:
     return latest_symbols(log.join(keys, "qualified_name", "left_semi")).filter(condition)
 
 
-def latest_files(files: DataFrame) -> DataFrame:
-    """Newest state of each path: by last_modified, then by arrival."""
-    return last_per_key(files, ["path"], [F.col("last_modified"), F.col("seen_at")])
-
-
 def merge_edges(edges: DataFrame, order: list[Column]) -> DataFrame:
     """from_qname, kind, to_qname, edge_source: one edge per (from, kind, to), the source of the last."""
     return edges.groupBy("from_qname", "kind", "to_qname").agg(F.max_by("edge_source", F.struct(*order)).alias("edge_source"))

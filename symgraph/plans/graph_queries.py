@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from symgraph.functions import text as X
-from symgraph.operators import derived, evaluate, find, models, patterns, resolve, store, traverse, vector
+from symgraph.operators import derived, evaluate, find, models, patterns, personal, resolve, store, traverse, vector
 from symgraph.operators.extract.run import edges_of, extract_files, symbols_of
 from symgraph.plans import graph
 from symgraph.plans.passthrough import raw_query
@@ -173,6 +173,42 @@ def forget_file(s, d):
     return n.join(k, F.regexp_replace("repo_id", "-[0-9a-f]+$", "") == F.col("repo")).select("repo_id", "n_symbols", "n_edges")
 
 
+@query("ends_with", f"{_WITH} SELECT qualified_name FROM sym WHERE ends_with(file_path, 'log.rs')")
+def ends_with(s, d):
+    return known(s, d, F.col("file_path").endswith("log.rs")).select("qualified_name")
+
+
+@query("edges_refined", "SELECT from_qname, kind, to_qname, CASE WHEN bool_or(edge_source = 'lsp') THEN 'lsp' ELSE 'tree_sitter' END AS edge_source FROM edges WHERE edge_source IN ('lsp', 'tree_sitter') GROUP BY 1, 2, 3")
+def edges_refined(s, d):
+    """Edges of the parser, then those of language servers."""
+    of = lambda source: table(s, d, "edges").filter(F.col("edge_source") == source).select("from_qname", "kind", "to_qname", "edge_source").distinct()
+    return resolve.refine(of("tree_sitter"), of("lsp"))
+
+
+_FILE_HALF = "SELECT path, max(row(last_modified, seen_at, content_hash, extractor_version)) AS s FROM files WHERE path IS NOT NULL AND content_hash IS NOT NULL AND extractor_version IS NOT NULL AND seen_at {} '2025-04-15' GROUP BY 1"
+
+
+@query("upsert_files", f"WITH o AS ({_FILE_HALF.format('<')}), n AS ({_FILE_HALF.format('>=')}) SELECT coalesce(n.path, o.path) AS path, coalesce(n.s[3], o.s[3]) AS content_hash, coalesce(n.s[4], o.s[4]) AS extractor_version FROM o FULL JOIN n ON o.path = n.path")
+def upsert_files(s, d):
+    f = table(s, d, "files").filter("path IS NOT NULL AND content_hash IS NOT NULL AND extractor_version IS NOT NULL").select("path", "content_hash", "extractor_version", "last_modified", "seen_at")
+    half = lambda c: store.last_per_key(f.filter(c), ["path"], [F.col(x) for x in ("last_modified", "seen_at", "content_hash", "extractor_version")]).select("path", "content_hash", "extractor_version")
+    cut = F.lit(CUT).cast("timestamp_ntz")
+    return store.upsert_files(half(F.col("seen_at") < cut), half(F.col("seen_at") >= cut))
+
+
+@query("manifest_write", "SELECT repo_id, CASE WHEN repo_id LIKE 'tidepool-%' THEN 'other/model' ELSE embedder_identity END AS embedder_identity, embedder_dimension FROM index_manifest")
+def manifest_write(s, d):
+    m = table(s, d, "index_manifest")
+    return store.write_manifest(m, m.filter("repo_id LIKE 'tidepool-%'").withColumn("embedder_identity", F.lit("other/model"))).select("repo_id", "embedder_identity", "embedder_dimension")
+
+
+@query("embeddings_set", f"{_WITH} SELECT qualified_name, CASE WHEN exported THEN [1.0, 2.0]::FLOAT[] ELSE embedding END AS embedding, CASE WHEN exported THEN 'h' ELSE body_hash END AS body_hash FROM sym")
+def embeddings_set(s, d):
+    sym = symbols(s, d, "exported", "embedding", "body_hash")
+    delta = sym.filter("exported").select("qualified_name", F.array(F.lit(1.0), F.lit(2.0)).cast("array<float>").alias("embedding"), F.lit("h").alias("body_hash"))
+    return store.set_embedding_and_hash(sym, delta).select("qualified_name", "embedding", "body_hash")
+
+
 _HALVES = f"""WITH o AS (SELECT * FROM symbols WHERE indexed_at < '{CUT}' QUALIFY row_number() OVER (PARTITION BY qualified_name ORDER BY indexed_at DESC) = 1),
 n AS (SELECT * FROM symbols WHERE indexed_at >= '{CUT}' QUALIFY row_number() OVER (PARTITION BY qualified_name ORDER BY indexed_at DESC) = 1)"""
 
@@ -428,6 +464,28 @@ def run_latency(s, d):
     return evaluate.latency(runs, "ms", ["repo_id"])
 
 
+@query("trim_quotes", r"""SELECT raw_id, regexp_replace(regexp_replace(to_raw, '^"+|"+$', '', 'g'), '^''+|''+$', '', 'g') AS bare FROM raw_edges""")
+def trim_quotes(s, d):
+    return table(s, d, "raw_edges").select("raw_id", X.trim_quotes("to_raw").alias("bare"))
+
+
+@query("defang", "SELECT doc_id, sha256(replace(text, '`', '_')) AS h FROM documents")
+def defang(s, d):
+    return table(s, d, "documents").select("doc_id", F.sha2(X.defang("text"), 256).alias("h"))
+
+
+@query("memory_tier", "SELECT DISTINCT p_size, CASE WHEN p_size IS NULL THEN 'balanced' WHEN p_size < 12 THEN 'minimal' WHEN p_size < 24 THEN 'balanced' ELSE 'max' END AS tier FROM part")
+def memory_tier(s, d):
+    """Part sizes stand for gigabytes."""
+    return table(s, d, "part").select("p_size", X.tier("p_size").alias("tier")).distinct()
+
+
+@query("rerank_documents", f"{_WITH}, {_BODY} SELECT s.qualified_name, sha256(coalesce(nullif(s.synthesized_description, ''), s.signature) || chr(10) || array_to_string(string_split(body, chr(10))[1:40], chr(10))) AS h FROM sliced JOIN sym s USING (qualified_name) WHERE body IS NOT NULL")
+def rerank_documents(s, d):
+    b = _bodies(s, d, "synthesized_description").filter("body IS NOT NULL")
+    return b.select("qualified_name", F.sha2(find.rerank_document(F.col("synthesized_description"), F.col("signature"), F.col("body")), 256).alias("h"))
+
+
 # ---- resolution
 
 
@@ -656,6 +714,26 @@ def canonical_symbols(s, d):
     return derived.canonical(symbols(s, d, "short_name", "body_hash").filter("body_hash IS NOT NULL"), "short_name", "body_hash", "qualified_name")
 
 
+@query(
+    "retrievals_used",
+    "WITH a AS (SELECT to_qname AS node, CAST(observed_at AS DATE) AS day FROM edges WHERE kind = 'references') SELECT node, count(*) AS n_retrieved, count(*) FILTER (EXISTS (SELECT 1 FROM symbols s WHERE s.qualified_name = node AND CAST(s.indexed_at AS DATE) BETWEEN day AND day + 3)) AS n_used FROM a GROUP BY 1",
+)
+def retrievals_used(s, d):
+    """References stand for retrievals, upserts for changes."""
+    log = table(s, d, "edges").filter("kind = 'references'").select(F.col("to_qname").alias("node"), F.col("observed_at").alias("at"))
+    return personal.retrievals_used(log, _log(s, d))
+
+
+@query(
+    "conventions",
+    f"""{_WITH}, st AS (SELECT repo_id, kind, CASE WHEN regexp_matches(short_name, '^[a-z][a-z0-9]*(_[a-z0-9]+)*$') THEN CASE WHEN contains(short_name, '_') THEN 'snake' ELSE 'lower' END WHEN regexp_matches(short_name, '^[A-Z][A-Z0-9]*(_[A-Z0-9]+)*$') THEN 'upper'
+    WHEN regexp_matches(short_name, '^[a-z][A-Za-z0-9]*$') THEN 'camel' WHEN regexp_matches(short_name, '^[A-Z][A-Za-z0-9]*$') THEN 'pascal' ELSE 'mixed' END AS style FROM sym), g AS (SELECT repo_id, kind, style, count(*) AS n FROM st GROUP BY ALL)
+    SELECT repo_id, kind, style, n, round(n / sum(n) OVER (PARTITION BY repo_id, kind), 6) AS share FROM g QUALIFY row_number() OVER (PARTITION BY repo_id, kind ORDER BY n DESC, style) = 1""",
+)
+def conventions(s, d):
+    return personal.conventions(symbols(s, d, "repo_id", "kind", "short_name"))
+
+
 # ---- retrieval over symbols: the seed vector is that of the first symbol with a usable one
 
 _OK = "len(embedding) = 64 AND list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])) > 0"

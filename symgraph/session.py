@@ -41,12 +41,6 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint: it survives lost executors."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 #: Bytes of a scan that one partition of an explicit repartitioning should hold.
 PARTITION_BYTES = 64 << 20
 
