@@ -93,4 +93,10 @@ def p10_shared(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {"p1_found": p1_found, "p1_reasons": p1_reasons, "p2_found": p2_found, "p2_repairs": p2_repairs, "p2_rates": p2_rates, "p6_found": p6_found, "p6_neighbors": p6_neighbors, "p7_found": p7_found, "p7_pairs": p7_pairs, "p8_ids": p8_ids, "p9_packing": p9_packing, "p9_fill": p9_fill, "p10_found": p10_found, "p10_sets": p10_sets, "p10_shared": p10_shared}
 
-ORACLES: dict[str, str] = {}
+_WINDOWS = "w AS (SELECT doc_id, i, hash(substr(text, i, 200)) AS h FROM documents, range(1, length(text) - 198) t(i) WHERE length(text) >= 200), s AS (SELECT * FROM w WHERE h IN (SELECT h FROM w GROUP BY h HAVING min(doc_id) < max(doc_id)))"
+
+ORACLES: dict[str, str] = {
+    "p10_found": f"WITH {_WINDOWS}, u AS (SELECT DISTINCT doc_id, h FROM s) SELECT DISTINCT a.doc_id AS doc_a, b.doc_id AS doc_b FROM u a JOIN u b ON a.h = b.h AND a.doc_id < b.doc_id",
+    "p10_shared": f"""WITH {_WINDOWS}, n AS (SELECT doc_id, i, coalesce(i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) > 200, true) AS new FROM s), g AS (SELECT doc_id, i, count(*) FILTER (new) OVER (PARTITION BY doc_id ORDER BY i) AS island FROM n),
+    p AS (SELECT doc_id, island, max(i) - min(i) + 200 AS len FROM g GROUP BY ALL) SELECT d.doc_id, length(d.text) AS n_chars, coalesce(sum(len), 0)::BIGINT AS shared_chars, count(len) AS n_spans FROM documents d LEFT JOIN p USING (doc_id) GROUP BY d.doc_id, d.text""",
+}

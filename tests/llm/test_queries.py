@@ -15,3 +15,11 @@ def test_query_runs(spark, sf, name):
         assert df.columns == FOUND[name]
     if name.endswith("_found"):
         assert len(rows) == len({tuple(r) for r in rows})
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_query_equals_its_sql(spark, sf, con, name):
+    import oracle
+
+    same, why = oracle.compare(spark, con, sf, queries.QUERIES[name], queries.ORACLES[name])
+    assert same, why
