@@ -25,7 +25,9 @@ def extract(path: str, text: str) -> tuple[list[dict], list[dict]]:
     n = len(toks)
     symbols: dict[tuple, dict] = {}
     edges: list[dict] = []
-    around = enclosing(toks, pair)
+    classes = _class_bodies(toks, pair)
+    # a class whose end is lost goes on to the end: its whole methods are methods all the same
+    around = enclosing(toks, dict.fromkeys(classes, n) | pair)
     scopes: dict[int, str] = {}  # opening brace and name of what calls may belong to
     arrows: dict[int, list[tuple[int, int]]] = {}  # by the bracket around them, arrows without braces
     heads: set[int] = set()  # parentheses that hold parameters
@@ -38,7 +40,6 @@ def extract(path: str, text: str) -> tuple[list[dict], list[dict]]:
             return
         symbols[key] = {"name": name, "kind": kind, "start_line": toks[start].line, "end_line": toks[end].end_line, "signature": first_line(text, toks[start].start) or name, "exported": exported}
 
-    classes = _class_bodies(toks, pair)
     for i, t in enumerate(toks):
         prev = toks[i - 1].cls if i else ";"
         if t.cls == "function" and i + 1 < n:

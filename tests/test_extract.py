@@ -137,3 +137,9 @@ def test_spark_wrapper(spark):
     e = extract_files(df)
     assert {(r.qualified_name, r.ordinal) for r in symbols_of(e).collect()} == {("m.rs::plus", 0), ("m.rs::twice", 1), ("m.rs::LIMIT", 2)}
     assert [(r.from_qname, r.to_raw, r.line_no) for r in edges_of(e).collect()] == [("m.rs::twice", "plus", 6)]
+
+
+def test_methods_of_a_class_that_never_ends():
+    text = "class A {\n  one() {\n    f();\n  }\n\n  two(a) {\n    g();\n  }\n\n  three() {\n    h();\n"
+    syms, _ = extract("a.ts", text)
+    assert [(s["name"], s["kind"], s["start_line"], s["end_line"]) for s in syms] == [("one", "method", 2, 4), ("two", "method", 6, 8)]
