@@ -69,18 +69,17 @@ def targets(symbols: DataFrame, files: DataFrame, removed: DataFrame) -> DataFra
 def deleted_spans(symbols: DataFrame, removed: DataFrame) -> DataFrame:
     """key, gone_at, back_at: from each removal to the next indexing after it (null: none).
 
-    Equal spans are merged. Only names that were ever removed are looked at, and of them
-    only the least later time is kept, map side first."""
-    rm = removed.select(F.col("qualified_name").alias("key"), F.col("removed_at").alias("gone_at")).filter("key IS NOT NULL AND gone_at IS NOT NULL").distinct()
-    seen = symbols.select(F.col("qualified_name").alias("k2"), F.col("indexed_at").alias("seen"))
-    return (
-        rm.join(seen, (F.col("key") == F.col("k2")) & (F.col("seen") > F.col("gone_at")), "left")
-        .groupBy("key", "gone_at")
-        .agg(F.min("seen").alias("back_at"))
-        .groupBy("key", "back_at")
-        .agg(F.min("gone_at").alias("gone_at"))
-        .select("key", "gone_at", "back_at")
-    )
+    Equal spans are merged. Only names that were ever removed are looked at. A removal meets the times of its
+    own day; of later days it meets only the first time of each, of which a window takes the next, so that
+    a name with very many rows is as many rows as there are days."""
+    rm = removed.select(F.col("qualified_name").alias("key"), F.col("removed_at").alias("gone_at")).filter("key IS NOT NULL AND gone_at IS NOT NULL").distinct().withColumn("day", F.to_date("gone_at"))
+    seen = symbols.select(F.col("qualified_name").alias("key"), F.col("indexed_at").alias("seen")).join(rm.select("key"), "key", "left_semi").filter("seen IS NOT NULL").distinct().withColumn("day", F.to_date("seen"))
+    firsts = seen.groupBy("key", "day").agg(F.min("seen").alias("first")).unionByName(rm.select("key", "day", F.lit(None).cast("timestamp_ntz").alias("first")).distinct())
+    after = Window.partitionBy("key").orderBy("day").rowsBetween(1, Window.unboundedFollowing)
+    later = firsts.groupBy("key", "day").agg(F.min("first").alias("first")).withColumn("later", F.min("first").over(after)).select("key", "day", "later")
+    same = rm.join(seen.select("key", "day", "seen"), ["key", "day"]).filter("seen > gone_at").groupBy("key", "gone_at").agg(F.min("seen").alias("same"))
+    back = rm.join(later, ["key", "day"]).join(same, ["key", "gone_at"], "left").withColumn("back_at", F.coalesce("same", "later"))
+    return back.groupBy("key", "back_at").agg(F.min("gone_at").alias("gone_at")).select("key", "gone_at", "back_at")
 
 
 def dictionary(keys: DataFrame, buckets: int) -> DataFrame:

@@ -42,6 +42,23 @@ def test_orphans_of_empty_tables(spark):
     assert orphans(e.limit(0), r, s, f, d) == set()
 
 
+def test_spans_end_with_the_next_indexing(spark):
+    """Against brute force, with several removals and indexings on one day, at equal times and days apart."""
+    import random
+
+    rnd = random.Random(7)
+    sym = [(f"k{rnd.randint(0, 5)}", T(rnd.randint(0, 200))) for _ in range(60)] + [("k0", None), ("never removed", T(1)), (None, T(1))]
+    rem = [(f"k{rnd.randint(0, 6)}", T(rnd.randint(0, 200))) for _ in range(40)] + [("k1", None), (None, T(3))]
+    s = spark.createDataFrame(sym * 2, "qualified_name string, indexed_at timestamp_ntz")
+    r = spark.createDataFrame(rem, "qualified_name string, removed_at timestamp_ntz")
+    want = {}
+    for k, gone in rem:
+        if k and gone:
+            back = min((t for q, t in sym if q == k and t and t > gone), default=None)
+            want[k, back] = min(gone, want.get((k, back), gone))
+    assert {(x.key, x.back_at): x.gone_at for x in references.deleted_spans(s, r).collect()} == want
+
+
 def test_due_records(spark):
     runs = spark.createDataFrame([("r", T(10), "ok"), ("r", T(10), "ok"), ("r", T(20), "failed"), ("r", T(20), "running"), ("never", T(1), "aborted")], "repo_id string, started_at timestamp_ntz, status string")
     f = "repo_id string, path string, content_hash string, extractor_version int, last_modified timestamp_ntz, seen_at timestamp_ntz"
@@ -128,6 +145,24 @@ def test_heavy_keys_split_over_partitions(spark):
     assert [r.k for r in skew.heavy_keys(per, ["k"], 0.3).collect()] == ["hot"]
 
 
+def test_partitions_follow_the_size(spark, tmp_path, monkeypatch):
+    """With a hundred times less room a partition there are more of them, and none holds much more than its share,
+    though one key holds a third of all rows."""
+    from symgraph import session
+
+    path = str(tmp_path / "rows")
+    spark.range(60_000).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("k"), (F.col("id") % 101).cast("string").alias("v"), "id").write.parquet(path)
+    df = spark.read.parquet(path)
+    few = session.parts(df.select("k", "v", "id"))
+    monkeypatch.setattr(session, "PARTITION_BYTES", session.PARTITION_BYTES // 2000)
+    many = session.parts(df.select("k", "v", "id"))
+    assert few == 4 and many > 12
+    per_part = skew.partial_states(df, ["k"], "v", "id").groupBy("pid").agg(F.sum("n_rows").alias("n")).collect()
+    assert len(per_part) > 12 and max(r.n for r in per_part) < 3 * 60_000 / len(per_part)
+    hot = skew.skew_aggregate(df, ["k"], "v", "id").filter("k = 'hot'").first()
+    assert (hot.n_rows, hot.n_values) == (20_000, 101) and hot.n_parts > 3
+
+
 def test_traversal(spark):
     e = spark.createDataFrame([("a", "b", "calls"), ("b", "c", "calls"), ("c", "a", "calls"), ("a", "d", "calls"), ("d", "c", "calls"), ("x", "a", "uses_type")], "from_qname string, to_qname string, kind string")
     one = lambda n: spark.createDataFrame([(n,)], "node string")
