@@ -57,6 +57,8 @@ def parser() -> argparse.ArgumentParser:
     v = sub.add_parser("find")
     v.add_argument("text")
     v.add_argument("--limit", type=int, default=20)
+    v.add_argument("--rerank", action="store_true", help="with neighbours, by the configured reranker")
+    v.add_argument("--root", help="the tree, so that the reranker reads bodies")
     return p
 
 
@@ -71,6 +73,12 @@ def synthesizer_of(c: dict, stubs: bool) -> models.Synthesizer | None:
     return models.HttpSynthesizer(c["endpoint"], c["synthesizer"]) if c["synthesizer"] not in (None, "off") else None
 
 
+def reranker_of(c: dict, stubs: bool) -> models.Reranker | None:
+    if stubs:
+        return models.OverlapReranker()
+    return models.HttpReranker(c["endpoint"], c["reranker"], c["concurrency"]) if c["reranker"] else None
+
+
 def watch(spark: SparkSession, graph: Graph, root: str, events: str, embedder: models.Embedder, once: bool) -> int:
     """The whole tree first, so that what changed before the stream began is not missed; then batches."""
     from symgraph.streaming import changes
@@ -98,7 +106,7 @@ def main(args: list[str] | None = None) -> int:
 
 
 def _run(a: argparse.Namespace) -> int:
-    c = config.load(getattr(a, "root", None), a.config, dict(os.environ))
+    c = config.load(getattr(a, "root", None) or ".", a.config, dict(os.environ))
     embedder = embedder_of(c, a.stubs)
     spark = local_session()
     graph = Graph(spark, a.store, a.repo_id)
@@ -122,7 +130,10 @@ def _run(a: argparse.Namespace) -> int:
         return 0
     if a.verb == "set-description":
         return _known(graph.set_description(a.name, a.text, embedder), a.name)
-    if a.verb == "find":
+    if a.verb == "find" and a.rerank:
+        texts = scan.scan(spark, a.root) if a.root else None
+        out = graph.find(a.text, embedder, reranker_of(c, a.stubs), texts, a.limit).select(F.to_json(F.struct("*")).alias("value"))
+    elif a.verb == "find":
         found = find.find(s, t["manifest"], a.repo_id, embedder, a.text, a.limit)
         out = (sinks.hits_json if a.json else sinks.hits_text)(s.join(found, "qualified_name").orderBy(F.desc("score"), "qualified_name"))
     elif a.verb == "describe":

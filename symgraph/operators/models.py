@@ -148,6 +148,21 @@ def embed_column(df: DataFrame, embedder: Embedder, text: str, out: str = "embed
     return df.withColumn(out, run(F.col(text)))
 
 
+def rerank_column(df: DataFrame, reranker: Reranker, query: str, document: str, out: str = "rerank") -> DataFrame:
+    """Adds the reranker's opinion on each document, null where it has none or fails. df is a bounded list of
+    candidates; it is asked in one piece, so that a reranker that fails on all of them is seen to."""
+
+    @F.pandas_udf("double")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            try:
+                yield pd.Series(reranker.rerank(query, [d or "" for d in s]), dtype="float64")
+            except (ModelError, OSError):
+                yield pd.Series([None] * len(s), dtype="float64")
+
+    return df.coalesce(1).withColumn(out, run(F.col(document)))
+
+
 def synthesize(df: DataFrame, synthesizer: Synthesizer, prompt: str = "prompt") -> DataFrame:
     """Adds synthesized_description and status (synthesized, skipped, failed): rows with has_description are skipped;
     an error or an empty answer fails that row alone."""

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from symgraph import schema as S
 from symgraph.functions.text import body_slice, lines, synthesis_prompt
-from symgraph.operators import evaluate, models, patterns, resolve, store, vector
-from symgraph.operators.models import Embedder, Synthesizer
+from symgraph.operators import evaluate, find, models, patterns, resolve, store, vector
+from symgraph.operators.models import Embedder, Reranker, Synthesizer
 from symgraph.session import materialize
 from symgraph.sources import scan
 
@@ -149,6 +149,26 @@ class Graph:
             self._publish({**old, "symbols": symbols})
         return count
 
+    def find(self, text: str, embedder: Embedder, reranker: Reranker | None = None, texts: DataFrame | None = None, limit: int = find.RESULTS) -> DataFrame:
+        """node, cosine, rerank, origin, reranker_degraded: the symbols nearest to a text and what is one edge away from
+        them, reranked by their descriptions, signatures and, where there are texts (path, text), bodies. Without
+        a reranker, or where it has no opinion at all, the order is that of the cosine."""
+        t = self.tables()
+        vector.check_embedder(t["manifest"], self.repo_id, embedder.identity, embedder.dimension)
+        query = [float(x) for x in embedder.embed([text])[0]]
+        scores = vector.usable(t["symbols"], "embedding", len(query)).select(F.col("qualified_name").alias("node"), vector.cosine(F.col("embedding"), F.lit(query)).alias("cosine"))
+        seeds = scores.orderBy(F.desc("cosine"), "node").limit(find.SEEDS)
+        cands = materialize(find.candidates(seeds, find.expand_one_hop(seeds, t["edges"]), scores), "candidates")
+        if reranker is None:
+            return find.reranked(cands, F.lit(None).cast("double"), limit)
+        ls = None if texts is None else texts.filter("path IS NOT NULL").select(F.col("path").alias("__p"), lines("text").alias("__ls"))
+        about = t["symbols"].join(cands.select(F.col("node").alias("qualified_name")), "qualified_name", "left_semi")
+        about = about.withColumn("__ls", F.lit(None).cast("array<string>")) if ls is None else about.join(ls, F.col("file_path") == F.col("__p"), "left")
+        document = find.rerank_document(F.col("synthesized_description"), F.col("signature"), body_slice("__ls", "start_line", "end_line"))
+        asked = models.rerank_column(about.select("qualified_name", document.alias("document")), reranker, text, "document")
+        opinions = materialize(asked.select(F.col("qualified_name").alias("node"), F.col("rerank").alias("opinion")), "opinions")
+        return find.reranked(cands.join(opinions, "node", "left"), F.col("opinion"), limit)
+
     def describe_at_query(self, candidates: DataFrame, texts: DataFrame, synthesizer: Synthesizer, embedder: Embedder) -> dict:
         """Describes the first undescribed candidates (node, cosine) of a search, the most similar first, and keeps
         the descriptions; the search is then asked again."""

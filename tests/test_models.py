@@ -62,6 +62,13 @@ def test_reranker(server):
         r.rerank("q", ["fail", "else"])
 
 
+def test_rerank_column_degrades(spark, server):
+    df = spark.createDataFrame([(1, "a lamp"), (2, "a shelf"), (3, "else"), (4, None)], "id int, d string")
+    r = models.HttpReranker(server[0], "m")
+    assert {x.id: x["rerank"] for x in models.rerank_column(df, r, "q", "d").collect()} == {1: 1.0, 2: 0.0, 3: None, 4: None}
+    assert {x["rerank"] for x in models.rerank_column(df.filter("id > 2"), r, "q", "d").collect()} == {None}
+
+
 def test_migrations_run_once(spark):
     t = spark.createDataFrame([("g", "001", None), ("other", "002", None)], "graph string, id string, applied_at timestamp_ntz")
     ran = []

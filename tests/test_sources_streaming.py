@@ -59,6 +59,8 @@ def test_cli(spark, tmp_path, capsys):
     assert json.loads(run(capsys, store, "--json", "callers", "two")[1][0])["qualified_name"] == "src/a.rs::one"
     assert run(capsys, store, "describe", "nothing")[0] == 1
     assert len(run(capsys, store, "find", "g", "--limit", "2")[1]) == 2
+    first = json.loads(run(capsys, store, "find", "pub fn one", "--rerank", "--root", str(src))[1][0])
+    assert (first["node"], first["origin"], first["reranker_degraded"]) == ("src/a.rs::one", "vector", False) and first["rerank"] > 0.6
     assert json.loads(run(capsys, store, "query", "SELECT kind, count(*) AS n FROM {edges} WHERE kind = 'calls' GROUP BY kind")[1][0]) == {"kind": "calls", "n": 2}
     assert json.loads(run(capsys, store, "manifest")[1][0])["embedder_identity"] == "stub/words"
 
