@@ -113,7 +113,7 @@ QUALIFY row_number() OVER (PARTITION BY c.qualified_name, side ORDER BY neighbor
 @query("synthesis_context", f"{_WITH}, {_CTX} SELECT * FROM ctx3")
 def synthesis_context(s, d):
     sym = symbols(s, d)
-    return patterns.synthesis_context(sym, edges(s, d), sym)
+    return patterns.synthesis_context(sym, edge_log(s, d), sym)
 
 
 @query("list_for_synthesis", f"{_WITH} SELECT {COLS}, false AS has_description FROM sym WHERE coalesce(synthesized_description, '') = ''")
@@ -353,7 +353,7 @@ def clean_description(s, d):
 )
 def synthesis_prompt(s, d):
     sym = symbols(s, d)
-    return graph.prompts(sym.select(*SYMBOL_COLS), sym, edges(s, d), table(s, d, "documents")).select("qualified_name", F.sha2("prompt", 256).alias("prompt_hash"))
+    return graph.prompts(sym.select(*SYMBOL_COLS), sym, edge_log(s, d), table(s, d, "documents")).select("qualified_name", F.sha2("prompt", 256).alias("prompt_hash"))
 
 
 @query("rerank_prompt", "SELECT doc_id, sha256('Query: where are conflicts resolved' || chr(10) || 'Document: ' || left(text, 1500) || chr(10) || 'Relevant (yes/no):') AS prompt_hash FROM documents")
@@ -525,7 +525,7 @@ def same_file_resolve(s, d):
 )
 def cross_file_resolve(s, d):
     sym = symbols(s, d, "repo_id", *SYMBOL_COLS, "short_name")
-    return resolve.cross_file(table(s, d, "raw_edges"), sym, edges(s, d))
+    return resolve.cross_file(table(s, d, "raw_edges"), sym, edge_log(s, d))
 
 
 # ---- vectors
@@ -582,7 +582,7 @@ _CALLS = "c AS (SELECT DISTINCT from_qname AS src, to_qname AS dst FROM e WHERE
 
 @query("blast_radius", f"{_WITH}, {_CALLS}, b AS (SELECT '{WRAP}' AS node, 0 AS depth UNION SELECT c.src, depth + 1 FROM b JOIN c ON c.dst = b.node WHERE depth < 3) SELECT node, min(depth) AS depth FROM b GROUP BY 1 HAVING min(depth) > 0")
 def blast_radius(s, d):
-    return traverse.blast_radius(edges(s, d), _one(s, WRAP), 3)
+    return traverse.blast_radius(edge_log(s, d), _one(s, WRAP), 3)
 
 
 @query(
@@ -590,7 +590,7 @@ def blast_radius(s, d):
     f"{_WITH}, u AS (SELECT from_qname AS src, to_qname AS dst FROM e UNION SELECT to_qname, from_qname FROM e), b AS (SELECT '{TICK}' AS node, 0 AS depth UNION SELECT u.dst, depth + 1 FROM b JOIN u ON u.src = b.node WHERE depth < 2) SELECT node, min(depth) AS depth FROM b GROUP BY 1",
 )
 def context_hops(s, d):
-    return traverse.context(edges(s, d), _one(s, TICK), 2)
+    return traverse.context(edge_log(s, d), _one(s, TICK), 2)
 
 
 _FAR = f"far AS (SELECT '{INFO}' AS node, 0 AS depth UNION SELECT c.src, depth + 1 FROM far JOIN c ON c.dst = far.node WHERE depth < 3), start AS (SELECT min(node) AS node FROM (SELECT node, min(depth) AS depth FROM far GROUP BY 1) WHERE depth = (SELECT max(depth) FROM (SELECT min(depth) AS depth FROM far GROUP BY node)))"
@@ -598,7 +598,7 @@ _FAR = f"far AS (SELECT '{INFO}' AS node, 0 AS depth UNION SELECT c.src, depth +
 
 def _far(s, d):
     """The first of the symbols farthest from INFO within three calls."""
-    r = traverse.bfs(traverse.reverse(traverse._calls(edges(s, d))), _one(s, INFO), 3)
+    r = traverse.bfs(traverse.reverse(traverse._calls(edge_log(s, d))), _one(s, INFO), 3)
     row = r.orderBy(F.desc("depth"), "node").first()
     return row["node"]
 
@@ -608,7 +608,7 @@ def _far(s, d):
     f"{_WITH}, {_CALLS}, {_FAR}, p AS (SELECT [node] AS path FROM start UNION ALL SELECT list_append(path, c.dst) FROM p JOIN c ON c.src = list_last(path) WHERE len(path) < 4), best AS (SELECT path FROM p WHERE list_last(path) = '{INFO}' ORDER BY len(path), path LIMIT 1) SELECT (i - 1)::INT AS hop, path[i] AS node FROM best, range(1, 5) t(i) WHERE i <= len(path)",
 )
 def shortest_path(s, d):
-    return traverse.shortest_path(edges(s, d), _far(s, d), INFO)
+    return traverse.shortest_path(edge_log(s, d), _far(s, d), INFO)
 
 
 @query(
@@ -616,7 +616,7 @@ def shortest_path(s, d):
     f"{_WITH}, {_CALLS}, {_FAR}, b AS (SELECT node, 0 AS depth FROM start UNION SELECT c.dst, depth + 1 FROM b JOIN c ON c.src = b.node WHERE depth < 4 AND (depth = 0 OR b.node NOT IN (SELECT qualified_name FROM sym WHERE exported))) SELECT node, min(depth) AS depth FROM b GROUP BY 1",
 )
 def surface(s, d):
-    return traverse.surface(edges(s, d), symbols(s, d, "exported"), _one(s, _far(s, d)), 4)
+    return traverse.surface(edge_log(s, d), symbols(s, d, "exported"), _one(s, _far(s, d)), 4)
 
 
 _ENTRY = "exported AND kind = 'function' AND repo_id NOT LIKE 'tidepool-%'"
@@ -625,7 +625,7 @@ _ENTRY = "exported AND kind = 'function' AND repo_id NOT LIKE 'tidepool-%'"
 @query("dead", f"{_WITH}, {_CALLS}, b AS (SELECT qualified_name AS node FROM sym WHERE {_ENTRY} UNION SELECT c.dst FROM b JOIN c ON c.src = b.node) SELECT qualified_name FROM sym WHERE qualified_name NOT IN (SELECT node FROM b)")
 def dead(s, d):
     sym = symbols(s, d, "exported", "kind", "repo_id")
-    return traverse.dead(edges(s, d), sym, sym.filter(_ENTRY).select(F.col("qualified_name").alias("node")))
+    return traverse.dead(edge_log(s, d), sym, sym.filter(_ENTRY).select(F.col("qualified_name").alias("node")))
 
 
 _TEST = "kind = 'function' AND file_path LIKE '%/tests/%'"
@@ -633,17 +633,17 @@ _TEST = "kind = 'function' AND file_path LIKE '%/tests/%'"
 
 @query("tested_by", f"{_WITH}, {_CALLS}, b AS (SELECT qualified_name AS test, qualified_name AS node, 0 AS depth FROM sym WHERE {_TEST} UNION SELECT test, c.dst, depth + 1 FROM b JOIN c ON c.src = b.node WHERE depth < 2) SELECT DISTINCT node AS target, test FROM b WHERE node <> test")
 def tested_by(s, d):
-    return traverse.tested_by(edges(s, d), symbols(s, d, "kind", "file_path").filter(_TEST).select(F.col("qualified_name").alias("node")), 2)
+    return traverse.tested_by(edge_log(s, d), symbols(s, d, "kind", "file_path").filter(_TEST).select(F.col("qualified_name").alias("node")), 2)
 
 
 @query("tested_by_all", f"{_WITH}, {_CALLS}, b AS (SELECT qualified_name AS test, qualified_name AS node FROM sym WHERE {_TEST} UNION SELECT test, c.dst FROM b JOIN c ON c.src = b.node) SELECT DISTINCT node AS target, test FROM b WHERE node <> test")
 def tested_by_all(s, d):
-    return traverse.tested_by(edges(s, d), symbols(s, d, "kind", "file_path").filter(_TEST).select(F.col("qualified_name").alias("node")))
+    return traverse.tested_by(edge_log(s, d), symbols(s, d, "kind", "file_path").filter(_TEST).select(F.col("qualified_name").alias("node")))
 
 
 @query("tests_of", f"{_WITH} SELECT DISTINCT to_qname AS qualified_name FROM e WHERE kind = 'tested_by' AND from_qname = '{WRAP}' AND to_qname IN (SELECT qualified_name FROM sym)")
 def tests_of(s, d):
-    return derived.tests_of(edges(s, d), symbols(s, d, "kind"), WRAP)
+    return derived.tests_of(edge_log(s, d), symbols(s, d, "kind"), WRAP)
 
 
 # ---- history: orders are commits, their parts what was changed
@@ -699,7 +699,7 @@ def _log(s, d):
     f"{_WITH}, near AS (SELECT '{TICK}' AS q UNION SELECT to_qname FROM e WHERE from_qname = '{TICK}' UNION SELECT from_qname FROM e WHERE to_qname = '{TICK}') SELECT qualified_name AS item, count(*) AS n FROM symbols WHERE qualified_name IN (FROM near) AND date_diff('day', CAST(indexed_at AS DATE), CAST((SELECT max(indexed_at) FROM symbols) AS DATE)) <= 30 GROUP BY 1",
 )
 def recent_near(s, d):
-    return derived.recent_near(_log(s, d), edges(s, d), TICK, 30)
+    return derived.recent_near(_log(s, d), edge_log(s, d), TICK, 30)
 
 
 @query("modified_in_lines", f"{_WITH} SELECT s.qualified_name, count(DISTINCT CAST(extracted_at AS DATE)) AS n_commits, max(CAST(extracted_at AS DATE)) AS last FROM raw_edges r JOIN sym s ON s.file_path = r.file_path AND r.line_no <= s.end_line AND r.line_no + 2 >= s.start_line GROUP BY 1")
@@ -751,12 +751,12 @@ def _seeds(s, d):
 
 @query("expand_one_hop", f"{_WITH}, {_SEEDS}, {_HOP} SELECT * FROM hop")
 def expand_one_hop(s, d):
-    return find.expand_one_hop(_seeds(s, d)[0], edges(s, d))
+    return find.expand_one_hop(_seeds(s, d)[0], edge_log(s, d))
 
 
 def _tier4(s, d, rerank):
     seeds, scores = _seeds(s, d)
-    return find.reranked(find.candidates(seeds, find.expand_one_hop(seeds, edges(s, d)), scores), rerank)
+    return find.reranked(find.candidates(seeds, find.expand_one_hop(seeds, edge_log(s, d)), scores), rerank)
 
 
 @query("tier4_find", f"{_WITH}, {_SEEDS}, {_HOP}, {_CAND} SELECT node, cosine, round((length(node) % 7) / 7.0::DOUBLE, 6) AS rerank, origin, false AS reranker_degraded FROM top ORDER BY rerank DESC, cosine DESC NULLS LAST, node LIMIT 10")
@@ -778,7 +778,7 @@ def degraded_find(s, d):
 def similar_symbols(s, d):
     v = vector.usable(symbols(s, d, "embedding").select(F.col("qualified_name").alias("node"), "embedding"), "embedding", 64)
     me = v.orderBy("node").first()
-    return find.similar_symbols(v, edges(s, d), me["node"], me["embedding"]).withColumn("cosine", F.round("cosine", 6)).withColumn("jaccard", F.round("jaccard", 6))
+    return find.similar_symbols(v, edge_log(s, d), me["node"], me["embedding"]).withColumn("cosine", F.round("cosine", 6)).withColumn("jaccard", F.round("jaccard", 6))
 
 
 @query(
