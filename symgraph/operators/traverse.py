@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 from symgraph.session import materialize, materialize_counted
 
 
-def bfs(edges: DataFrame, seeds: DataFrame, depth: int | None, stop: DataFrame | None = None) -> DataFrame:
+def bfs(edges: DataFrame, seeds: DataFrame, depth: int | None, stop: DataFrame | None = None, until: str | None = None) -> DataFrame:
     """node, depth: least number of steps from any seed (node) along edges (src, dst). Nodes in stop are
-    reached but not gone on from (seeds are). Self loops and cycles are harmless."""
+    reached but not gone on from (seeds are); once the node `until` is reached, no further level is.
+    Self loops and cycles are harmless."""
     pairs = edges.select("src", "dst").distinct()
     if depth is None or depth > 1:
         pairs = materialize(pairs, "bfs_edges")  # read once per level
@@ -27,10 +28,12 @@ def bfs(edges: DataFrame, seeds: DataFrame, depth: int | None, stop: DataFrame |
         if stop is not None and level > 1:
             start = start.join(stop.select("node"), "node", "left_anti")
         step = pairs.join(start.select(F.col("node").alias("src")), "src", "left_semi").select(F.col("dst").alias("node")).distinct()
-        frontier, n = materialize_counted(step.join(visited.select("node"), "node", "left_anti").withColumn("depth", F.lit(level)), "bfs")
+        frontier, n, met = materialize_counted(step.join(visited.select("node"), "node", "left_anti").withColumn("depth", F.lit(level)), "bfs", F.col("node") == F.lit(until))
         if not n:
             break
         visited = visited.unionByName(frontier)
+        if met:
+            break
     return visited
 
 
@@ -59,7 +62,7 @@ def shortest_path(edges: DataFrame, start: str, goal: str, depth: int = 8) -> Da
     carries nodes and not paths."""
     spark = edges.sparkSession
     pairs = materialize(_calls(edges).distinct(), "bfs_edges")
-    levels = bfs(pairs, spark.createDataFrame([(start,)], "node string"), depth)
+    levels = bfs(pairs, spark.createDataFrame([(start,)], "node string"), depth, until=goal)
     end = levels.filter(F.col("node") == goal).first()
     if end is None:
         return spark.createDataFrame([], "hop int, node string")
@@ -98,7 +101,7 @@ def tested_by(edges: DataFrame, tests: DataFrame, depth: int | None = None) -> D
     while depth is None or level < depth:
         level += 1
         step = frontier.select("test", F.col("node").alias("src")).join(pairs, "src").select("test", F.col("dst").alias("node")).distinct()
-        frontier, n = materialize_counted(step.join(seen, ["test", "node"], "left_anti"), "tested")
+        frontier, n, _ = materialize_counted(step.join(seen, ["test", "node"], "left_anti"), "tested")
         if not n:
             break
         seen = seen.unionByName(frontier)

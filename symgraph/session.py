@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -75,11 +75,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def materialize_counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
-    """As materialize(), with the number of rows, which is counted while they are written."""
+def materialize_counted(df: DataFrame, name: str, where: Column | None = None) -> tuple[DataFrame, int, int]:
+    """As materialize(), with the number of rows and of those that meet a condition, which are counted while
+    they are written."""
     seen = Observation()
-    out = materialize(df.observe(seen, F.count(F.lit(1)).alias("n")), name)
-    return out, seen.get["n"]
+    n = F.count(F.lit(1)).alias("n")
+    out = materialize(df.observe(seen, n, (F.count(F.lit(1)) if where is None else F.count_if(where)).alias("m")), name)
+    return out, seen.get["n"], seen.get["m"]
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:

@@ -169,6 +169,9 @@ def test_traversal(spark):
     assert {tuple(r) for r in traverse.blast_radius(e, one("c"), 9).collect()} == {("b", 1), ("d", 1), ("a", 2)}
     assert [tuple(r) for r in traverse.shortest_path(e, "a", "c").collect()] == [(0, "a"), (1, "b"), (2, "c")]
     assert traverse.shortest_path(e, "a", "x").count() == 0
+    assert [tuple(r) for r in traverse.shortest_path(e, "a", "a").collect()] == [(0, "a")]
+    pairs = e.filter("kind = 'calls'").selectExpr("from_qname AS src", "to_qname AS dst")
+    assert {tuple(r) for r in traverse.bfs(pairs, one("a"), None, until="d").collect()} == {("a", 0), ("b", 1), ("d", 1)}
     assert {tuple(r) for r in traverse.context(e, one("x"), 1).collect()} == {("x", 0), ("a", 1)}
 
 

@@ -146,9 +146,9 @@ def test_intermediates_are_shared_and_can_be_dropped(spark):
 
     from symgraph import session
 
-    df, n = session.materialize_counted(spark.range(7).toDF("x"), "seven")
+    df, n, m = session.materialize_counted(spark.range(7).toDF("x"), "seven", F.col("x") > 4)
     path = session._written[-1]
-    assert n == 7 and df.count() == 7
+    assert (n, m) == (7, 2) and df.count() == 7
     session.drop_intermediates(spark)
     assert not os.path.exists(path.removeprefix("file:")) and not session._written
     conf, none = N(get=lambda k, d: d), N(sc=lambda: N(getCheckpointDir=lambda: N(isDefined=lambda: False)))
