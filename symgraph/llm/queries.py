@@ -18,13 +18,13 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return syntax.repairs(table(spark, d, "documents")).filter("cost > 0").select("path").distinct()
+    return syntax.repairs(table(spark, d, "documents"), search=syntax.SHALLOW).filter("cost > 0").select("path").distinct()
 
 
 def p2_repairs(spark: SparkSession, d: str) -> DataFrame:
-    """Per file that doesn't parse: edits needed, where the first lies, the kind of damage, and whether the
-    number of edits is exact or a lower bound."""
-    return syntax.repairs(table(spark, d, "documents"), search=syntax.DEEP).filter("cost > 0").select("path", "cost", "first_edit", "damage", "n_tokens", "exact")
+    """Per file that doesn't parse: the least number of edits, where the first lies, the kind of damage, and whether
+    the number of edits is exact (it always is) or a lower bound."""
+    return syntax.repairs(table(spark, d, "documents")).filter("cost > 0").select("path", "cost", "first_edit", "damage", "n_tokens", "exact")
 
 
 def p2_rates(spark: SparkSession, d: str) -> DataFrame:
@@ -32,7 +32,7 @@ def p2_rates(spark: SparkSession, d: str) -> DataFrame:
     that files doesn't know count under their own repository and no language."""
     files = table(spark, d, "files").filter("path IS NOT NULL").groupBy("path").agg(F.max(F.struct("last_modified", "seen_at", "file_language", "repo_id")).alias("f")).select(F.col("path").alias("f_path"), F.col("f.repo_id").alias("f_repo"), "f.file_language")
     own = table(spark, d, "documents").filter("path IS NOT NULL").groupBy(F.col("path").alias("d_path")).agg(F.min("repo_id").alias("d_repo"))
-    judged = syntax.repairs(table(spark, d, "documents")).filter("cost IS NOT NULL").join(files, F.col("path") == F.col("f_path"), "left").join(own, F.col("path") == F.col("d_path"))
+    judged = syntax.repairs(table(spark, d, "documents"), search=syntax.SHALLOW).filter("cost IS NOT NULL").join(files, F.col("path") == F.col("f_path"), "left").join(own, F.col("path") == F.col("d_path"))
     return judged.groupBy(F.coalesce("f_repo", "d_repo").alias("repo_id"), "file_language").agg(F.count(F.lit(1)).alias("n_files"), F.count_if(F.col("cost") > 0).alias("n_broken")).withColumn("share", F.round(F.col("n_broken") / F.col("n_files"), 6))
 
 

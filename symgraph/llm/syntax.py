@@ -6,18 +6,19 @@ holds, for a rule and a place, every place where the rule can end and the least
 edits to get there. An edit inserts, deletes or
 replaces one token and costs 1. A level is cut into statements or list elements first,
 and equal segments are parsed once per worker, so that corpora of similar code cost
-little. Cost 0 is tried first; where it fails, the budget of edits grows until a parse
-is found. The cost of a text is the sum over its levels, plus the brackets that must be
+little. Cost 0 is tried first; where it fails, a single edit is, and then the least cost is
+computed over all spans of the segment (leastcost.py). The cost of a text is the sum over its levels, plus the brackets that must be
 inserted or deleted, plus tokens of no language; above zero it does not parse.
 
 Where the edits lie tells the damage: conflict (at markers of a merge), truncation (edits at
 the end, and none before the last bracket that is still open there), mismatch (many edits,
 all over the text: one of another language), other.
 
-How far a repair is sought is a parameter. Whether a text parses at all doesn't depend on it;
-the cost does: `exact` says that every segment's least cost was found. A segment of more
-tokens or edits than are sought counts with the edits it needs at least, and so do segments
-after the first `searches` that fail in one text.
+Repairs are sought without a limit, so that every segment's cost is the least. A limited search
+is a parameter, for where only zero or not is asked, which doesn't depend on it: `exact` says
+whether every segment's least cost was found. A segment of more tokens or edits than are sought
+then counts with the edits it needs at least, and so do segments after the first `searches`
+that fail in one text.
 
 Defined results: a null text isn't judged (cost null); an empty or blank one is valid;
 a path without a source extension isn't looked at. The extension alone decides the
@@ -37,14 +38,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from symgraph.llm import grammar as G
+from symgraph.llm.leastcost import Costs
 from symgraph.operators.extract import lexer as L
 from symgraph.session import spread
 
 class Search(NamedTuple):
-    """How far repairs are sought: edits within a segment, tokens of a segment that more than a single edit is
-    sought in, and segments of one text; further ones count as one edit each, so that a text of another
-    language isn't repaired token by token. again: whether the chart is run until nothing changes where it
-    has found no repair; else the cost is two at least."""
+    """How far repairs are sought in a limited search: edits within a segment, tokens of a segment that more than a
+    single edit is sought in, and segments of one text; further ones count as one edit each. again: whether the
+    chart is run until nothing changes where it has found no repair; else the cost is two at least."""
 
     budget: int
     tokens: int
@@ -52,8 +53,8 @@ class Search(NamedTuple):
     again: bool
 
 
-#: To tell whether a text parses and roughly how much is wrong, and to tell how it is best repaired.
-SHALLOW, DEEP = Search(2, 8, 12, False), Search(4, 16, 24, True)
+#: To tell whether a text parses, whatever the cost.
+SHALLOW = Search(2, 8, 12, False)
 #: Share of a text's tokens edited, and edits at least, from which it is taken for another language.
 MISMATCH_SHARE, MISMATCH_LEAST = 0.05, 8
 #: Nodes and segments a worker keeps; beyond it the store starts anew (a cache only).
@@ -165,6 +166,7 @@ class Parser:
         self.lists = G.RUST_LISTS if rust else G.TS_LISTS
         self.blocks = G.RUST_BLOCKS if rust else G.TS_BLOCKS
         self.terms: dict[str, frozenset] = {ANY: _All()}
+        self.costs: dict[str, Costs] = {}
         self.far = 0
         self.reset()
 
@@ -525,15 +527,29 @@ class Parser:
                 return best
             before, chart = chart, {}
 
-    def repair(self, rule: str, toks: tuple, search: Search) -> tuple[int, int, bool]:
+    def least(self, rule: str, toks: tuple) -> int:
+        """The least cost at which `rule` covers all tokens."""
+        if rule not in self.costs:
+            self.costs[rule] = Costs(self.rules, rule)
+        terms = [self.terminals(t) if isinstance(t, str) else None for t in toks]
+
+        def hit(x: tuple, at: int) -> bool:
+            if x[0] == "t":
+                return terms[at] is not None and x[1] in terms[at]
+            return toks[at] == ANY or (terms[at] is None and self.nodes[toks[at]][0] == x[1] and self.fits(toks[at], x[2]))
+
+        return self.costs[rule].cost(len(toks), hit)
+
+    def repair(self, rule: str, toks: tuple, search: Search | None = None) -> tuple[int, int, bool]:
         """(least cost, place of the first edit, whether the cost is exact)."""
-        if self.searches >= search.searches:
-            return 1, 0, False
-        self.searches += 1
+        if search is not None:
+            if self.searches >= search.searches:
+                return 1, 0, False
+            self.searches += 1
         return self._repair(rule, toks, search)
 
     @lru_cache(maxsize=50_000)  # noqa: B019
-    def _repair(self, rule: str, toks: tuple, search: Search) -> tuple[int, int, bool]:
+    def _repair(self, rule: str, toks: tuple, search: Search | None) -> tuple[int, int, bool]:
         """The first edit can't lie behind the place that plain parsing reached, so a single one is sought up
         to there; of several the first is taken to lie there."""
         self.far = 0
@@ -545,6 +561,8 @@ class Parser:
                 return 1, at, True
             if self.parse(rule, (*before, ANY, *toks[at:]), 0) == 0:
                 return 1, at, True
+        if search is None:
+            return self.least(rule, toks), far, True
         if len(toks) > search.tokens:
             return 2, far, False
         for b in range(2, search.budget + 1):  # less than b is known not to do, if again is set
@@ -563,7 +581,7 @@ class Parser:
             yield r, seg, places[begin : begin + size + 1]
             begin += size + (split and r != rule)
 
-    def repairs_of(self, rule: str, content: tuple, at: list[int], search: Search, most: int | None = None) -> list[tuple[int, int, bool]] | None:
+    def repairs_of(self, rule: str, content: tuple, at: list[int], search: Search | None, most: int | None = None) -> list[tuple[int, int, bool]] | None:
         """(place, cost, exact) of each segment that fails; None if they cost as much as `most`."""
         out, cost = [], 0
         for r, seg, places in self.placed(rule, content, at):
@@ -575,7 +593,7 @@ class Parser:
                 out.append((places[min(first, len(places) - 1)], c, exact))
         return out
 
-    def own_repairs(self, content: tuple, at: list[int], rules: list[str], search: Search) -> list[tuple[int, int, bool]]:
+    def own_repairs(self, content: tuple, at: list[int], rules: list[str], search: Search | None) -> list[tuple[int, int, bool]]:
         """The repairs at the level of one group, for the rule that needs the fewest edits."""
         best = None
         for r in rules:
@@ -743,7 +761,7 @@ def _template_ok(tok: str) -> bool:
             at += 2
             continue
         toks, end = lex_jsx(tok, at + 2, True)
-        cost = _judge_tokens([*["("], *toks, *[")"]], L.TS)[0]
+        cost = _judge_tokens([*["("], *toks, *[")"]], L.TS, SHALLOW)[0]
         if end >= len(tok) or cost:
             return False
         at = end
@@ -753,7 +771,7 @@ def _template_ok(tok: str) -> bool:
 # ---- whole texts
 
 
-def _judge_tokens(toks: list[str], family: str, search: Search = SHALLOW) -> tuple[int, str, int, int | None, bool]:
+def _judge_tokens(toks: list[str], family: str, search: Search | None = None) -> tuple[int, str, int, int | None, bool]:
     """(cost, damage, tokens, place of the first edit, whether the cost is exact)."""
     p = parser(family)
     if len(p.ids) > KEPT or len(p.seg) > KEPT:
@@ -844,7 +862,7 @@ def _token_tree(before: list) -> bool:
     return bool(before) and (before[-1] == "#" or (before[-1] == "!" and len(before) > 1 and before[-2] in ("id", "#")) or (before[-1] == "id" and len(before) > 2 and before[-2] == "!" and before[-3] == "id"))
 
 
-def _close(p: Parser, stack: list, cur: list, at: list[int], end: int, edits: list, rust: bool, raw: int, search: Search) -> tuple[list, list[int]]:
+def _close(p: Parser, stack: list, cur: list, at: list[int], end: int, edits: list, rust: bool, raw: int, search: Search | None) -> tuple[list, list[int]]:
     """Ends the innermost group at the place `end`; the content and places around it, with the group."""
     bracket, outer, around, begin = stack.pop()
     around.append(begin)
@@ -864,7 +882,7 @@ def _close(p: Parser, stack: list, cur: list, at: list[int], end: int, edits: li
     return outer, around
 
 
-def judge(path: str, text: str | None, search: Search = SHALLOW) -> tuple:
+def judge(path: str, text: str | None, search: Search | None = None) -> tuple:
     """(cost, damage, tokens, first_edit, exact) of a text by its path's extension; first_edit counts tokens
     from 0, and the number of tokens is the text's end."""
     if text is None:
@@ -880,9 +898,9 @@ def judge(path: str, text: str | None, search: Search = SHALLOW) -> tuple:
 _JUDGED = (("cost", pa.int32()), ("damage", pa.string()), ("n_tokens", pa.int32()), ("first_edit", pa.int32()), ("exact", pa.bool_()))
 
 
-def repairs(docs: DataFrame, path: str = "path", text: str = "text", search: Search = SHALLOW) -> DataFrame:
+def repairs(docs: DataFrame, path: str = "path", text: str = "text", search: Search | None = None) -> DataFrame:
     """path, cost, damage, n_tokens, first_edit, exact of each row with a source extension; all but path are
-    null where text is."""
+    null where text is. search: None for least costs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

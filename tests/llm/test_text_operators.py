@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from symgraph.llm import bpe, funcdocs, grammar, handwritten, packing, spans, syntax
+from symgraph.llm import bpe, funcdocs, grammar, handwritten, leastcost, packing, spans, syntax
 from symgraph.operators.extract import lexer as L
 
 TOK = "/opt/tokenizers"
@@ -275,6 +275,35 @@ def test_least_cost_equals_brute_force(family):
     assert {1, 2} <= met and max(met) > 2
 
 
+def test_least_cost_has_no_limit():
+    """Long segments, many edits in one, and many segments that fail."""
+    judge = lambda t: syntax.judge("a.rs", t)[::4]
+    assert judge("fn f() { let a = " + " + ".join(["1 2"] * 6) + "; }") == (6, True)
+    assert judge("fn f() { let a = " + " + ".join(["1 2"] * 12) + "; }") == (12, True)
+    assert judge("fn f() { let let a = = 1; }") == (2, True)
+    assert judge("fn f() { " + "let let a = = 1; " * 40 + "}") == (80, True)
+
+
+@pytest.mark.parametrize("family", [L.RUST, L.TS])
+def test_least_cost_over_spans_equals_the_chart(family, monkeypatch):
+    p, rule = syntax.parser(family), "Stmts" if family == L.RUST else "Seg"
+    rnd, chart = random.Random(5), syntax.Search(3, 24, 10**9, True)
+    words = ["id", "num", "=", ";", "let", "+", ".", "if", ":", "return", "<", ">", ","]
+    met = set()
+    for _ in range(30):
+        toks = tuple(rnd.choice(words) for _ in range(rnd.randint(2, 8)))
+        got = p.least(rule, toks)
+        cost, _, exact = (0, 0, True) if p.segment(rule, toks) else p.repair(rule, toks, chart)
+        assert got == cost if exact else got >= cost, toks
+        met.add(got)
+        with monkeypatch.context() as m:  # as long segments are done
+            m.setattr(leastcost, "LONG", 0)
+            m.setattr(leastcost, "FIRST", 1)
+            m.setattr(leastcost, "IN_MEMORY", 0)
+            assert p.least(rule, toks) == got, toks
+    assert {1, 2, 3} <= met and max(met) > 3
+
+
 def test_grammars_name_only_rules_they_have():
     for text in (grammar.RUST, grammar.TS):
         rules = syntax._compile(text)
